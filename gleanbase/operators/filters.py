@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from .skew import salted_join
+from .skew import spread_join
 
 DEFAULT_SITES = ("https://en.wikipedia.org/",)  # fixed value: the default allow-list
 WIKI_MARK = "wikipedia.org"  # fixed value: substring that selects the wiki route
@@ -31,7 +31,7 @@ def site_allowed(df: DataFrame, allowed: list[str] | tuple[str, ...] | DataFrame
     if not isinstance(allowed, DataFrame):
         return df.filter(F.coalesce(place.isin(*allowed), F.lit(False)))
     table = allowed.select(F.col(allowed.columns[0]).alias("_site"))
-    return salted_join(df.withColumn("_site", place), table, "_site", "left_semi", F.col(spread_by)).drop("_site")
+    return spread_join(df.withColumn("_site", place), table, "_site", "left_semi", F.col(spread_by)).drop("_site")
 
 
 def pdf_blocks(df: DataFrame, url: str = "source.url", content_type: str = "source.content_type") -> DataFrame:
@@ -67,7 +67,7 @@ def channels_allowed(df: DataFrame, titles: list[str] | DataFrame, title: str =
     if not isinstance(titles, DataFrame):
         return df.filter(F.col(title).isin(*titles))
     table = titles.select(F.col(titles.columns[0]).alias(title))
-    return salted_join(df, table, title, "left_semi", F.xxhash64(*[c for c in df.columns if c != title]))
+    return spread_join(df, table, title, "left_semi", F.xxhash64(*[c for c in df.columns if c != title]))
 
 
 def has_text(df: DataFrame, text: str = "crawled_text") -> DataFrame:

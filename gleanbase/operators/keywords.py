@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import written
 from .rows import ranked
 from .skew import salted_join
 
@@ -39,10 +40,11 @@ def keyword_index(df: DataFrame, text: str = "crawled_text", top: int = 10, min_
     """Ten heaviest words of each block by tf-idf: (id, word, weight, rank). Words found
     in a large share of the blocks would make hot join keys: they are at most
     ``1 / share`` words, known from the counts themselves, and are spread."""
-    counted = word_counts(df, text, min_length)
+    # read three times below; the texts are split into words once
+    counted = written(word_counts(df, text, min_length), "words")
     spread = counted.groupBy("word").agg(F.count("*").alias("df"))
-    total = df.agg(F.count("*")).scalar()
-    least = F.greatest(F.lit(rows), F.ceil(F.lit(share) * spread.agg(F.sum("df")).scalar()))
+    total = df.select("id").agg(F.count("*")).scalar()
+    least = max(rows, share * counted.count())
     hot = spread.filter(F.col("df") >= least).select("word")
     joined = salted_join(counted, spread, "word", "inner", F.col("id"), hot=hot)
     weight = F.round(F.col("n") * F.log(total / F.col("df")), 4) + F.lit(0.0)
@@ -58,9 +60,10 @@ def keyword_cloud(index: DataFrame) -> DataFrame:
 
 
 def keyword_lookup(index: DataFrame, blocks: DataFrame, wanted: DataFrame | list[str]) -> DataFrame:
-    """Blocks behind the wanted words, heaviest first within a word."""
+    """Blocks behind the wanted words. ``index`` should be a stored table: its words are
+    counted before the join. A block has few index rows, so it cannot be a hot key."""
     if isinstance(wanted, DataFrame):
         hits = salted_join(index, wanted.select("word").distinct(), "word", "left_semi", F.col("id"))
     else:
         hits = index.filter(F.col("word").isin(*wanted))
-    return salted_join(hits.drop("rank"), blocks, "id", "inner", F.col("word"))
+    return hits.drop("rank").join(blocks, "id")

@@ -18,10 +18,15 @@ VECTOR_SEARCH_K = 10
 FIRST_SAMPLE = 20
 
 
-def enrich(hits: DataFrame, blocks: DataFrame, id_col: str = "id") -> DataFrame:
-    """Left join of the full block to every hit; a hit without one keeps nulls. A hub
-    block may be in a large share of the hits and is spread."""
-    return salted_join(hits, blocks, id_col, "left", F.col("query_id"))
+def enrich(hits: DataFrame, blocks: DataFrame, few: bool = False) -> DataFrame:
+    """Left join of the full block to every hit; a hit without one keeps nulls. ``few``
+    says that the hits are known to be few: the blocks are then cut down to them in place
+    before the join. Otherwise a hub block may be in a large share of the hits and is
+    spread."""
+    if few:
+        wanted = F.broadcast(hits.select("id").distinct())
+        return hits.join(blocks.join(wanted, "id", "left_semi"), "id", "left")
+    return salted_join(hits, blocks, "id", "left", F.col("query_id"))
 
 
 def with_payload(hits: DataFrame, points: DataFrame, few: bool = False) -> DataFrame:

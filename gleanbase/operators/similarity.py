@@ -168,7 +168,8 @@ def scan_top_k(few: pa.Table, query_type: T.DataType, points: DataFrame, k: int)
             best.add(_values(batch.column("id")), _matrix(batch.column("embedding"), dim))
         yield from best.table(query_ids, arrow).to_batches()
 
-    return best_k(_usable(points.select("id", "embedding"), "embedding", dim).mapInArrow(run, schema), k)
+    # at most SCAN_QUERIES * k rows: written, so that what follows does not scan again
+    return written(best_k(_usable(points.select("id", "embedding"), "embedding", dim).mapInArrow(run, schema), k), "hits")
 
 
 # --- cells ----------------------------------------------------------------------------
@@ -307,9 +308,10 @@ def _once_per_vector(queries: DataFrame, answer) -> DataFrame:
     marked = queries.select("query_id", "embedding").withColumn("_fp", _fingerprint(F.col("embedding")))
     distinct = written(
         marked.select(F.col("_fp").alias("query_id"), "embedding").dropDuplicates(["query_id"]), "queries")
+    askers = written(marked.select("_fp", "query_id"), "askers")
     found = answer(distinct).withColumnRenamed("query_id", "_fp")
-    return salted_join(marked.select("_fp", "query_id"), found, "_fp", "inner", F.col("query_id")).select(
-        "query_id", "rank", "id", "score")
+    return written(salted_join(askers, found, "_fp", "inner", F.col("query_id")).select(
+        "query_id", "rank", "id", "score"), "hits")
 
 
 def approx_top_k(queries: DataFrame, index: CellIndex, k: int = 10, probes: int = 8) -> DataFrame:

@@ -21,6 +21,18 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, rows: int = HOT_
     return counts.filter(F.col("n") >= least).select(key)
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str, spread_by: Column, salts: int = 16) -> DataFrame:
+    """Equi-join of many rows to a short table of keys (channels, sites, words): every
+    left row takes one of ``salts`` places and the short side is repeated in each, so no
+    key can fill a task and the left side need not be counted first. Where the short side
+    is small enough to broadcast, Spark does that instead and the salt costs nothing."""
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"unsupported join type: {how}")
+    lhs = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    rhs = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return lhs.join(rhs, [key, "_salt"], how).drop("_salt")
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
@@ -33,7 +45,7 @@ def salted_join(
 ) -> DataFrame:
     """Equi-join whose hot left keys are spread over ``salts`` partitions.
 
-    Only the right rows of hot keys are repeated, once per salt; every other row takes
+    For a right side too large to repeat whole. Only the right rows of hot keys are repeated, once per salt; every other row takes
     part once. ``spread_by`` must be a deterministic column of the left side (an id, so
     that a retried task sends a row to the same place). ``how`` may be inner, left,
     left_semi or left_anti: a left row meets each matching right row exactly once.

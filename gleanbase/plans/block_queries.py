@@ -525,8 +525,7 @@ def quality_report(spark, d):
 
 
 @query("missing_ids", """
-SELECT DISTINCT CAST(user_id AS VARCHAR) AS id FROM events
-WHERE user_id NOT IN (SELECT user_id FROM events WHERE ts > TIMESTAMP '2024-01-20 12:00:00')""")
+SELECT CAST(page_id AS VARCHAR) AS id FROM pages WHERE page_id NOT IN (SELECT user_id FROM events)""")
 def missing_ids(spark, d):
-    rows = channel_rows(spark, d)
-    return reports.missing_since(rows, rows.filter(F.col("created_at") > _ntz_value(TILL)))
+    before = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("id"))
+    return reports.missing_since(before, channel_rows(spark, d))

@@ -44,7 +44,7 @@ def transfer_vectors(blocks: SnapshotTable, vectors: SnapshotTable,
 def to_parse(channel_frames: list[DataFrame], stored: DataFrame, mode: str = "all") -> tuple[DataFrame, DataFrame]:
     """The run's blocks, one per id, and those of them that still need parsing."""
     wanted = filters.by_mode(union_blocks(*channel_frames), mode)
-    latest = last_per_key(wanted.filter(F.col("id").isNotNull()), ["id"], ARRIVAL)
+    latest = written(last_per_key(wanted.filter(F.col("id").isNotNull()), ["id"], ARRIVAL), "latest")
     return latest, filters.needs_parsing(latest, stored)
 
 

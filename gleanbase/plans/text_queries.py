@@ -8,6 +8,7 @@ from ..functions import text as tx
 from ..operators import keywords as K
 from ..operators.parse import main_content as main_content_job
 from ..operators.parse import parse_pages
+from ..session import written
 from .catalog import ARCHIVE, archive, linked, query, strip_html_sql, table
 
 # The Unicode blanks of the cleanup, written out for an engine with ASCII classes.
@@ -54,11 +55,11 @@ def main_content(spark, d):
 # conversion must neither lose nor invent text. Addresses and list marks are not words of
 # the page, so both sides keep letters only and the Markdown drops its link targets.
 @query("markdown_words", f"""
-WITH t AS (SELECT page_id, url, {strip_html_sql("replace(html, '&copy;', ' ')")} AS text FROM pages),
+WITH t AS (SELECT page_id, url, {strip_html_sql("regexp_replace(html, '&[a-z]+;', ' ', 'g')")} AS text FROM pages),
 w AS (SELECT url, unnest(regexp_extract_all(text, '\\p{{L}}{{4,}}')) AS word FROM t)
 SELECT url AS source_url, word, count(*) AS n FROM w GROUP BY ALL""")
 def markdown_words(spark, d):
-    pages = table(spark, d, "pages").withColumn("html", F.replace("html", F.lit("&copy;"), F.lit(" ")))
+    pages = table(spark, d, "pages").withColumn("html", F.regexp_replace("html", "&[a-z]+;", " "))
     made = parse_pages(pages).select(
         "source_url", F.regexp_replace("content", r"\]\([^)\s]*\)", "]").alias("text"))
     found = F.explode(F.regexp_extract_all("text", F.lit(r"(\p{L}{4,})"), F.lit(1)))
@@ -90,6 +91,10 @@ def _index(spark, d):
     return K.keyword_index(archive(spark, d).select("id", "crawled_text"))
 
 
+def _stored_index(spark, d):
+    return written(_index(spark, d), "keywords")
+
+
 @query("keyword_index", f"WITH {_INDEX} SELECT id, word, weight, rank FROM keyword_index")
 def keyword_index(spark, d):
     return _index(spark, d)
@@ -108,5 +113,5 @@ WITH {_INDEX}, wanted AS (
 SELECT word, id, weight, source_url, title FROM keyword_index JOIN wanted USING (word) JOIN archive USING (id)""")
 def keyword_lookup(spark, d):
     wanted = table(spark, d, "benchmark").select(F.explode(tx.words(F.col("text"), 3)).alias("word"))
-    found = K.keyword_lookup(_index(spark, d), archive(spark, d), wanted)
+    found = K.keyword_lookup(_stored_index(spark, d), archive(spark, d), wanted)
     return found.select("word", "id", "weight", "source_url", "title")

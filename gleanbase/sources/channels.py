@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators.skew import salted_join
+from ..operators.skew import spread_join
 
 BLOCKS_PER_PAGE = 100  # fixed value: page size of the channel API
 
@@ -49,7 +49,7 @@ def last_pages(sizes: DataFrame, per: int = BLOCKS_PER_PAGE) -> DataFrame:
 
 def complete_prefix(rows: DataFrame, last: DataFrame, spread_by: str = "page") -> DataFrame:
     """Keep the rows of pages 1 to last_page; a channel may hold most of the rows."""
-    kept = salted_join(rows, last, "channel", "inner", F.col(spread_by))
+    kept = spread_join(rows, last, "channel", "inner", F.col(spread_by))
     return kept.filter((F.col("page") >= 1) & (F.col("page") <= F.col("last_page"))).drop("last_page")
 
 
@@ -69,7 +69,7 @@ def with_headers(pages: DataFrame, headers: DataFrame) -> DataFrame:
     """Channel header fields on each page; the header's own contents give way to the
     paged list. ``channel`` of the pages is the slug."""
     heads = headers.drop("contents").withColumnRenamed("slug", "channel")
-    return salted_join(pages, heads, "channel", "left", F.col("page"))
+    return spread_join(pages, heads, "channel", "left", F.col("page"))
 
 
 def union_blocks(*frames: DataFrame) -> DataFrame:

@@ -45,7 +45,8 @@ def compare(spark, con, folder, query, sql):
     kinds = {c[0]: str(c[1]) for c in con.execute(sql).description}
     if got == want:
         return len(got[1]), True, (dict(frame.dtypes), kinds)
-    only = [r for r in got[1] if r not in set(want[1])][:2], [r for r in want[1] if r not in set(got[1])][:2]
+    ours, theirs = set(got[1]), set(want[1])
+    only = sorted(ours - theirs)[:4], sorted(theirs - ours)[:4]
     return len(got[1]), False, (got[0], want[0], len(want[1]), *only)
 
 
