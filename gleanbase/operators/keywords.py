@@ -22,8 +22,11 @@ def chunks(df: DataFrame, text: str = "crawled_text", width: int = 120, step: in
     return (
         df.filter(F.coalesce(F.col(text), F.lit("")) != "")
         .withColumn("_words", F.split(F.col(text), " ", -1))
-        .withColumn("chunk_no", F.explode(F.sequence(F.lit(0), last)))
-        .select(*keep, "chunk_no", F.concat_ws(" ", F.slice(parts, F.col("chunk_no") * step + 1, F.lit(width))).alias("chunk"))
+        # the pieces are cut before the rows multiply, so no row carries the whole text along
+        .select(*keep, F.posexplode(F.transform(
+            F.sequence(F.lit(0), last),
+            lambda n: F.concat_ws(" ", F.slice(parts, n * step + 1, F.lit(width))),
+        )).alias("chunk_no", "chunk"))
     )
 
 

@@ -49,7 +49,7 @@ def search_vectors(queries: DataFrame, points: DataFrame, k: int = VECTOR_SEARCH
     if index is not None:
         hits = approx_top_k(queries, index, k, probes)
     else:
-        few = small_queries(queries)
+        few = small_queries(queries, k)
         hits = top_k(queries, points, k) if few is None else scan_top_k(
             few, queries.schema["query_id"].dataType, points, k)
     out = with_payload(hits, points, few is not None)

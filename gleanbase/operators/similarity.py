@@ -33,7 +33,9 @@ from .skew import salted_join
 DIGITS = 4
 SCAN_QUERIES = 4096          # most queries sent to every task
 SCAN_BYTES = 64 << 20        # and their most bytes
-MAX_PIVOTS = 4096            # pivots are held by every task
+SCAN_HITS = 500_000          # and hits asked for
+MAX_PIVOTS = 4096            # pivots are held by every task,
+PIVOT_BYTES = 64 << 20       # in no more than this
 POINT_BLOCK = 16_384         # rows of a scoring block
 QUERY_BLOCK = 4096
 _CELLS_AT_ONCE = 2_000_000   # entries of a score matrix in a worker
@@ -139,10 +141,12 @@ def _usable(df: DataFrame, vector: str, dim: int) -> DataFrame:
     return df.filter((F.size(vector) == dim) & ~F.exists(vector, lambda x: x.isNull()))
 
 
-def small_queries(queries: DataFrame) -> pa.Table | None:
-    """The queries (query_id, embedding) themselves if they are few, else None."""
+def small_queries(queries: DataFrame, k: int) -> pa.Table | None:
+    """The queries (query_id, embedding) themselves if they and their hits are few, else
+    None."""
     head = queries.select("query_id", "embedding").limit(SCAN_QUERIES + 1).toArrow()
-    return head if head.num_rows <= SCAN_QUERIES and head.nbytes <= SCAN_BYTES else None
+    few = head.num_rows <= SCAN_QUERIES and head.nbytes <= SCAN_BYTES and head.num_rows * k <= SCAN_HITS
+    return head if few else None
 
 
 # --- scan -----------------------------------------------------------------------------
@@ -168,7 +172,7 @@ def scan_top_k(few: pa.Table, query_type: T.DataType, points: DataFrame, k: int)
             best.add(_values(batch.column("id")), _matrix(batch.column("embedding"), dim))
         yield from best.table(query_ids, arrow).to_batches()
 
-    # at most SCAN_QUERIES * k rows: written, so that what follows does not scan again
+    # at most SCAN_HITS rows: written, so that what follows does not scan again
     return written(best_k(_usable(points.select("id", "embedding"), "embedding", dim).mapInArrow(run, schema), k), "hits")
 
 
@@ -206,7 +210,8 @@ def build_index(points: DataFrame, k_max: int = 10, pivots: int | None = None, p
     if pivots is None:
         pivots = _pivot_count(clean.count())
     lot = F.md5(F.col("id").cast("string"))
-    heads = clean.orderBy(lot, "id").limit(min(pivots, MAX_PIVOTS)).select("embedding").toArrow()
+    most = min(MAX_PIVOTS, PIVOT_BYTES // (8 * max(dim, 1)))
+    heads = clean.orderBy(lot, "id").limit(min(pivots, most)).select("embedding").toArrow()
     centres = _matrix(heads.column("embedding"), dim) if heads.num_rows else np.zeros((0, max(dim, 1)))
     shared = spark.sparkContext.broadcast(centres)
 
@@ -356,7 +361,7 @@ def _check(index: CellIndex, k: int) -> None:
 def top_k(queries: DataFrame, points: DataFrame, k: int = 10) -> DataFrame:
     """Exact best k of ``points`` (id, embedding) for each of ``queries`` (query_id,
     embedding): by scan when the queries are few, by cells otherwise."""
-    few = small_queries(queries)
+    few = small_queries(queries, k)
     if few is not None:
         return scan_top_k(few, queries.schema["query_id"].dataType, points, k)
     return exact_top_k(queries, build_index(points, k_max=k), k)

@@ -201,14 +201,14 @@ def channel_names(spark, d):
 
 @query("union_channels", f"""
 WITH {CHANNELS}, ordered AS (
-  SELECT *, CASE channel WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS channel_ord
-  FROM channel_rows WHERE channel IN ('view', 'click', 'signup'))
-SELECT id, channel_ord, event_id, rows_before FROM (
+  SELECT *, list_position(['view', 'click', 'signup', 'error', 'purchase'], channel) - 1 AS channel_ord
+  FROM channel_rows)
+SELECT id, CAST(channel_ord AS INTEGER) AS channel_ord, event_id, rows_before FROM (
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY channel_ord DESC, event_id DESC) AS n,
          count(*) OVER (PARTITION BY id) AS rows_before FROM ordered) WHERE n = 1""")
 def union_channels(spark, d):
     rows = channel_rows(spark, d)
-    both = C.union_blocks(*[rows.filter(F.col("channel") == c) for c in ("view", "click", "signup")])
+    both = C.union_blocks(*[rows.filter(F.col("channel") == c) for c in ("view", "click", "signup", "error", "purchase")])
     last = last_per_key(both, ["id"], ["channel_ord", "event_id"]).select("id", "channel_ord", "event_id")
     return last.join(both.groupBy("id").agg(F.count("*").alias("rows_before")), "id")
 
@@ -277,9 +277,9 @@ def attach_content(spark, d):
 
 
 def _stored(spark, d):
-    """All documents but the French ones; German ones have no text yet."""
+    """All documents; German ones have no text yet."""
     at = F.lit(dt.datetime(2024, 1, 1))
-    return table(spark, d, "documents").filter("lang <> 'fr'").select(
+    return table(spark, d, "documents").select(
         F.col("doc_id").cast("string").alias("id"), F.lit(None).cast("string").alias("source_url"),
         F.when(F.col("lang") != "de", F.col("text")).alias("crawled_text"), F.col("source").alias("title"),
         F.col("lang").alias("description"), F.lit(None).cast("string").alias("metadata"),
@@ -287,10 +287,10 @@ def _stored(spark, d):
 
 
 def _batch(spark, d):
-    """All pages; those under a #top address came without text."""
+    """All pages. Those under a #top address came without text, .html pages are new blocks."""
     return table(spark, d, "pages").select(
-        F.col("page_id").cast("string").alias("id"), F.col("url").alias("source_url"),
-        F.lit('{"page":1}').alias("full_json"),
+        F.concat(F.when(F.col("url").endswith(".html"), "p").otherwise(""), F.col("page_id").cast("string")).alias("id"),
+        F.col("url").alias("source_url"), F.lit('{"page":1}').alias("full_json"),
         F.when(~F.col("url").endswith("#top"), F.md5("html")).alias("crawled_text"),
         urls.authority(F.col("url")).alias("title"), F.lit(None).cast("string").alias("description"),
         F.lit(None).cast("string").alias("metadata"))
@@ -299,13 +299,13 @@ def _batch(spark, d):
 def _upsert_sql(text: str) -> str:
     return f"""
 WITH stored AS (
-  SELECT doc_id AS id, CASE WHEN lang <> 'de' THEN text END AS crawled_text, source AS title,
-         lang AS description FROM documents WHERE lang <> 'fr'),
+  SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN lang <> 'de' THEN text END AS crawled_text, source AS title,
+         lang AS description FROM documents),
 batch AS (
-  SELECT page_id AS id, url AS source_url,
+  SELECT CASE WHEN url LIKE '%.html' THEN 'p' ELSE '' END || page_id AS id, url AS source_url,
          CASE WHEN url NOT LIKE '%#top' THEN md5(html) END AS crawled_text,
          regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)', 2) AS title FROM pages)
-SELECT CAST(coalesce(s.id, b.id) AS VARCHAR) AS id, b.source_url,
+SELECT coalesce(s.id, b.id) AS id, b.source_url,
        CASE WHEN b.id IS NULL THEN s.crawled_text ELSE {text} END AS crawled_text,
        CASE WHEN b.id IS NULL THEN s.title ELSE b.title END AS title,
        CASE WHEN b.id IS NULL THEN s.description END AS description,
@@ -340,9 +340,9 @@ def upsert_table(spark, d):
 
 @query("upsert_newer", """
 WITH s AS (SELECT user_id AS id, max(ts) AS at, arg_max(props, ts) AS metadata
-           FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id),
+           FROM events WHERE event_type IN ('view', 'click', 'error') GROUP BY user_id),
 b AS (SELECT user_id AS id, max(ts) AS at, arg_max(props, ts) AS metadata
-      FROM events WHERE event_type = 'purchase' GROUP BY user_id)
+      FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY user_id)
 SELECT CAST(coalesce(s.id, b.id) AS VARCHAR) AS id,
        CASE WHEN s.id IS NULL OR b.at > s.at THEN b.metadata ELSE s.metadata END AS metadata,
        strftime(coalesce(s.at, b.at), '%Y-%m-%d %H:%M:%S') AS created_at,
@@ -356,8 +356,8 @@ def upsert_newer(spark, d):
         return last.select("id", none.alias("source_url"), none.alias("full_json"), none.alias("crawled_text"),
                            none.alias("title"), none.alias("description"), "metadata",
                            F.col("created_at").cast("timestamp").alias("updated_at"))
-    stored = side(["view", "click"]).withColumn("created_at", F.col("updated_at"))
-    merged = B.merge_blocks(stored, side(["purchase"]), F.current_timestamp(), "newer")
+    stored = side(["view", "click", "error"]).withColumn("created_at", F.col("updated_at"))
+    merged = B.merge_blocks(stored, side(["purchase", "signup"]), F.current_timestamp(), "newer")
     return merged.select("id", "metadata", _time("created_at"), _time("updated_at"))
 
 
@@ -439,7 +439,7 @@ def csv_blocks(spark, d):
 
 @query("ingest_job", """
 WITH e AS (SELECT user_id, arg_max(event_type, event_id) AS channel, max(event_id) AS event_id
-           FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id)
+           FROM events GROUP BY user_id)
 SELECT CAST(user_id AS VARCHAR) AS id, 'v' || event_id AS title, p.url AS source_url,
        CASE WHEN p.url IS NULL THEN 0 ELSE 1 END AS has_text
 FROM e JOIN pages p ON p.page_id = e.user_id""")
@@ -452,7 +452,7 @@ def ingest_job(spark, d):
         F.lit(None).cast("string").alias("description"), F.col("metadata"),
         F.when(F.col("url").isNotNull(), F.struct("url", F.lit("text/html").alias("content_type"))).alias("source"))
     blocks = block_table(spark, scratch_path(spark, "blocks"), buckets=8)
-    ingest_channels([rows.filter("channel in ('view', 'click')")], pages, blocks, None, AS_OF)
+    ingest_channels([rows], pages, blocks, None, AS_OF)
     return blocks.read().select("id", "title", "source_url",
                                 (F.coalesce(F.col("crawled_text"), F.lit("")) != "").cast("int").alias("has_text"))
 

@@ -73,18 +73,17 @@ def unit_vectors(spark, d):
 
 
 @query("vector_upsert", """
-WITH b AS (SELECT vec_id AS id, list_reverse(embedding) AS e, 'new' AS origin FROM embeddings WHERE label >= 5
-           UNION ALL SELECT vec_id + 1000000, embedding, 'new' FROM embeddings WHERE label = 1),
+WITH b AS (SELECT CASE WHEN label >= 5 THEN vec_id ELSE vec_id + 1000000 END AS id, list_reverse(embedding) AS e,
+                  'new' AS origin FROM embeddings),
 a AS (SELECT * FROM b UNION ALL
       SELECT vec_id, embedding, 'old' FROM embeddings WHERE vec_id NOT IN (SELECT id FROM b))
 SELECT id, origin, round(CAST(e[1] AS DOUBLE), 4) + 0.0 AS head, round(CAST(e[64] AS DOUBLE), 4) + 0.0 AS tail FROM a""")
 def vector_upsert(spark, d):
     e = table(spark, d, "embeddings")
     stored = e.select(F.col("vec_id").alias("id"), "embedding", F.lit("old").alias("origin"))
-    batch = e.filter("label >= 5").select(
-        F.col("vec_id").alias("id"), F.reverse("embedding").alias("embedding"), F.lit("new").alias("origin")
-    ).unionByName(e.filter("label = 1").select(
-        (F.col("vec_id") + 1000000).alias("id"), "embedding", F.lit("new").alias("origin")))
+    batch = e.select(
+        F.when(F.col("label") >= 5, F.col("vec_id")).otherwise(F.col("vec_id") + 1000000).alias("id"),
+        F.reverse("embedding").alias("embedding"), F.lit("new").alias("origin"))
 
     def entry(n):
         return F.round(F.element_at("embedding", n).cast("double"), 4) + F.lit(0.0)
@@ -300,11 +299,11 @@ def knn_graph_others(spark, d):
 
 
 @query("new_nodes", """
-SELECT vec_id AS id, 'old' AS origin FROM embeddings WHERE label < 4 UNION ALL
-SELECT page_id, 'found' FROM pages WHERE page_id NOT IN (SELECT vec_id FROM embeddings WHERE label < 4)""")
+SELECT vec_id AS id, 'old' AS origin FROM embeddings UNION ALL
+SELECT doc_id, 'found' FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""")
 def new_nodes(spark, d):
-    old = table(spark, d, "embeddings").filter("label < 4").select(F.col("vec_id").alias("id"), F.lit("old").alias("origin"))
-    found = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.lit("found").alias("origin"))
+    old = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit("old").alias("origin"))
+    found = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.lit("found").alias("origin"))
     return G.union_nodes(old, found)
 
 

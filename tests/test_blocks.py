@@ -1,0 +1,130 @@
+import datetime as dt
+import json
+
+import pytest
+from conftest import tuples
+from pyspark.sql import functions as F
+
+from gleanbase import schemas
+from gleanbase.operators import blocks as B
+from gleanbase.operators.rows import last_per_key
+from gleanbase.operators.vectors import split_valid, upsert_points
+from gleanbase.session import scratch_path
+from gleanbase.sources.tables import SnapshotTable, block_table, vector_table
+
+T0, T1, T2 = (dt.datetime(2024, 1, d) for d in (1, 2, 3))
+BATCH = "id string, source_url string, full_json string, crawled_text string, title string, description string, metadata string"
+
+
+def stored(spark):
+    return spark.createDataFrame([
+        ("1", "u1", "text", "t", "d", "{}", T0, T0, "{}"), ("2", "u2", None, "t", "d", None, T0, T0, "{}"),
+        ("007", "u7", "seven", "1984", "d", None, T0, T0, "{}")], schemas.BLOCK)
+
+
+def batch(spark):
+    return spark.createDataFrame([("1", "n1", "{}", None, "new", None, None), ("2", "n2", "{}", "x", None, "e", "{}"),
+                                  ("3", "n3", "{}", "y", "three", None, None)], BATCH)
+
+
+@pytest.mark.parametrize("mode,text", [("overwrite", None), ("keep_text", "text")])
+def test_upsert_rules(spark, mode, text):
+    out = {r["id"]: r for r in B.merge_blocks(stored(spark), batch(spark), T1, mode).collect()}
+    assert set(out) == {"1", "2", "3", "007"}
+    one = out["1"]
+    assert (one["crawled_text"], one["title"], one["description"], one["metadata"]) == (text, "new", None, None)
+    assert (one["created_at"], one["updated_at"]) == (T0, T1)
+    assert (out["2"]["crawled_text"], out["2"]["title"]) == ("x", None)
+    assert (out["3"]["created_at"], out["3"]["updated_at"]) == (T1, T1)
+    assert (out["007"]["title"], out["007"]["updated_at"]) == ("1984", T0)
+
+
+def test_upsert_is_idempotent(spark):
+    once = B.merge_blocks(stored(spark), batch(spark), T1)
+    names = [c for c in once.columns if c != "updated_at"]
+    assert tuples(B.merge_blocks(once, batch(spark), T2), *names) == tuples(once, *names)
+
+
+def test_upsert_newer(spark):
+    new = batch(spark).withColumn("updated_at", F.when(F.col("id") == "1", F.lit(T1)).otherwise(F.lit(dt.datetime(2023, 1, 1))))
+    out = {r["id"]: r for r in B.merge_blocks(stored(spark), new, T2, "newer").collect()}
+    assert out["1"]["title"] == "new" and out["1"]["updated_at"] == T1
+    assert out["2"]["title"] == "t" and out["2"]["updated_at"] == T0
+    assert out["3"]["title"] == "three"
+
+
+def test_block_rows(spark):
+    raw = spark.createDataFrame([
+        (1, "a", None, "own", '{"k": 1}', ("u", None)), (2, None, "d", None, "{}", (None, None)), (3, "c", None, "own", None, None)],
+        "id long, title string, description string, content string, metadata string, source struct<url:string,content_type:string>")
+    content = spark.createDataFrame([("u", "parsed"), ("v", "other")], "source_url string, content string")
+    rows = {r["id"]: r for r in B.block_rows(raw, content).collect()}
+    assert set(rows) == {"1", "2"}
+    assert (rows["1"]["crawled_text"], rows["1"]["metadata"], rows["2"]["crawled_text"], rows["2"]["metadata"]) == ("parsed", '{"k": 1}', None, None)
+    whole = json.loads(rows["1"]["full_json"])
+    assert whole["id"] == 1 and whole["source"]["url"] == "u" and whole["description"] is None
+    own = {r["id"]: r for r in B.block_rows(raw, text_from="content").collect()}
+    assert (own["1"]["crawled_text"], own["1"]["metadata"], own["3"]["source_url"]) == ("own", "", None)
+
+
+def test_payload(spark):
+    df = spark.createDataFrame([("1", None, "x" * 250), ("2", "t", ""), ("3", "t", None), ("4", "t", "  ")],
+                               "id string, title string, crawled_text string")
+    out = {r["id"]: r["payload"] for r in B.payload_rows(df).collect()}
+    assert set(out) == {"1", "4"}
+    assert out["1"]["title"] is None and out["1"]["source_url"] == "" and len(out["1"]["text_preview"]) == 200
+
+
+def test_snapshot_table(spark):
+    path = scratch_path(spark, "t")
+    table = block_table(spark, path, buckets=4)
+    assert table.read().count() == 0
+    table.upsert(stored(spark), B.replace_by_id, "b0")
+    assert table.upsert(batch(spark), lambda o, n: B.merge_blocks(o, n, T1), "b1")
+    assert not table.upsert(batch(spark), lambda o, n: B.merge_blocks(o, n, T2), "b1")
+    again = SnapshotTable(spark, path, schemas.BLOCK).create()
+    assert again.buckets == 4 and again.version() == 2
+    want = B.merge_blocks(stored(spark), batch(spark), T1)
+    assert tuples(again.read(), *want.columns) == tuples(want, *want.columns)
+    ids = spark.createDataFrame([("1",), ("007",), ("nope",), ("1",)], "id string")
+    assert tuples(again.lookup(ids), "id") == [("007",), ("1",)]
+
+
+def test_failed_write_leaves_the_table(spark):
+    table = block_table(spark, scratch_path(spark, "t"), buckets=2)
+    table.upsert(stored(spark), B.replace_by_id)
+    before = tuples(table.read(), "id", "title")
+    bad = lambda o, n: B.merge_blocks(o, n, T1).withColumn("title", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        table.upsert(batch(spark), bad, "b")
+    assert tuples(table.read(), "id", "title") == before
+    assert table.upsert(batch(spark), lambda o, n: B.merge_blocks(o, n, T1), "b")
+
+
+def test_vector_table(spark):
+    table = vector_table(spark, scratch_path(spark, "v"), dim=2, buckets=2)
+    schema = "id string, embedding array<float>, payload struct<block_id:string,title:string,description:string,source_url:string,text_preview:string>"
+    pay = ("1", None, None, None, "p")
+    points = spark.createDataFrame([("1", [3.0, 4.0], pay), ("2", [0.0, 0.0], pay), ("3", [1.0], pay), ("4", None, pay), ("5", [1.0, None], pay)], schema)
+    good, bad = split_valid(points, 2)
+    assert tuples(bad, "id", "reason") == [("2", "zero vector"), ("3", "wrong dimension"), ("4", "wrong dimension"), ("5", "wrong dimension")]
+    upsert_points(table, points)
+    upsert_points(table, spark.createDataFrame([("9", [0.0, 2.0], pay), ("1", [0.0, 5.0], pay)], schema))
+    assert tuples(table.read(), "id", "embedding") == [("1", [0.0, 1.0]), ("9", [0.0, 1.0])]
+    with pytest.raises(ValueError):
+        vector_table(spark, table.path, dim=3)
+
+
+def test_submitted_blocks(spark):
+    rows = [("https://a/x", None, "t", "{}", "body", T0), ("not a url", None, "t", None, "body", T0), (None, "f.PDF", None, None, "body", T0),
+            (None, "f.txt", None, None, "body", T0), ("https://a/y", None, None, "{bad", "body", T0), ("https://a/z", None, None, None, "", T0),
+            (None, None, None, None, "body", T0)]
+    df = spark.createDataFrame(rows, "url string, file_name string, title string, metadata string, content string, submitted_at timestamp")
+    good, bad = B.submitted_blocks(df.withColumn("description", F.lit(None).cast("string")))
+    assert tuples(good, "source.url") == [("f.PDF",), ("https://a/x",)]
+    assert sorted(r["reason"] for r in bad.collect()) == ["bad address", "bad metadata", "no address", "no content", "not a pdf file"]
+
+
+def test_last_wins(spark):
+    df = spark.createDataFrame([("1", 0, "a"), ("1", 2, "c"), ("1", 1, "b"), ("2", 0, "z")], "id string, n int, t string")
+    assert tuples(last_per_key(df, ["id"], ["n"]), "id", "t") == [("1", "c"), ("2", "z")]
