@@ -126,7 +126,7 @@ def _md_text(data: str, stack) -> str:
     if _inside(stack, "pre"):
         return data
     data = _SPACES.sub(" ", data)
-    if data == " " and stack[-1].tag in ("", "html", "head", "body", "ul", "ol", "table", "thead", "tbody", "tr"):
+    if data == " " and stack[-1].tag in ("html", "head", "ul", "ol", "table", "thead", "tbody", "tr"):
         return ""
     return data if _inside(stack, "code") else data.replace("*", r"\*").replace("_", r"\_")
 
@@ -156,7 +156,7 @@ def _table_row(text: str, stack) -> str:
     first = table is None or table.count == 0
     if table is not None:
         table.count += 1
-    row = f"|{text.strip()}\n"
+    row = f"| {text.strip()}\n"
     width = len(re.findall(r"(?<!\\)\|", row)) - 1
     return row + ("|" + " --- |" * width + "\n" if first and width else "")
 
@@ -191,7 +191,7 @@ def _as_markdown(e: _Open, text: str, stack) -> str:
     if tag == "pre":
         return f"\n\n```{CODE_LANGUAGE}\n{text.strip(chr(10))}\n```\n\n" if text.strip() else ""
     if tag == "blockquote":
-        lines = text.strip().split("\n")
+        lines = re.sub(r"\n\s*\n", "\n\n", text.strip()).split("\n")
         return "\n\n" + "\n".join(f"> {line}".rstrip() for line in lines) + "\n\n" if text.strip() else ""
     if tag in ("ul", "ol"):
         body = text.rstrip("\n") + "\n"

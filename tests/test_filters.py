@@ -53,8 +53,9 @@ def test_date_window_is_left_open_and_pushed(spark, sf):
                                "id int, created_at timestamp")
     assert ids(filters.date_window(df, day, day + dt.timedelta(days=1))) == [2, 3]
     events = spark.read.parquet(f"{sf}/events.parquet")
-    plan = filters.date_window(events, day, day, "event_id" if False else "ts")._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters" in plan
+    lit = [F.lit(f"2024-01-{d} 00:00:00").cast("timestamp_ntz") for d in ("02", "05")]
+    plan = filters.date_window(events, *lit, "ts")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(ts,2024-01-02" in plan and "LessThanOrEqual(ts,2024-01-05" in plan
 
 
 def test_needs_parsing_and_lookup(spark):
