@@ -31,9 +31,10 @@ def chunks(df: DataFrame, text: str = "crawled_text", width: int = 120, step: in
 
 
 def word_counts(df: DataFrame, text: str = "crawled_text", min_length: int = 3) -> DataFrame:
-    """(id, word, n). Counts are combined in the task that reads the text."""
+    """(id, word, n). The texts are laid out by id first: a text is smaller than the list
+    of its counted words, and the counting then needs no shuffle of its own."""
     return (
-        df.select("id", F.explode(tx.words(F.col(text), min_length)).alias("word"))
+        df.select("id", text).repartition("id").select("id", F.explode(tx.words(F.col(text), min_length)).alias("word"))
         .groupBy("id", "word").agg(F.count("*").alias("n"))
     )
 

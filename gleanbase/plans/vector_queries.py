@@ -13,7 +13,7 @@ from ..operators.embed import embed
 from ..operators.keywords import chunks
 from ..operators.search import RETRIEVE_K, TEXT_SEARCH_K, enrich, search_text, search_vectors
 from ..operators.similarity import build_index, approx_top_k, exact_top_k, shown_score, top_k
-from ..session import scratch_path
+from ..session import scratch_path, written
 from ..sources.files import hit_lines, write_hits
 from ..sources.tables import vector_table
 from .catalog import ARCHIVE, archive, query, table
@@ -181,7 +181,8 @@ def _questions(spark, d):
 
 
 def _text_hits(spark, d, k):
-    return search_text(_questions(spark, d), points_of(archive(spark, d)), k)
+    # the points stand for a stored table: embedded once, then searched and looked up
+    return search_text(_questions(spark, d), written(points_of(archive(spark, d)), "points"), k)
 
 
 @query("search_text", f"""
