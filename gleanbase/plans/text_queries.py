@@ -15,14 +15,17 @@ from .catalog import ARCHIVE, archive, linked, query, strip_html_sql, table
 _BLANK = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 
 
+def _clean_sql(t: str) -> str:
+    return rf"""regexp_replace(replace(replace(regexp_replace(regexp_replace({t},
+         '\n{_BLANK}*\n', chr(10) || chr(10), 'g'), '\[\p{{Nd}}+\]', '', 'g'), '[edit]', ''), '[]', ''),
+         '^{_BLANK}+|{_BLANK}+$', '', 'g')"""
+
+
 @query("clean_markdown", rf"""
 WITH marked AS (
   SELECT doc_id, '[edit] ' || replace(text, '. ', '.[12] ' || chr(10) || ' ' || chr(160) || chr(10)) || ' [' || lang
          || '] []' || chr(10) || chr(9) AS t FROM documents)
-SELECT doc_id, regexp_replace(replace(replace(regexp_replace(regexp_replace(t,
-         '\n{_BLANK}*\n', chr(10) || chr(10), 'g'), '\[\p{{Nd}}+\]', '', 'g'), '[edit]', ''), '[]', ''),
-         '^{_BLANK}+|{_BLANK}+$', '', 'g') AS text
-FROM marked""")
+SELECT doc_id, {_clean_sql('t')} AS text FROM marked""")
 def clean_markdown(spark, d):
     marked = F.concat(F.lit("[edit] "), F.replace("text", F.lit(". "), F.lit(".[12] \n  \n")),
                       F.lit(" ["), F.col("lang"), F.lit("] []\n\t"))
@@ -46,9 +49,42 @@ def _wikified(pages):
     return pages.withColumn("html", html)
 
 
-@query("main_content")
+def _wiki_pages(spark, d):
+    """Every document as an encyclopedia page: a heading and a paragraph per line inside the
+    main element, with parts around and in it that are cut."""
+    safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    body = F.concat(F.lit("<p>"), F.replace(safe, F.lit("\n"), F.lit("</p><p>")), F.lit("</p>"))
+    html = F.concat(
+        F.lit('<html><head><title>t</title></head><body><div id="mw-head"><p>top</div><div id="mw-content-text"><h2>'),
+        F.col("source"), F.lit('<span class="x mw-editsection">[edit]</span></h2>'), body,
+        F.lit('<table class="navbox"><tr><td>next<td>last</table></div><div id="footer">end</div></body></html>'))
+    return table(spark, d, "documents").select(
+        F.col("doc_id").alias("page_id"), html.alias("html"),
+        F.concat(F.lit("https://en.wikipedia.org/wiki/"), F.col("doc_id").cast("string")).alias("url"))
+
+
+@query("main_content", """
+WITH safe AS (SELECT doc_id, source, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS t FROM documents)
+SELECT doc_id AS page_id, '<div id="mw-content-text"><h2>' || source || '</h2><p>' || replace(t, chr(10), '</p><p>')
+       || '</p></div>' AS content FROM safe""")
 def main_content(spark, d):
-    return main_content_job(_wikified(table(spark, d, "pages")))
+    return main_content_job(_wiki_pages(spark, d))
+
+
+# Lines become paragraphs, so the Markdown can be written down in SQL: runs of blanks
+# become one, lines without text go, the marks of Markdown are escaped, then the cleanup.
+@query("wiki_markdown", rf"""
+WITH lines AS (
+  SELECT doc_id, source, list_filter(list_transform(str_split(text, chr(10)),
+    lambda l: trim(regexp_replace(l, '[ 	]+', ' ', 'g'))), lambda l: l <> '') AS ls FROM documents),
+md AS (
+  SELECT doc_id, '## ' || source || chr(10) || chr(10) ||
+         replace(replace(array_to_string(ls, chr(10) || chr(10)), '*', '\*'), '_', '\_') AS t FROM lines)
+SELECT 'https://en.wikipedia.org/wiki/' || doc_id AS source_url, 'wiki' AS route,
+       {_clean_sql('t')} AS content
+FROM md""")
+def wiki_markdown(spark, d):
+    return parse_pages(_wiki_pages(spark, d)).select("source_url", "route", "content")
 
 
 # Words of the converted page against the words of the page stripped of its tags: the

@@ -12,7 +12,7 @@ from ..operators import vectors as V
 from ..operators.embed import embed
 from ..operators.keywords import chunks
 from ..operators.search import RETRIEVE_K, TEXT_SEARCH_K, enrich, search_text, search_vectors
-from ..operators.similarity import build_index, approx_top_k, exact_top_k, shown_score, top_k
+from ..operators.similarity import approx_top_k, build_index, exact_top_k, recall, shown_score, top_k
 from ..session import scratch_path, written
 from ..sources.files import hit_lines, write_hits
 from ..sources.tables import vector_table
@@ -162,6 +162,21 @@ def search_approx(spark, d):
     return _rounded(approx_top_k(_self(points), build_index(points, k_max=5, pivots=16), 5, probes=4))
 
 
+@query("search_recall", f"""
+WITH {_CELLS}, {_ranked_sql(5, _ALL_PAIRS)},
+probed AS (
+  SELECT q.vec_id AS query_id, p.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY
+           round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 4) + 0.0 DESC,
+           p.vec_id) AS n
+  FROM near q JOIN near p ON q.cell = p.cell AND q.n <= 4 AND p.n = 1)
+SELECT round((SELECT count(*) FROM hits JOIN probed USING (query_id, id) WHERE probed.n <= 5) / count(*), 4) AS recall
+FROM hits""")
+def search_recall(spark, d):
+    points = _points(spark, d)
+    index = build_index(points, k_max=5, pivots=16)
+    return recall(approx_top_k(_self(points), index, 5, probes=4), top_k(_self(points), points, 5))
+
+
 _HASHED = f"""
 docs AS ({_hashed_sql('documents', 'doc_id', 'text')}),
 asked AS ({_hashed_sql('benchmark', 'item_id', 'text')}),

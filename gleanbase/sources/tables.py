@@ -9,6 +9,7 @@ batch touches. One writer per table at a time.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Callable
 
@@ -36,14 +37,16 @@ class SnapshotTable:
 
     def _state(self) -> tuple[int, dict[int, str], str | None, dict]:
         try:
-            log = self.spark.read.schema(_MANIFEST).json(f"{self.path}/manifest")
-            rows = log.filter(F.col("v") == log.agg(F.max("v")).scalar()).collect() if "v" in log.columns else []
+            files = self.spark.read.schema(_MANIFEST).json(f"{self.path}/manifest").inputFiles()
         except AnalysisException:
-            rows = []
-        if not rows:
+            files = []
+        # a folder whose write died holds no file and is not listed
+        version = max((int(found) for name in files for found in re.findall(r"/v=(\d+)/", name)), default=-1)
+        if version < 0:
             return -1, {}, None, {}
+        rows = self.spark.read.schema(_MANIFEST).json(f"{self.path}/manifest/v={version}").collect()
         head = next(r for r in rows if r["bucket"] == -1)
-        return (rows[0]["v"], {r["bucket"]: r["folder"] for r in rows if r["bucket"] >= 0},
+        return (version, {r["bucket"]: r["folder"] for r in rows if r["bucket"] >= 0},
                 head["batch"], json.loads(head["info"]))
 
     def _publish(self, version: int, folders: dict[int, str], batch: str | None, info: dict) -> None:
@@ -53,9 +56,11 @@ class SnapshotTable:
 
     def create(self, **info) -> SnapshotTable:
         """Make the table if it is absent; ``info`` (dimension, metric) stays with it."""
-        if self._state()[0] < 0:
-            self._publish(0, {}, None, {"buckets": self.buckets, **info})
-        self.buckets = self.info()["buckets"]
+        version, _, _, known = self._state()
+        if version < 0:
+            known = {"buckets": self.buckets, **info}
+            self._publish(0, {}, None, known)
+        self.buckets = known["buckets"]
         return self
 
     def info(self) -> dict:
