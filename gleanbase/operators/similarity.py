@@ -154,9 +154,11 @@ def small_queries(queries: DataFrame, k: int) -> pa.Table | None:
 def scan_top_k(few: pa.Table, query_type: T.DataType, points: DataFrame, k: int) -> DataFrame:
     spark = points.sparkSession
     schema = _hit_schema(query_type, points.schema["id"].dataType)
-    sizes = few.column("embedding").combine_chunks().value_lengths()
-    dim = max((n for n in sizes.to_pylist() if n), default=0)
-    few = few.filter(pa.array([n == dim and n > 0 for n in sizes.to_pylist()]))
+    vectors = few.column("embedding").combine_chunks()
+    sizes = [n or 0 for n in vectors.value_lengths().to_pylist()]
+    kinds, counts = np.unique([n for n in sizes if n] or [0], return_counts=True)
+    dim = int(kinds[counts.argmax()])
+    few = few.filter(pa.array([n == dim and n > 0 for n in sizes]))
     if not few.num_rows:
         return spark.createDataFrame([], schema).withColumn("rank", F.lit(1)).select("query_id", "rank", "id", "score")
     matrix = _matrix(few.column("embedding"), dim)
@@ -202,17 +204,19 @@ def build_index(points: DataFrame, k_max: int = 10, pivots: int | None = None, p
     """
     spark = points.sparkSession
     path = path or scratch_path(spark, "cells")
-    sized = points.select("id", "embedding").filter(F.size("embedding") > 0)
-    dim = sized.agg(F.max(F.size("embedding"))).first()[0] or 0
-    clean = _usable(sized, "embedding", dim).filter(F.exists("embedding", lambda x: x != 0))
-    copies = ranked(clean.withColumn("_fp", _fingerprint(F.col("embedding"))), ["_fp"], [F.col("id")], k_max, "_n")
-    clean = copies.drop("_fp", "_n")
-    if pivots is None:
-        pivots = _pivot_count(clean.count())
+    # the dimension is the one most points have; all others are unfit
+    common = points.groupBy(F.size("embedding").alias("dim")).count().filter("dim > 0").orderBy(
+        F.col("count").desc(), "dim").first()
+    dim, rows = (common["dim"], common["count"]) if common else (1, 0)
+    whole = _usable(points.select("id", "embedding"), "embedding", dim).filter(F.exists("embedding", lambda x: x != 0))
+    most = min(MAX_PIVOTS, PIVOT_BYTES // (8 * dim))
     lot = F.md5(F.col("id").cast("string"))
-    most = min(MAX_PIVOTS, PIVOT_BYTES // (8 * max(dim, 1)))
-    heads = clean.orderBy(lot, "id").limit(min(pivots, most)).select("embedding").toArrow()
-    centres = _matrix(heads.column("embedding"), dim) if heads.num_rows else np.zeros((0, max(dim, 1)))
+    heads = whole.orderBy(lot, "id").limit(min(pivots or _pivot_count(rows), most)).select("embedding").toArrow()
+    centres = _matrix(heads.column("embedding"), dim) if heads.num_rows else np.zeros((0, dim))
+    # copies among the pivots would make empty cells
+    centres = centres[np.sort(np.unique(centres, axis=0, return_index=True)[1])]
+    clean = ranked(whole.withColumn("_fp", _fingerprint(F.col("embedding"))), ["_fp"], [F.col("id")], k_max, "_n").drop(
+        "_fp", "_n")
     shared = spark.sparkContext.broadcast(centres)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,11 +7,10 @@ from pyspark.sql import DataFrame
 
 def scanned_bytes(df: DataFrame) -> int | None:
     """Estimated size of everything ``df`` reads, without running it; None if unknown."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(leaves.apply(n).stats().sizeInBytes().toString()) for n in range(leaves.size()))
-    except AttributeError:  # a remote session has no plan to look at
+    if not hasattr(df, "_jdf"):  # a remote session has no plan to look at
         return None
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(n).stats().sizeInBytes())) for n in range(leaves.size()))
 
 
 def fill_cores(df: DataFrame) -> DataFrame:

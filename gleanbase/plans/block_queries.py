@@ -17,7 +17,7 @@ from ..sources import channels as C
 from ..sources.files import read_blocks_csv
 from ..sources.tables import block_table
 from ..streaming.ingest import start_upsert
-from .catalog import (ARCHIVE, CHANNELS, IS_PDF, LINKED, archive, channel_rows, linked, query, site_sql,
+from .catalog import (ARCHIVE, CHANNELS, IS_PDF, LINKED, archive, channel_rows, heavy, linked, query, site_sql,
                       strip_html_sql, table)
 from .ingest import ingest_channels, sync_channels
 
@@ -237,7 +237,7 @@ def block_rows(spark, d):
         F.when(F.col("description").isNull(), "{ }").otherwise(
             F.concat(F.lit('{"lang":"'), "description", F.lit('"}'))).alias("metadata"),
         F.when(F.col("source_url").isNotNull(), F.struct(F.col("source_url").alias("url"))).alias("source"))
-    content = table(spark, d, "pages").select(
+    content = heavy(spark, d, "pages", "url", "html").select(
         F.col("url").alias("source_url"), tx.strip_html(F.col("html")).alias("content"))
     rows = B.block_rows(raw, content)
     return rows.select("id", "source_url", "crawled_text", "title", "description", "metadata",
@@ -270,7 +270,7 @@ WITH {ARCHIVE}
 SELECT a.id, a.source_url, length({strip_html_sql('p.html')}) AS chars
 FROM archive a LEFT JOIN pages p ON p.url = a.source_url""")
 def attach_content(spark, d):
-    content = table(spark, d, "pages").select(
+    content = heavy(spark, d, "pages", "url", "html").select(
         F.col("url").alias("source_url"), tx.strip_html(F.col("html")).alias("content"))
     return B.attach_content(archive(spark, d).select("id", "source_url"), content).select(
         "id", "source_url", F.length("content").cast("long").alias("chars"))

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.spread import fill_cores
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -26,6 +28,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
+def heavy(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table about to go through work that is heavy per row."""
+    return fill_cores(table(spark, folder, name).select(*columns))
+
+
 # How the given tables play the archive: documents are stored blocks, pages the landed
 # pages of the same number, events the contents of channels, embeddings vector points.
 

@@ -8,8 +8,9 @@ from ..functions import text as tx
 from ..operators import keywords as K
 from ..operators.parse import main_content as main_content_job
 from ..operators.parse import parse_pages
+from ..operators.spread import fill_cores
 from ..session import written
-from .catalog import ARCHIVE, archive, linked, query, strip_html_sql, table
+from .catalog import ARCHIVE, archive, heavy, linked, query, strip_html_sql, table
 
 # The Unicode blanks of the cleanup, written out for an engine with ASCII classes.
 _BLANK = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
@@ -29,12 +30,12 @@ SELECT doc_id, {_clean_sql('t')} AS text FROM marked""")
 def clean_markdown(spark, d):
     marked = F.concat(F.lit("[edit] "), F.replace("text", F.lit(". "), F.lit(".[12] \n  \n")),
                       F.lit(" ["), F.col("lang"), F.lit("] []\n\t"))
-    return table(spark, d, "documents").select("doc_id", tx.clean_markdown(marked).alias("text"))
+    return heavy(spark, d, "documents", "doc_id", "text", "lang").select("doc_id", tx.clean_markdown(marked).alias("text"))
 
 
 @query("html_text", f"SELECT page_id, {strip_html_sql('html')} AS text FROM pages")
 def html_text(spark, d):
-    return table(spark, d, "pages").select("page_id", tx.strip_html(F.col("html")).alias("text"))
+    return heavy(spark, d, "pages", "page_id", "html").select("page_id", tx.strip_html(F.col("html")).alias("text"))
 
 
 @query("html_markdown")
@@ -76,7 +77,8 @@ def main_content(spark, d):
 @query("wiki_markdown", rf"""
 WITH lines AS (
   SELECT doc_id, source, list_filter(list_transform(str_split(text, chr(10)),
-    lambda l: trim(regexp_replace(l, '[ 	]+', ' ', 'g'))), lambda l: l <> '') AS ls FROM documents),
+    lambda l: trim(regexp_replace(l, '[ 	
+]+', ' ', 'g'))), lambda l: l <> '') AS ls FROM documents),
 md AS (
   SELECT doc_id, '## ' || source || chr(10) || chr(10) ||
          replace(replace(array_to_string(ls, chr(10) || chr(10)), '*', '\*'), '_', '\_') AS t FROM lines)
@@ -109,7 +111,7 @@ SELECT id, CAST(chunk_no AS INTEGER) AS chunk_no,
        array_to_string(words[chunk_no * 100 + 1 : chunk_no * 100 + 120], ' ') AS chunk
 FROM c""")
 def chunk_text(spark, d):
-    return K.chunks(archive(spark, d).select("id", "crawled_text"))
+    return K.chunks(fill_cores(archive(spark, d).select("id", "crawled_text")))
 
 
 _WORDS = r"regexp_extract_all(lower(crawled_text), '[\p{L}\p{N}]{3,}')"

@@ -74,3 +74,15 @@ def test_reports(spark):
     assert tuple(reports.stage_counts(df).first()) == (5, 3, 2, 1, 1)
     assert tuples(reports.quality_by_site(df), "site", "blocks", "without_text", "empty_text") == [(":///", 2, 1, 0), ("https://a/", 3, 2, 1)]
     assert tuples(reports.missing_since(df, df.filter("id < '3'")), "id") == [("3",), ("4",), ("5",)]
+
+
+def test_small_inputs_fill_the_cores(spark, sf, tmp_path):
+    from gleanbase.operators.spread import fill_cores, scanned_bytes
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert 0 < scanned_bytes(docs) < 10 << 20
+    plan = fill_cores(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning(8)" in plan
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    assert fill_cores(docs) is docs
+    spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
