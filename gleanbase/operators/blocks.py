@@ -19,38 +19,55 @@ def attach_content(blocks: DataFrame, content: DataFrame, url: str = "source_url
     return salted_join(blocks, content.select(F.col("source_url").alias(url), "content"), url, "left", F.col(spread_by))
 
 
-def block_rows(raw: DataFrame, content: DataFrame | None = None, text_from: str = "parsed") -> DataFrame:
-    """Raw blocks with a source to rows of the block table (without the timestamps).
+def block_rows(raw: DataFrame, content: DataFrame | None = None, text_from: str = "parsed",
+               keep: tuple[str, ...] = ()) -> DataFrame:
+    """Raw blocks to rows of the block table (without the timestamps) and columns to keep.
 
-    ``parsed`` takes the text of the page conversion and keeps the metadata;
-    ``content`` takes the block's own content field and stores '' as metadata.
+    ``parsed`` takes the text of the page conversion and ``record`` the text that came
+    with the row; both need a source and keep the metadata. ``content`` takes the block's
+    own content field, needs no source and stores '' as metadata.
     """
-    rows = raw.filter(F.col("source").isNotNull() & F.col("id").isNotNull()) if text_from == "parsed" else raw.filter(
-        F.col("id").isNotNull())
+    rows = raw.filter(F.col("id").isNotNull())
+    if text_from != "content":
+        rows = rows.filter(F.col("source").isNotNull())
     names = [f.name for f in schemas.RAW_BLOCK.fields if f.name in raw.columns]
+    own = "content" in names
+    if text_from == "record":
+        names.remove("content")
     base = rows.select(
         F.col("id").cast("string").alias("id"),
         F.col("source.url").alias("source_url"),
         v.json_text(F.struct(*names)).alias("full_json"),
-        F.col("content").alias("_own") if "content" in names else F.lit(None).cast("string").alias("_own"),
+        F.col("content").alias("_own") if own else F.lit(None).cast("string").alias("_own"),
         "title",
         "description",
         v.metadata_or_null(F.col("metadata")).alias("metadata"),
+        *keep,
     )
     if text_from == "content":
         base = base.withColumn("crawled_text", F.col("_own")).withColumn("metadata", F.lit(""))
+    elif text_from == "record":
+        base = base.withColumn("crawled_text", F.col("_own"))
     elif text_from != "parsed":
-        raise ValueError("text_from must be 'parsed' or 'content'")
+        raise ValueError("text_from must be 'parsed', 'record' or 'content'")
     elif content is None:
         base = base.withColumn("crawled_text", F.lit(None).cast("string"))
     else:
         base = attach_content(base, content).withColumnRenamed("content", "crawled_text")
-    return base.select("id", *schemas.BLOCK_VALUES)
+    return base.select("id", *schemas.BLOCK_VALUES, *keep)
 
 
 def merge_blocks(stored: DataFrame, batch: DataFrame, as_of, mode: str = "keep_text",
                  newer_col: str = "updated_at") -> DataFrame:
-    """Upsert by id. ``batch`` has one row per id.
+    """Upsert by id, see ``merge_parts``."""
+    kept, added = merge_parts(stored, batch, as_of, mode, newer_col)
+    return kept.unionByName(added)
+
+
+def merge_parts(stored: DataFrame, batch: DataFrame, as_of, mode: str = "keep_text",
+                newer_col: str = "updated_at") -> tuple[DataFrame, DataFrame]:
+    """Upsert by id: the stored rows brought up to date, and the new rows. ``batch`` has
+    one row per id.
 
     Known ids take every value of the batch, nulls included, keep created_at and get
     updated_at = as_of. ``keep_text`` lets a null text leave the stored text alone,
@@ -88,7 +105,7 @@ def merge_blocks(stored: DataFrame, batch: DataFrame, as_of, mode: str = "keep_t
         "id", *[F.col(f"_{c}").alias(c) for c in names],
         stamp.alias("created_at"), stamp.alias("updated_at"),
     ).select(*order)
-    return kept.unionByName(added)
+    return kept, added
 
 
 def payload(df: DataFrame) -> Column:
@@ -113,7 +130,12 @@ def payload_rows(blocks: DataFrame) -> DataFrame:
 
 def replace_by_id(stored: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
     """Last write wins for whole rows."""
-    return batch.unionByName(stored.join(batch.select(key), key, "left_anti"))
+    kept, added = replace_parts(stored, batch, key)
+    return added.unionByName(kept)
+
+
+def replace_parts(stored: DataFrame, batch: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    return stored.join(batch.select(key), key, "left_anti"), batch
 
 
 def submitted_blocks(records: DataFrame) -> tuple[DataFrame, DataFrame]:

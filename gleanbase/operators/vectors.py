@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import SnapshotTable
-from .blocks import replace_by_id
+from .blocks import replace_parts
 
 
 def norm(vector: Column) -> Column:
@@ -41,4 +41,4 @@ def split_valid(points: DataFrame, dim: int, column: str = "embedding") -> tuple
 def upsert_points(table: SnapshotTable, points: DataFrame, batch_id: str | None = None) -> bool:
     """Store points (one per id); a new point replaces the old one whole."""
     good, _ = split_valid(points, table.info()["dim"])
-    return table.upsert(good.select("id", "embedding", "payload"), replace_by_id, batch_id)
+    return table.upsert(good.select("id", "embedding", "payload"), replace_parts, batch_id)

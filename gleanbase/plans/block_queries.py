@@ -332,9 +332,9 @@ def upsert_keep_text(spark, d):
 @query("upsert_table", _upsert_sql("coalesce(b.crawled_text, s.crawled_text)"))
 def upsert_table(spark, d):
     blocks = block_table(spark, scratch_path(spark, "blocks"), buckets=8)
-    blocks.upsert(_stored(spark, d), B.replace_by_id)
-    blocks.upsert(_batch(spark, d), lambda old, new: B.merge_blocks(old, new, AS_OF), "pages")
-    blocks.upsert(_batch(spark, d), lambda old, new: B.merge_blocks(old, new, dt.datetime(2030, 1, 1)), "pages")
+    blocks.upsert(_stored(spark, d), B.replace_parts)
+    blocks.upsert(_batch(spark, d), lambda old, new: B.merge_parts(old, new, AS_OF), "pages")
+    blocks.upsert(_batch(spark, d), lambda old, new: B.merge_parts(old, new, dt.datetime(2030, 1, 1)), "pages")
     return _shown(blocks.read())
 
 
@@ -489,7 +489,7 @@ def stream_ingest(spark, d):
                            none.alias("full_json"), none.alias("crawled_text"), F.col("event_type").alias("title"),
                            none.alias("description"), F.col("props").alias("metadata"), "ts")
 
-    start_upsert(rows, blocks, prepare, lambda old, new: B.merge_blocks(old, new, F.col("ts")),
+    start_upsert(rows, blocks, prepare, lambda old, new: B.merge_parts(old, new, F.col("ts")),
                  scratch_path(spark, "offsets"), "events").awaitTermination()
     return blocks.read().select("id", "title", "metadata", _time("updated_at"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import filters
-from ..operators.blocks import block_rows, has_text, merge_blocks, payload, replace_by_id, submitted_blocks
+from ..operators.blocks import block_rows, has_text, merge_parts, payload, replace_parts, submitted_blocks
 from ..operators.embed import DIM, Encoder, HashEncoder, embed
 from ..operators.parse import parse_pages
 from ..operators.rows import last_per_key
@@ -62,7 +62,7 @@ def ingest_channels(channel_frames: list[DataFrame], pages: DataFrame, blocks: S
     parsed = written(parse_pages(pages.join(addresses, "url", "left_semi"), mode == "pdf_only"), "parsed")
     content = parsed.filter(F.col("content").isNotNull()).select("source_url", "content")
     batch = written(block_rows(latest.drop(*ARRIVAL, "channel"), content), "batch")
-    blocks.upsert(batch, lambda old, new: merge_blocks(old, new, as_of, upsert_mode))
+    blocks.upsert(batch, lambda old, new: merge_parts(old, new, as_of, upsert_mode))
     if vectors is not None:
         store_vectors(blocks.lookup(batch.select("id")), vectors, make_encoder)
     return parsed.filter(F.col("content").isNull()).select("source_url", "route", "error")
@@ -78,7 +78,7 @@ def sync_channels(channel_frames: list[DataFrame], blocks: SnapshotTable, as_of,
         rows = filters.date_window(rows.withColumn("_at", F.try_to_timestamp("created_at")), since, till, "_at").drop("_at")
     latest = last_per_key(rows.filter(F.col("id").isNotNull()), ["id"], ARRIVAL)
     batch = written(block_rows(latest.drop(*ARRIVAL, "channel"), text_from="content"), "batch")
-    blocks.upsert(batch, lambda old, new: merge_blocks(old, new, as_of, upsert_mode))
+    blocks.upsert(batch, lambda old, new: merge_parts(old, new, as_of, upsert_mode))
 
 
 def ingest_records(records: DataFrame, blocks: SnapshotTable, vectors: SnapshotTable | None,
@@ -87,15 +87,12 @@ def ingest_records(records: DataFrame, blocks: SnapshotTable, vectors: SnapshotT
     a record is its submission, so a replay writes the same rows."""
     good, rejects = submitted_blocks(records)
     latest = last_per_key(good, ["id"], ["submitted_at", "title", "description", "content"])
-    content = latest.select("id", "content", "submitted_at")
-    rows = block_rows(latest.drop("content", "submitted_at")).drop("crawled_text").join(content, "id")
-    batch = written(rows.withColumnRenamed("content", "crawled_text"), "records")
-    blocks.upsert(batch, lambda old, new: merge_blocks(
-        old, new, F.col("submitted_at"), "keep_text"), batch_id)
+    batch = written(block_rows(latest, text_from="record", keep=("submitted_at",)), "records")
+    blocks.upsert(batch, lambda old, new: merge_parts(old, new, F.col("submitted_at")), batch_id)
     if vectors is not None:
         store_vectors(batch, vectors, make_encoder, batch_id)
     return rejects
 
 
 def upsert_whole_rows(table: SnapshotTable, batch: DataFrame) -> bool:
-    return table.upsert(batch, replace_by_id)
+    return table.upsert(batch, replace_parts)

@@ -102,7 +102,7 @@ def vector_table_query(spark, d):
     rows_ = archive(spark, d).withColumns({
         "metadata": none, "full_json": none, "created_at": F.lit(None).cast("timestamp"),
         "updated_at": F.lit(None).cast("timestamp")})
-    blocks.upsert(rows_, B.replace_by_id)
+    blocks.upsert(rows_, B.replace_parts)
     vectors = vector_table(spark, scratch_path(spark, "vectors"), buckets=8)
     transfer_vectors(blocks, vectors)
     return vectors.read().select(

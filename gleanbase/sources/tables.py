@@ -95,10 +95,11 @@ class SnapshotTable:
         part = self._open({b: f for b, f in folders.items() if b in wanted})
         return part.join(keys.select(self.key).distinct(), self.key, "left_semi")
 
-    def upsert(self, batch: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame],
+    def upsert(self, batch: DataFrame, merge: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]],
                batch_id: str | None = None) -> bool:
-        """Replace the touched buckets by ``merge(stored, batch)``. A ``batch_id`` equal
-        to the last one committed is a replay and changes nothing."""
+        """Replace the touched buckets by ``merge(stored, batch)``, which gives the stored
+        rows brought up to date and the new rows. A ``batch_id`` equal to the last one
+        committed is a replay and changes nothing. ``batch`` is read more than once."""
         version, folders, last, info = self._state()
         if version < 0:
             raise ValueError(f"no table at {self.path}")
@@ -108,17 +109,34 @@ class SnapshotTable:
         if not touched:
             return False
         stored = self._open({b: f for b, f in folders.items() if b in touched})
-        folder = f"w={uuid.uuid4().hex[:12]}"
+        kept, added = merge(stored, batch)
+        # Stored rows are written from the tasks that read their files, no shuffle; only the
+        # new rows are brought together by bucket, or each task would leave a file in each.
+        folder = self._write(self._placed(kept).unionByName(self._placed(added).hint("rebalance", "bucket")))
+        self._commit(version, {**folders, **{b: folder for b in touched}}, batch_id, info)
+        return True
+
+    def compact(self) -> None:
+        """Rewrite the table with few files per bucket, after many small upserts."""
+        version, folders, last, info = self._state()
+        if folders:
+            folder = self._write(self._placed(self._open(folders)).hint("rebalance", "bucket"))
+            self._commit(version, {b: folder for b in folders}, last, info)
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
         names = [f.name for f in self.schema.fields]
-        merged = merge(stored, batch).select(*names).withColumn("bucket", self.bucket_of(F.col(self.key)))
-        # Few files per bucket, yet no bucket bound to one task: AQE splits and joins the
-        # partitions of a rebalance by size.
-        merged.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
-        now = {**folders, **{b: folder for b in touched}}
+        return rows.select(*names, self.bucket_of(F.col(self.key)).alias("bucket"))
+
+    def _write(self, rows: DataFrame) -> str:
+        folder = f"w={uuid.uuid4().hex[:12]}"
+        rows.write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
+        return folder
+
+    def _commit(self, version: int, folders: dict[int, str], batch_id: str | None, info: dict) -> None:
         for attempt in range(version + 1, version + 101):
             try:
-                self._publish(attempt, now, batch_id, info)
-                return True
+                self._publish(attempt, folders, batch_id, info)
+                return
             except AnalysisException:
                 if self.version() != version:
                     raise RuntimeError("another writer has changed the table") from None

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schemas
 from ..operators.embed import Encoder, HashEncoder
 from ..plans.ingest import ingest_records
+from ..session import written
 from ..sources.tables import SnapshotTable
 
 
@@ -43,10 +44,11 @@ def start_ingest(records: DataFrame, blocks: SnapshotTable, vectors: SnapshotTab
 
 
 def start_upsert(rows: DataFrame, table: SnapshotTable, prepare: Callable[[DataFrame], DataFrame],
-                 merge: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str, name: str) -> StreamingQuery:
+                 merge: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], checkpoint: str, name: str) -> StreamingQuery:
     """The same loop for any keyed table: ``prepare`` makes one row per key of a batch."""
     def take(batch: DataFrame, number: int) -> None:
-        table.upsert(prepare(batch), merge, f"{name}:{number}")
+        # the upsert reads its batch more than once, the source should be read only once
+        table.upsert(written(prepare(batch), "batch"), merge, f"{name}:{number}")
 
     return rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()

@@ -79,26 +79,32 @@ def test_snapshot_table(spark):
     path = scratch_path(spark, "t")
     table = block_table(spark, path, buckets=4)
     assert table.read().count() == 0
-    table.upsert(stored(spark), B.replace_by_id, "b0")
-    assert table.upsert(batch(spark), lambda o, n: B.merge_blocks(o, n, T1), "b1")
-    assert not table.upsert(batch(spark), lambda o, n: B.merge_blocks(o, n, T2), "b1")
+    table.upsert(stored(spark), B.replace_parts, "b0")
+    assert table.upsert(batch(spark), lambda o, n: B.merge_parts(o, n, T1), "b1")
+    assert not table.upsert(batch(spark), lambda o, n: B.merge_parts(o, n, T2), "b1")
     again = SnapshotTable(spark, path, schemas.BLOCK).create()
     assert again.buckets == 4 and again.version() == 2
     want = B.merge_blocks(stored(spark), batch(spark), T1)
     assert tuples(again.read(), *want.columns) == tuples(want, *want.columns)
     ids = spark.createDataFrame([("1",), ("007",), ("nope",), ("1",)], "id string")
     assert tuples(again.lookup(ids), "id") == [("007",), ("1",)]
+    again.compact()
+    assert again.version() == 3 and tuples(table.read(), *want.columns) == tuples(want, *want.columns)
 
 
 def test_failed_write_leaves_the_table(spark):
     table = block_table(spark, scratch_path(spark, "t"), buckets=2)
-    table.upsert(stored(spark), B.replace_by_id)
+    table.upsert(stored(spark), B.replace_parts)
     before = tuples(table.read(), "id", "title")
-    bad = lambda o, n: B.merge_blocks(o, n, T1).withColumn("title", F.raise_error(F.lit("lost")).cast("string"))
+
+    def bad(old, new):
+        kept, added = B.merge_parts(old, new, T1)
+        return kept.withColumn("title", F.raise_error(F.lit("lost")).cast("string")), added
+
     with pytest.raises(Exception, match="lost"):
         table.upsert(batch(spark), bad, "b")
     assert tuples(table.read(), "id", "title") == before
-    assert table.upsert(batch(spark), lambda o, n: B.merge_blocks(o, n, T1), "b")
+    assert table.upsert(batch(spark), lambda o, n: B.merge_parts(o, n, T1), "b")
 
 
 def test_vector_table(spark):

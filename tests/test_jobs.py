@@ -87,7 +87,7 @@ def test_replayed_batch_changes_nothing(spark):
 def test_transfer_only(spark):
     blocks, vectors = tables(spark)
     rows = spark.createDataFrame([("1", "u", "some text", "t", None, None, T0, T0, "{}"), ("2", "u", None, "t", None, None, T0, T0, "{}")], schemas.BLOCK)
-    blocks.upsert(rows, B.replace_by_id)
+    blocks.upsert(rows, B.replace_parts)
     assert ingest.transfer_vectors(blocks, vectors)
     assert tuples(vectors.read(), "id") == [("1",)] and vectors.info()["metric"] == "cosine"
 
