@@ -10,6 +10,7 @@ from ..functions import text as tx
 from ..functions import values as v
 from .filters import has_text
 from .skew import salted_join
+from .spread import small_enough
 
 MODES = ("keep_text", "overwrite", "newer")
 
@@ -74,7 +75,7 @@ def merge_parts(stored: DataFrame, batch: DataFrame, as_of, mode: str = "keep_te
     ``overwrite`` does not, and ``newer`` applies a batch row only where its
     ``newer_col`` is later than the stored updated_at. New ids get both times.
 
-    A batch small enough to broadcast updates the stored rows where they lie: the wide
+    A batch whose size is found small enough to broadcast updates the stored rows where they lie: the wide
     stored side is then neither shuffled nor sorted.
     """
     if mode not in MODES:
@@ -96,7 +97,8 @@ def merge_parts(stored: DataFrame, batch: DataFrame, as_of, mode: str = "keep_te
         return F.when(hit, new).otherwise(F.col(c)).alias(c)
 
     order = [f.name for f in schemas.BLOCK.fields]
-    kept = stored.join(fresh, "id", "left").select(
+    changes = F.broadcast(fresh) if small_enough(fresh) else fresh
+    kept = stored.join(changes, "id", "left").select(
         "id", *[value(c) for c in names], "created_at",
         F.when(hit, stamp).otherwise(F.col("updated_at")).alias("updated_at"),
     ).select(*order)

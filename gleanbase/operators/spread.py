@@ -13,6 +13,15 @@ def scanned_bytes(df: DataFrame) -> int | None:
     return sum(int(str(leaves.apply(n).stats().sizeInBytes())) for n in range(leaves.size()))
 
 
+def small_enough(df: DataFrame, files: int = 32 << 20, rows: int = 128 << 20) -> bool:
+    """Whether ``df`` may be broadcast: it reads no more than ``files`` bytes and Spark
+    puts its own size at no more than ``rows`` bytes."""
+    size = scanned_bytes(df)
+    if size is None or size > files:
+        return False
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= rows
+
+
 def fill_cores(df: DataFrame) -> DataFrame:
     """Repartition an input too small to give every core a split of its own; leave any
     other where it is, since its scan has tasks enough and a shuffle would only cost."""

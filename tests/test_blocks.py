@@ -39,6 +39,17 @@ def test_upsert_rules(spark, mode, text):
     assert (out["007"]["title"], out["007"]["updated_at"]) == ("1984", T0)
 
 
+def test_small_batch_leaves_stored_rows_in_place(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    old = docs.select(F.col("doc_id").cast("string").alias("id"), *[F.col("text").alias(c) for c in schemas.BLOCK_VALUES],
+                      F.lit(T0).alias("created_at"), F.lit(T0).alias("updated_at"))
+    path = scratch_path(spark, "batch")
+    batch(spark).write.parquet(path)
+    kept, _ = B.merge_parts(old, spark.read.parquet(path), T1)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_upsert_is_idempotent(spark):
     once = B.merge_blocks(stored(spark), batch(spark), T1)
     names = [c for c in once.columns if c != "updated_at"]
