@@ -1,0 +1,70 @@
+import os
+import sys
+
+from gleanbase.llm import licenses
+from gleanbase.llm.queries import QUERIES, SQL
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from check_oracle import compare, connect  # noqa: E402
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_query_and_its_sql(spark):
+    rows, same, note = compare(spark, connect(SF), SF, QUERIES["op6_licenses"], SQL["op6_licenses"])
+    assert rows == 1000 and same, note
+
+
+def test_native(spark):
+    plan = QUERIES["op6_licenses"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT ...
+"""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+"""
+
+
+def scanned(frame, text):
+    row = licenses.scan(frame((1, text)).select("doc_id", "text")).first()
+    return row.sentence_ids, row.licenses, row.license
+
+
+def test_texts(frame):
+    ids, found, first = scanned(frame, MIT)
+    assert ids == ["mit-title", "mit-grant", "mit-notice", "mit-warranty"] and found == ["MIT"] and first == "MIT"
+    assert scanned(frame, GPL)[1:] == (["GPL-3.0-or-later"], "GPL-3.0-or-later")
+    assert scanned(frame, "a line with no end\nReleased under the MIT License.\nmore")[1] == ["MIT"]
+    assert scanned(frame, "x.\nLicensed under CC BY-NC 4.0.\nAll rights reserved.")[1] == ["CC-BY-NC-4.0", "reserved"]
+    # the sentences of a rule must follow each other, in order
+    apart = "Redistributions of source code must retain the above copyright notice, this list of conditions and the " \
+            "following disclaimer. Redistribution and use in source and binary forms, with or without modification, are " \
+            "permitted provided that the following conditions are met:"
+    assert scanned(frame, apart)[1] == []
+    assert scanned(frame, "not released under the MIT License at all.") == ([], [], None)
+
+
+def test_odd_rows(odd, empty):
+    rows = licenses.scan(odd).collect()
+    assert len(rows) == odd.count() and all((r.sentence_ids, r.licenses, r.license) == ([], [], None) for r in rows)
+    assert licenses.scan(empty).count() == 0
