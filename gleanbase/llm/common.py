@@ -29,10 +29,10 @@ def appended(schema: T.StructType, **kinds: T.DataType) -> T.StructType:
 
 def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` less the rows whose key is in the column ``key`` of ``ids``; rows with a
-    null key stay."""
+    null key stay. The ids may be as many as the rows, so they are never broadcast."""
     name, = fresh(docs, "_gone")
     gone = ids.select(F.col(key).alias(name)).filter(F.col(name).isNotNull()).distinct()
-    return docs.join(gone, docs[key] == gone[name], "left_anti")
+    return docs.join(gone.hint("merge"), docs[key] == gone[name], "left_anti")
 
 
 def joined(items: Column) -> Column:
