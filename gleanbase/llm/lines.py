@@ -130,7 +130,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_wo
 
     doc, th, runs = fresh(docs, "_doc", "_th", "_lost")
     lost = lost.select(F.col("doc").alias(doc), F.col("th").alias(th), F.col("lost").alias(runs))
-    both = docs.join(lost, docs[key].eqNullSafe(lost[doc]) & (F.xxhash64(docs[text]) == lost[th]), "left").drop(doc, th)
+    # what is lost grows with the corpus, so it is never broadcast
+    both = docs.join(lost.hint("merge"), docs[key].eqNullSafe(lost[doc]) & (F.xxhash64(docs[text]) == lost[th]), "left").drop(doc, th)
     names = docs.columns
     at, width = names.index(text), len(names)
 
