@@ -87,7 +87,8 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     keys = written(_variants(prints).groupBy("key").agg(
         F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "keys")
     two = keys.filter("n = 2").select("a", "b")
-    shared = written(_variants(prints).join(keys.filter("n > 2").select("key", "n"), "key"), "shared")
+    # shared keys grow with the corpus, so they are never broadcast
+    shared = written(_variants(prints).join(keys.filter("n > 2").select("key", "n").hint("merge"), "key"), "shared")
     some = shared.filter(F.col("n") <= crowd).groupBy("key").agg(F.collect_list("fp").alias("all"))
     pairs = some.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).filter("a < b")
     near = two.unionByName(pairs).filter(_near("a", "b"))
