@@ -30,7 +30,7 @@ def chunks(df: DataFrame, text: str = "crawled_text", width: int = 120, step: in
     )
 
 
-def word_counts(df: DataFrame, text: str = "crawled_text", min_length: int = 3) -> DataFrame:
+def word_counts(df: DataFrame, text: str = "crawled_text", min_length: int = 1) -> DataFrame:
     """(id, word, n). The texts are laid out by id first: a text is smaller than the list
     of its counted words, and the counting then needs no shuffle of its own."""
     return (
@@ -39,11 +39,11 @@ def word_counts(df: DataFrame, text: str = "crawled_text", min_length: int = 3)
     )
 
 
-def keyword_index(df: DataFrame, text: str = "crawled_text", top: int = 10, min_length: int = 3,
+def keyword_index(df: DataFrame, text: str = "crawled_text", min_length: int = 1,
                   share: float = 1e-4, rows: int = 100_000) -> DataFrame:
-    """Ten heaviest words of each block by tf-idf: (id, word, weight, rank). Words found
-    in a large share of the blocks would make hot join keys: they are at most
-    ``1 / share`` words, known from the counts themselves, and are spread."""
+    """All words of each block with their tf-idf: (id, word, weight). Words found in a large
+    share of the blocks would make hot join keys: they are at most ``1 / share`` words, known
+    from the counts themselves, and are spread."""
     # read three times below; the texts are split into words once
     counted = written(word_counts(df, text, min_length), "words")
     spread = counted.groupBy("word").agg(F.count("*").alias("df"))
@@ -52,22 +52,27 @@ def keyword_index(df: DataFrame, text: str = "crawled_text", top: int = 10, min_
     hot = spread.filter(F.col("df") >= least).select("word")
     joined = salted_join(counted, spread, "word", "inner", F.col("id"), hot=hot)
     weight = F.round(F.col("n") * F.log(total / F.col("df")), 4) + F.lit(0.0)
-    weighed = joined.select("id", "word", weight.alias("weight"))
-    return ranked(weighed, ["id"], [F.col("weight").desc(), F.col("word")], top)
+    return joined.select("id", "word", weight.alias("weight"))
+
+
+def top_words(index: DataFrame, top: int = 10) -> DataFrame:
+    """The heaviest words of each block, for display: (id, word, weight, rank)."""
+    return ranked(index, ["id"], [F.col("weight").desc(), F.col("word")], top)
 
 
 def keyword_cloud(index: DataFrame) -> DataFrame:
     """Weight of each keyword over all blocks. The way back to the blocks is the index
-    itself (one row per word and block), so no list grows with a common word."""
+    itself (one row per word and block), so no list grows with a common word. Weights have
+    four decimals and are added as decimals, in any order to the same sum."""
     return index.groupBy("word").agg(
-        F.count("*").alias("blocks"), F.round(F.sum("weight"), 2).alias("weight"))
+        F.count("*").alias("blocks"), F.round(F.sum(F.col("weight").cast("decimal(18,4)")), 2).cast("double").alias("weight"))
 
 
 def keyword_lookup(index: DataFrame, blocks: DataFrame, wanted: DataFrame | list[str]) -> DataFrame:
     """Blocks behind the wanted words. ``index`` should be a stored table: its words are
-    counted before the join. A block has few index rows, so it cannot be a hot key."""
+    counted before the join."""
     if isinstance(wanted, DataFrame):
         hits = salted_join(index, wanted.select("word").distinct(), "word", "left_semi", F.col("id"))
     else:
         hits = index.filter(F.col("word").isin(*wanted))
-    return hits.drop("rank").join(blocks, "id")
+    return hits.join(blocks, "id")

@@ -38,4 +38,4 @@ def quality_by_site(blocks: DataFrame) -> DataFrame:
 
 def missing_since(before: DataFrame, now: DataFrame) -> DataFrame:
     """Ids of an earlier sync that a later one did not return."""
-    return before.select("id").distinct().join(now.select("id"), "id", "left_anti")
+    return before.select("id").distinct().join(now.select("id").distinct(), "id", "left_anti")

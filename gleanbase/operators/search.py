@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .embed import DIM, Encoder, HashEncoder, embed
-from .similarity import CellIndex, approx_top_k, scan_top_k, small_queries, top_k
+from .similarity import CellIndex, approx_top_k, one_per_id, scan_top_k, small_queries, top_k
 from .skew import salted_join
 
 # Hits asked for by the callers.
@@ -20,11 +20,11 @@ FIRST_SAMPLE = 20
 
 def enrich(hits: DataFrame, blocks: DataFrame, few: bool = False) -> DataFrame:
     """Left join of the full block to every hit; a hit without one keeps nulls. ``few``
-    says that the hits are known to be few: the blocks are then cut down to them in place
-    before the join. Otherwise a hub block may be in a large share of the hits and is
+    says that the hits should be few: the blocks are then cut down to them before the join,
+    in place if Spark finds the ids small enough to broadcast. Otherwise a hub block may be in a large share of the hits and is
     spread."""
     if few:
-        wanted = F.broadcast(hits.select("id").distinct())
+        wanted = hits.select("id").distinct()
         return hits.join(blocks.join(wanted, "id", "left_semi"), "id", "left")
     return salted_join(hits, blocks, "id", "left", F.col("query_id"))
 
@@ -49,6 +49,7 @@ def search_vectors(queries: DataFrame, points: DataFrame, k: int = VECTOR_SEARCH
     if index is not None:
         hits = approx_top_k(queries, index, k, probes)
     else:
+        queries = one_per_id(queries)
         few = small_queries(queries, k)
         hits = top_k(queries, points, k) if few is None else scan_top_k(
             few, queries.schema["query_id"].dataType, points, k)

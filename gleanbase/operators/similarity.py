@@ -1,6 +1,8 @@
 """Cosine top-k of query vectors over a table of points.
 
-Order within an answer: score rounded to four decimals, descending, then id. Three ways
+Order within an answer: score rounded to four decimals (halves away from zero),
+descending, then id. A point or query counts if its vector has the dimension that most
+points have; of queries that repeat an id the one with the least vector is asked. Three ways
 to the same result form (query_id, rank, id, score):
 
 * scan: few queries (checked) go to every task as a matrix; one pass over the points,
@@ -54,6 +56,11 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
         return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
+def _score_key(scores: np.ndarray) -> np.ndarray:
+    """Scores in units of the last digit shown; the same steps as ``score_key``."""
+    return np.sign(scores) * np.floor(np.abs(scores) * 10.0 ** DIGITS + 0.5)
+
+
 def _first_k(rows: np.ndarray, keys: np.ndarray, tie: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best of each row: key descending, tie ascending."""
     order = np.lexsort((tie, -keys, rows))
@@ -82,7 +89,7 @@ class _Best:
 
     def _add(self, ids: np.ndarray, points: np.ndarray) -> None:
         scores = self.queries @ points.T
-        keys = np.round(scores, DIGITS)
+        keys = _score_key(scores)
         if keys.shape[1] > self.k:
             least = np.partition(keys, -self.k, axis=1)[:, -self.k]
             rows, cols = np.nonzero(keys >= least[:, None])
@@ -92,7 +99,7 @@ class _Best:
         all_scores = np.concatenate([self.scores, scores[rows, cols]])
         all_ids = ids[cols] if self.ids is None else np.concatenate([self.ids, ids[cols]])
         tie = np.unique(all_ids, return_inverse=True)[1]
-        keep = _first_k(all_rows, np.round(all_scores, DIGITS), tie, self.k)
+        keep = _first_k(all_rows, _score_key(all_scores), tie, self.k)
         self.rows, self.scores, self.ids = all_rows[keep], all_scores[keep], all_ids[keep]
 
     def table(self, query_ids: np.ndarray, schema: pa.Schema) -> pa.Table:
@@ -109,12 +116,18 @@ def _values(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 # --- shared DataFrame pieces ----------------------------------------------------------
 
+def score_key(score: Column) -> Column:
+    """What orders hits, in tasks (``_score_key``) and here: the score in units of its last
+    digit shown, halves away from zero. Both do the same operations on the same doubles."""
+    return F.signum(score) * F.floor(F.abs(score) * F.lit(10.0 ** DIGITS) + F.lit(0.5)).cast("double")
+
+
 def shown_score(score: Column) -> Column:
-    return F.round(score, DIGITS) + F.lit(0.0)
+    return score_key(score) / F.lit(10.0 ** DIGITS) + F.lit(0.0)
 
 
 def best_k(pairs: DataFrame, k: int) -> DataFrame:
-    out = ranked(pairs, ["query_id"], [shown_score(F.col("score")).desc(), F.col("id")], k)
+    out = ranked(pairs, ["query_id"], [score_key(F.col("score")).desc(), F.col("id")], k)
     return out.select("query_id", "rank", "id", "score")
 
 
@@ -141,6 +154,19 @@ def _usable(df: DataFrame, vector: str, dim: int) -> DataFrame:
     return df.filter((F.size(vector) == dim) & ~F.exists(vector, lambda x: x.isNull()))
 
 
+def one_per_id(queries: DataFrame) -> DataFrame:
+    """(query_id, embedding) with each id once; the least vector of those that share it."""
+    return queries.groupBy("query_id").agg(F.min("embedding").alias("embedding"))
+
+
+def common_dimension(points: DataFrame) -> tuple[int, int]:
+    """The dimension that most points have (the least of several) and their number; all
+    other points are unfit. (1, 0) without points."""
+    common = points.groupBy(F.size("embedding").alias("dim")).count().filter("dim > 0").orderBy(
+        F.col("count").desc(), "dim").first()
+    return (common["dim"], common["count"]) if common else (1, 0)
+
+
 def small_queries(queries: DataFrame, k: int) -> pa.Table | None:
     """The queries (query_id, embedding) themselves if they and their hits are few, else
     None."""
@@ -152,12 +178,12 @@ def small_queries(queries: DataFrame, k: int) -> pa.Table | None:
 # --- scan -----------------------------------------------------------------------------
 
 def scan_top_k(few: pa.Table, query_type: T.DataType, points: DataFrame, k: int) -> DataFrame:
+    """``few`` has each query_id once."""
     spark = points.sparkSession
     schema = _hit_schema(query_type, points.schema["id"].dataType)
     vectors = few.column("embedding").combine_chunks()
     sizes = [n or 0 for n in vectors.value_lengths().to_pylist()]
-    kinds, counts = np.unique([n for n in sizes if n] or [0], return_counts=True)
-    dim = int(kinds[counts.argmax()])
+    dim, _ = common_dimension(points)
     few = few.filter(pa.array([n == dim and n > 0 for n in sizes]))
     if not few.num_rows:
         return spark.createDataFrame([], schema).withColumn("rank", F.lit(1)).select("query_id", "rank", "id", "score")
@@ -204,10 +230,7 @@ def build_index(points: DataFrame, k_max: int = 10, pivots: int | None = None, p
     """
     spark = points.sparkSession
     path = path or scratch_path(spark, "cells")
-    # the dimension is the one most points have; all others are unfit
-    common = points.groupBy(F.size("embedding").alias("dim")).count().filter("dim > 0").orderBy(
-        F.col("count").desc(), "dim").first()
-    dim, rows = (common["dim"], common["count"]) if common else (1, 0)
+    dim, rows = common_dimension(points)
     whole = _usable(points.select("id", "embedding"), "embedding", dim).filter(F.exists("embedding", lambda x: x != 0))
     most = min(MAX_PIVOTS, PIVOT_BYTES // (8 * dim))
     lot = F.md5(F.col("id").cast("string"))
@@ -366,6 +389,7 @@ def _check(index: CellIndex, k: int) -> None:
 def top_k(queries: DataFrame, points: DataFrame, k: int = 10) -> DataFrame:
     """Exact best k of ``points`` (id, embedding) for each of ``queries`` (query_id,
     embedding): by scan when the queries are few, by cells otherwise."""
+    queries = one_per_id(queries)
     few = small_queries(queries, k)
     if few is not None:
         return scan_top_k(few, queries.schema["query_id"].dataType, points, k)

@@ -114,15 +114,12 @@ def chunk_text(spark, d):
     return K.chunks(fill_cores(archive(spark, d).select("id", "crawled_text")))
 
 
-_WORDS = r"regexp_extract_all(lower(crawled_text), '[\p{L}\p{N}]{3,}')"
+_WORDS = r"regexp_extract_all(lower(crawled_text), '[\p{L}\p{N}]+')"
 _INDEX = f"""
 {ARCHIVE}, tf AS (SELECT id, word, count(*) AS n FROM (SELECT id, unnest({_WORDS}) AS word FROM archive) GROUP BY ALL),
 spread AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
-weighed AS (SELECT id, word, round(n * ln((SELECT count(*) FROM archive) / df), 4) + 0.0 AS weight
-            FROM tf JOIN spread USING (word)),
-keyword_index AS (SELECT * FROM (
-  SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY weight DESC, word) AS INTEGER) AS rank FROM weighed)
-  WHERE rank <= 10)"""
+keyword_index AS (SELECT id, word, round(n * ln((SELECT count(*) FROM archive) / df), 4) + 0.0 AS weight
+                  FROM tf JOIN spread USING (word))"""
 
 
 def _index(spark, d):
@@ -133,13 +130,21 @@ def _stored_index(spark, d):
     return written(_index(spark, d), "keywords")
 
 
-@query("keyword_index", f"WITH {_INDEX} SELECT id, word, weight, rank FROM keyword_index")
+@query("keyword_index", f"WITH {_INDEX} SELECT id, word, weight FROM keyword_index")
 def keyword_index(spark, d):
     return _index(spark, d)
 
 
+@query("keyword_top", f"""
+WITH {_INDEX} SELECT * FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY weight DESC, word) AS INTEGER) AS rank FROM keyword_index)
+WHERE rank <= 10""")
+def keyword_top(spark, d):
+    return K.top_words(_index(spark, d))
+
+
 @query("keyword_cloud", f"""
-WITH {_INDEX} SELECT word, count(*) AS blocks, round(sum(weight), 2) AS weight FROM keyword_index GROUP BY word""")
+WITH {_INDEX} SELECT word, count(*) AS blocks, CAST(round(sum(CAST(weight AS DECIMAL(18,4))), 2) AS DOUBLE) AS weight FROM keyword_index GROUP BY word""")
 def keyword_cloud(spark, d):
     return K.keyword_cloud(_index(spark, d))
 
@@ -147,9 +152,9 @@ def keyword_cloud(spark, d):
 # The words of the benchmark passages are looked up.
 @query("keyword_lookup", rf"""
 WITH {_INDEX}, wanted AS (
-  SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]{{3,}}')) AS word FROM benchmark)
+  SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS word FROM benchmark)
 SELECT word, id, weight, source_url, title FROM keyword_index JOIN wanted USING (word) JOIN archive USING (id)""")
 def keyword_lookup(spark, d):
-    wanted = table(spark, d, "benchmark").select(F.explode(tx.words(F.col("text"), 3)).alias("word"))
+    wanted = table(spark, d, "benchmark").select(F.explode(tx.words(F.col("text"))).alias("word"))
     found = K.keyword_lookup(_stored_index(spark, d), archive(spark, d), wanted)
     return found.select("word", "id", "weight", "source_url", "title")

@@ -58,8 +58,8 @@ def test_chunks_cover_the_text(spark):
 def test_keywords_with_a_word_in_every_block(spark):
     df = spark.range(60).select(F.col("id").cast("string"), F.concat(F.lit("common word"), F.col("id").cast("string"), F.lit(" pair"),
                                                                        (F.col("id") / 2).cast("int").cast("string")).alias("crawled_text"))
-    plain = K.keyword_index(df, top=3)
-    hot = K.keyword_index(df, top=3, share=0.1, rows=5)
+    plain = K.top_words(K.keyword_index(df), 3)
+    hot = K.top_words(K.keyword_index(df, share=0.1, rows=5), 3)
     assert tuples(plain, "id", "word", "weight", "rank") == tuples(hot, "id", "word", "weight", "rank")
     cloud = dict(tuples(K.keyword_cloud(plain), "word", "blocks"))
     assert cloud["common"] == 60 and cloud["word7"] == 1 and cloud["pair3"] == 2

@@ -121,3 +121,20 @@ def test_text_search_with_another_encoder(spark):
     full = spark.createDataFrame([("1", "x")], "id string, more string")
     for few in (True, False):
         assert tuples(enrich(hits, full, few), "query_id", "rank", "more") == [(1, 1, "x"), (1, 2, None), (2, 1, None), (2, 2, None)]
+
+
+@pytest.mark.parametrize("scan", [4096, 0])
+def test_both_ways_keep_one_contract(spark, monkeypatch, scan):
+    """Scores on a rounding boundary, queries that repeat an id, mixed dimensions."""
+    monkeypatch.setattr(S, "SCAN_QUERIES", scan)
+    ones, near = [1.0] * 1024, [1.0] * 1024
+    query = [1.0] + [0.0] * 1023  # its cosine with ``ones`` is 0.03125 exactly
+    near[0] = 1.0013
+    points = spark.createDataFrame(
+        [("b", near), ("a", ones), ("c", [0.0] * 1023 + [1.0]), ("short", [1.0, 2.0])], "id string, embedding array<float>")
+    queries = spark.createDataFrame(
+        [("q", query), ("twice", query), ("twice", ones), ("two", [1.0, 1.0]), ("three", [1.0, 1.0]), ("four", [1.0, 0.0])],
+        "query_id string, embedding array<float>")
+    two = tuples(S.top_k(queries, points, 2), "query_id", "rank", "id")
+    assert two == [("q", 1, "a"), ("q", 2, "b"), ("twice", 1, "a"), ("twice", 2, "b")]
+    assert tuples(S.top_k(queries, points, 1), "query_id", "rank", "id") == [r for r in two if r[1] == 1]
