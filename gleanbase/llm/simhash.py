@@ -105,7 +105,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", cr
     component of such rows alone has a null id. Repeated rows get equal answers.
     """
     rows = written(fingerprints(docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))), "prints")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc").alias("least")), "nodes")
+    # each print becomes 64 rows next, so they are dealt over all partitions, however few bytes they are
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = written(rows.groupBy("fp").agg(F.min("doc").alias("least")).repartition(parts, "fp"), "nodes")
     found = written(components(links(nodes.select("fp"), crowd)), "roots")
     linked = found.join(nodes, found["node"] == nodes["fp"]).select("fp", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
