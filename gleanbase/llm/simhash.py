@@ -84,6 +84,8 @@ def _crowded(members: DataFrame) -> DataFrame:
 def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints that, with chains of them, connect all that
     link at two or fewer bits. ``prints`` is a written table of distinct ``fp``."""
+    # each print becomes 64 rows, so they are dealt over all partitions, however few bytes they are
+    prints = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     keys = written(_variants(prints).groupBy("key").agg(
         F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "keys")
     two = keys.filter("n = 2").select("a", "b")
@@ -105,9 +107,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", cr
     component of such rows alone has a null id. Repeated rows get equal answers.
     """
     rows = written(fingerprints(docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))), "prints")
-    # each print becomes 64 rows next, so they are dealt over all partitions, however few bytes they are
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nodes = written(rows.groupBy("fp").agg(F.min("doc").alias("least")).repartition(parts, "fp"), "nodes")
+    nodes = written(rows.groupBy("fp").agg(F.min("doc").alias("least")), "nodes")
     found = written(components(links(nodes.select("fp"), crowd)), "roots")
     linked = found.join(nodes, found["node"] == nodes["fp"]).select("fp", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
