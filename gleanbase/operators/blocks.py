@@ -137,7 +137,8 @@ def replace_by_id(stored: DataFrame, batch: DataFrame, key: str = "id") -> DataF
 
 
 def replace_parts(stored: DataFrame, batch: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
-    return stored.join(batch.select(key), key, "left_anti"), batch
+    ids = batch.select(key)
+    return stored.join(F.broadcast(ids) if small_enough(batch) else ids, key, "left_anti"), batch
 
 
 def submitted_blocks(records: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import values as v
 from ..session import written
 from .rows import ranked
-from .similarity import shown_score, top_k
+from .similarity import CellIndex, approx_top_k, shown_score, top_k
 from .skew import salted_join
 
 
@@ -39,10 +39,15 @@ def links(hits: DataFrame, keep_self: bool = True, k: int | None = None) -> Data
     return kept.select(F.col("query_id").alias("source"), F.col("id").alias("target"), F.col("score").alias("value"))
 
 
-def neighbour_links(points: DataFrame, k: int = 10, keep_self: bool = True) -> DataFrame:
-    """Links of one expansion of every point."""
-    queries = points.select(F.col("id").alias("query_id"), "embedding")
-    return links(top_k(queries, points, k if keep_self else k + 1), keep_self, k)
+def neighbour_links(points: DataFrame, k: int = 10, keep_self: bool = True, of: DataFrame | None = None,
+                    index: CellIndex | None = None, probes: int = 8) -> DataFrame:
+    """Links of one expansion of every point, or of the points with the ids ``of``; exact, or
+    by the ``probes`` nearest cells when an index is given."""
+    asked = points if of is None else points.join(of.select("id").distinct(), "id", "left_semi")
+    queries = asked.select(F.col("id").alias("query_id"), "embedding")
+    most = k if keep_self else k + 1
+    hits = top_k(queries, points, most) if index is None else approx_top_k(queries, index, most, probes)
+    return links(hits, keep_self, k)
 
 
 def new_nodes(existing: DataFrame, found: DataFrame) -> DataFrame:
@@ -60,6 +65,23 @@ def append_links(existing: DataFrame, added: DataFrame, distinct: bool = False)
     return both.dropDuplicates(["source", "target"]) if distinct else both
 
 
+def expand_nodes(starts: DataFrame, points: DataFrame, k: int = 10, depth: int = 1, keep_self: bool = True,
+                 index: CellIndex | None = None, probes: int = 8) -> DataFrame:
+    """Links met when the nodes ``starts`` (id) are expanded and, hop after hop, the nodes
+    that this brings in, as (source, target, value, hop). Only nodes of the frontier are
+    searched, each once; ids without a point have no links."""
+    frontier = written(starts.select("id").filter("id IS NOT NULL").distinct(), "frontier")
+    done, out = frontier, None
+    for hop in range(1, depth + 1):
+        found = written(neighbour_links(points, k, keep_self, frontier, index, probes), "links").withColumn("hop", F.lit(hop))
+        out = found if out is None else out.unionByName(found)
+        if hop < depth:
+            reached = found.select(F.col("target").alias("id")).distinct().join(done, "id", "left_anti")
+            frontier = written(reached, "frontier")
+            done = done.unionByName(frontier)
+    return out
+
+
 def expand(starts: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
     """Nodes reached from each start within ``depth`` expansions, with the first hop that
     reached them, as (start, id, hop). Each hop is written to the shared folder, so the

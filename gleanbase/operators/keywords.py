@@ -49,7 +49,7 @@ def keyword_index(df: DataFrame, text: str = "crawled_text", min_length: int = 1
     spread = counted.groupBy("word").agg(F.count("*").alias("df"))
     total = df.select("id").agg(F.count("*")).scalar()
     least = max(rows, share * counted.count())
-    hot = spread.filter(F.col("df") >= least).select("word")
+    hot = spread.filter(F.col("df") >= least).select("word", F.col("df").alias("n"))
     joined = salted_join(counted, spread, "word", "inner", F.col("id"), hot=hot)
     weight = F.round(F.col("n") * F.log(total / F.col("df")), 4) + F.lit(0.0)
     return joined.select("id", "word", weight.alias("weight"))

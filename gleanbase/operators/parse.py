@@ -32,15 +32,16 @@ def parse_pages(pages: DataFrame, pdf_only: bool = False, arrival: tuple[str, ..
     ``pages`` has url, html, content_type and, for documents whose text was extracted
     before landing, pdf_text. Each address is converted once, its latest landing. A page
     that fails or gives no text has null content and an error; pages on the skip route
-    give no row. Only web pages go to the Python stage; the cleanup after it, and the
-    whole pdf route, stay in the JVM.
+    give no row. Pages are read and shuffled once, all routes together, and only what a
+    route needs of them; the texts of documents pass the conversion as they are.
     """
     if "pdf_text" not in pages.columns:
         pages = pages.withColumn("pdf_text", F.lit(None).cast("string"))
     if "content_type" not in pages.columns:
         pages = pages.withColumn("content_type", F.lit(None).cast("string"))
     usable = filters.has_source_url(pages, "url").withColumn(
-        "route", filters.route(F.col("url"), F.col("content_type"), pdf_only)).filter(F.col("route") != "skip")
+        "route", filters.route(F.col("url"), F.col("content_type"), pdf_only)).filter(F.col("route") != "skip").select(
+        "url", "route", F.when(F.col("route") == "pdf", F.col("pdf_text")).otherwise(F.col("html")).alias("page"), *arrival)
     once = last_per_key(usable, ["url"], list(arrival))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,7 +50,8 @@ def parse_pages(pages: DataFrame, pdf_only: bool = False, arrival: tuple[str, ..
             for route, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 text = error = None
                 try:
-                    text = html.wiki_markdown(page or "", cut, main) if route == "wiki" else html.to_markdown(page or "")
+                    text = page if route == "pdf" else (
+                        html.wiki_markdown(page or "", cut, main) if route == "wiki" else html.to_markdown(page or ""))
                 except Exception as e:  # a page must not stop the job; it is reported
                     error = f"{type(e).__name__}: {e}"
                 texts.append(text)
@@ -58,11 +60,8 @@ def parse_pages(pages: DataFrame, pdf_only: bool = False, arrival: tuple[str, ..
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(errors, pa.string())],
                 ["url", "route", "text", "error"])
 
-    web = once.filter(F.col("route") != "pdf").select("url", "route", "html").mapInArrow(
-        run, "url string, route string, text string, error string")
-    pdf = once.filter(F.col("route") == "pdf").select(
-        "url", "route", F.col("pdf_text").alias("text"), F.lit(None).cast("string").alias("error"))
-    cleaned = web.unionByName(pdf).withColumn("content", F.nullif(tx.clean_markdown(F.col("text")), F.lit("")))
+    made = once.select("url", "route", "page").mapInArrow(run, "url string, route string, text string, error string")
+    cleaned = made.withColumn("content", F.nullif(tx.clean_markdown(F.col("text")), F.lit("")))
     return cleaned.select(
         F.col("url").alias("source_url"), "route", "content",
         F.when(F.col("content").isNull(), F.coalesce("error", F.lit("no content"))).alias("error"),

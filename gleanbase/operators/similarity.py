@@ -168,11 +168,13 @@ def common_dimension(points: DataFrame) -> tuple[int, int]:
 
 
 def small_queries(queries: DataFrame, k: int) -> pa.Table | None:
-    """The queries (query_id, embedding) themselves if they and their hits are few, else
-    None."""
-    head = queries.select("query_id", "embedding").limit(SCAN_QUERIES + 1).toArrow()
-    few = head.num_rows <= SCAN_QUERIES and head.nbytes <= SCAN_BYTES and head.num_rows * k <= SCAN_HITS
-    return head if few else None
+    """The queries (query_id, embedding), each id once, if they and their hits are few, else
+    None. Ids are taken first, which reads no more partitions than it needs to find too many."""
+    most = min(SCAN_QUERIES, SCAN_HITS // max(1, k))
+    if len(queries.select("query_id").take(most + 1)) > most:
+        return None
+    few = one_per_id(queries).toArrow()
+    return few if few.nbytes <= SCAN_BYTES else None
 
 
 # --- scan -----------------------------------------------------------------------------
@@ -221,6 +223,21 @@ def _pivot_count(rows: int) -> int:
     return int(min(MAX_PIVOTS, max(1, round(rows ** 0.5))))
 
 
+def _first_by_lot(points: DataFrame, rows: int, n: int) -> pa.Table:
+    """Vectors of the first n points in md5 order of their id. ``rows`` is no less than their
+    number. Only lots under a threshold are ordered, so about 2n vectors reach the last task
+    however many tasks there are; if they are too few, the threshold rises."""
+    lot = F.md5(F.col("id").cast("string"))
+    number = F.conv(F.substring(lot, 1, 8), 16, 10).cast("long")
+    share = (2 * n + 64) / max(1, rows)
+    while True:
+        some = points.filter(number < F.lit(int(share * 2 ** 32))) if share < 1 else points
+        heads = some.orderBy(lot, "id").limit(n).select("embedding").toArrow()
+        if heads.num_rows == n or share >= 1:
+            return heads
+        share *= 8
+
+
 def build_index(points: DataFrame, k_max: int = 10, pivots: int | None = None, path: str | None = None) -> CellIndex:
     """Write the cell index of (id, embedding).
 
@@ -229,12 +246,11 @@ def build_index(points: DataFrame, k_max: int = 10, pivots: int | None = None, p
     part, are cut to the k_max lowest ids first.
     """
     spark = points.sparkSession
-    path = path or scratch_path(spark, "cells")
+    path = path or scratch_path(spark, "index")
     dim, rows = common_dimension(points)
     whole = _usable(points.select("id", "embedding"), "embedding", dim).filter(F.exists("embedding", lambda x: x != 0))
     most = min(MAX_PIVOTS, PIVOT_BYTES // (8 * dim))
-    lot = F.md5(F.col("id").cast("string"))
-    heads = whole.orderBy(lot, "id").limit(min(pivots or _pivot_count(rows), most)).select("embedding").toArrow()
+    heads = _first_by_lot(whole, rows, min(pivots or _pivot_count(rows), most))
     centres = _matrix(heads.column("embedding"), dim) if heads.num_rows else np.zeros((0, dim))
     # copies among the pivots would make empty cells
     centres = centres[np.sort(np.unique(centres, axis=0, return_index=True)[1])]
@@ -261,27 +277,46 @@ def build_index(points: DataFrame, k_max: int = 10, pivots: int | None = None, p
     # row groups
     placed.hint("rebalance", "cell").sortWithinPartitions("cell").write.parquet(f"{path}/cells")
     cells = spark.read.schema(schema).parquet(f"{path}/cells")
-    rows = cells.groupBy("cell").agg(F.count("*"), F.min("angle"), F.max("angle")).collect()
-    return CellIndex(cells, centres, {r[0]: (r[1], r[2], r[3]) for r in rows}, k_max)
+    cells.groupBy("cell").agg(F.count("*").alias("rows"), F.min("angle").alias("low"), F.max("angle").alias("high")) \
+        .coalesce(1).write.parquet(f"{path}/stats")
+    spark.createDataFrame([(n, c.tolist()) for n, c in enumerate(centres)], "cell int, pivot array<double>") \
+        .withColumns({"dim": F.lit(dim), "k_max": F.lit(k_max)}).coalesce(1).write.parquet(f"{path}/pivots")
+    return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str) -> CellIndex:
+    """The index that ``build_index`` wrote at ``path``, for any number of sessions. Pivots
+    and bounds are read whole; there are no more than MAX_PIVOTS of them."""
+    cells = spark.read.parquet(f"{path}/cells")
+    pivots = spark.read.parquet(f"{path}/pivots").orderBy("cell").collect()
+    centres = np.array([r["pivot"] for r in pivots]) if pivots else np.zeros((0, 1))
+    stats = {r["cell"]: (r["rows"], r["low"], r["high"]) for r in spark.read.parquet(f"{path}/stats").collect()}
+    return CellIndex(cells, centres, stats, pivots[0]["k_max"] if pivots else 1 << 30)
 
 
 def _visits(queries: DataFrame, index: CellIndex, choose) -> DataFrame:
-    """One row per (query, cell to score). ``choose`` gets the angles of a batch to all
-    pivots and the batch, and gives row and cell numbers."""
+    """One row per (query, cell to score). ``choose`` gets the angles of some queries to all
+    pivots and these queries, and gives row and cell numbers. Both the angles and the rows that
+    go out at once are of bounded size."""
     shared = queries.sparkSession.sparkContext.broadcast(index.pivots)
     dim = index.pivots.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vectors = _matrix(batch.column("embedding"), dim)
-            fit = np.isfinite(vectors).all(axis=1)
-            cosine = np.where(fit[:, None], vectors, 0.0) @ shared.value.T
-            rows, cells = choose(np.arccos(np.clip(cosine, -1, 1)), batch)
-            use = fit[rows]
-            rows, cells = rows[use], cells[use]
-            part = batch.select(["query_id", "embedding"]).take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cells.astype(np.int32))],
-                                             ["query_id", "embedding", "cell"])
+        step = max(1, _CELLS_AT_ONCE // max(1, len(shared.value)))
+        out = max(1, _CELLS_AT_ONCE // dim)
+        for whole in batches:
+            for batch in (whole.slice(at, step) for at in range(0, whole.num_rows, step)):
+                vectors = _matrix(batch.column("embedding"), dim)
+                fit = np.isfinite(vectors).all(axis=1)
+                cosine = np.where(fit[:, None], vectors, 0.0) @ shared.value.T
+                rows, cells = choose(np.arccos(np.clip(cosine, -1, 1)), batch)
+                use = fit[rows]
+                rows, cells = rows[use], cells[use].astype(np.int32)
+                asked = batch.select(["query_id", "embedding"])
+                for at in range(0, len(rows), out):
+                    part = asked.take(pa.array(rows[at:at + out]))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cells[at:at + out])],
+                                                     ["query_id", "embedding", "cell"])
 
     schema = T.StructType([queries.schema["query_id"], queries.schema["embedding"],
                            T.StructField("cell", T.IntegerType())])
@@ -389,11 +424,10 @@ def _check(index: CellIndex, k: int) -> None:
 def top_k(queries: DataFrame, points: DataFrame, k: int = 10) -> DataFrame:
     """Exact best k of ``points`` (id, embedding) for each of ``queries`` (query_id,
     embedding): by scan when the queries are few, by cells otherwise."""
-    queries = one_per_id(queries)
     few = small_queries(queries, k)
     if few is not None:
         return scan_top_k(few, queries.schema["query_id"].dataType, points, k)
-    return exact_top_k(queries, build_index(points, k_max=k), k)
+    return exact_top_k(one_per_id(queries), build_index(points, k_max=k), k)
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:

@@ -7,18 +7,20 @@ from pyspark.sql import functions as F
 
 HOT_SHARE = 0.001
 HOT_ROWS = 100_000
-SALTS = 64
+SALT_ROWS = 1_000_000  # rows of a hot key for each salt
+SALTS = 8              # and the fewest salts of a hot key
 
 
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, rows: int = HOT_ROWS) -> DataFrame:
-    """Keys that hold at least ``share`` of all rows (and at least ``rows`` rows).
+    """(key, n): keys that hold at least ``share`` of all rows (and at least ``rows`` rows),
+    with their number of rows.
 
     There can be no more than ``1 / share`` of them, so the result may be broadcast
     whatever the size of ``df``. The count is combined before its shuffle.
     """
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
     least = F.greatest(F.lit(rows), F.ceil(F.lit(share) * counts.agg(F.sum("n")).scalar()))
-    return counts.filter(F.col("n") >= least).select(key)
+    return counts.filter(F.col("n") >= least)
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, how: str, spread_by: Column, salts: int = 16) -> DataFrame:
@@ -43,26 +45,29 @@ def salted_join(
     hot: DataFrame | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Equi-join whose hot left keys are spread over ``salts`` partitions.
+    """Equi-join whose hot left keys are spread over partitions: one for each SALT_ROWS of
+    their rows, ``salts`` at least. Keys of less than the hot share stay whole; if one of them
+    fills a partition beyond Spark's limit of skew, its skew join splits it.
 
     For a right side too large to repeat whole. Only the right rows of hot keys are repeated, once per salt; every other row takes
     part once. ``spread_by`` must be a deterministic column of the left side (an id, so
     that a retried task sends a row to the same place). ``how`` may be inner, left,
     left_semi or left_anti: a left row meets each matching right row exactly once.
-    ``hot`` replaces the detection when the caller already has counts; it must be of
-    bounded size. Null keys match nothing and are spread as well.
+    ``hot`` (key, and n if known) replaces the detection when the caller already has counts;
+    it must be of bounded size. Null keys match nothing and are spread as well.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
     if hot is None:
         hot = hot_keys(left, key)
-    marked = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
-    wide = F.coalesce(F.col("_hot"), F.col(key).isNull())
+    by_count = F.ceil(F.col("n") / F.lit(SALT_ROWS)).cast("int") if "n" in hot.columns else F.lit(salts)
+    marked = F.broadcast(hot.select(key, F.greatest(F.lit(salts), by_count).alias("_hot")))
+    wide = F.coalesce("_hot", F.when(F.col(key).isNull(), F.lit(salts)))
     lhs = (
         left.join(marked, key, "left")
-        .withColumn("_salt", F.when(wide, F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
+        .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread_by), wide), F.lit(0)).cast("int"))
         .drop("_hot")
     )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copies = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.col("_hot") - 1)).otherwise(F.array(F.lit(0)))
     rhs = right.join(marked, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return lhs.join(rhs, [key, "_salt"], how).drop("_salt")

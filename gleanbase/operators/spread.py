@@ -22,6 +22,9 @@ def small_enough(df: DataFrame, files: int = 32 << 20, rows: int = 128 << 20) ->
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= rows
 
 
+FILL_BYTES = 256 << 20  # most that is moved to fill the cores, whatever their number
+
+
 def fill_cores(df: DataFrame) -> DataFrame:
     """Repartition an input too small to give every core a split of its own; leave any
     other where it is, since its scan has tasks enough and a shuffle would only cost."""
@@ -31,4 +34,4 @@ def fill_cores(df: DataFrame) -> DataFrame:
         return df
     cores = session.sparkContext.defaultParallelism
     split = session._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(cores) if size < cores * split else df
+    return df.repartition(cores) if size < min(cores * split, FILL_BYTES) else df

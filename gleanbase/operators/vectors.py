@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import SnapshotTable
+from ..sources.tables import VectorTable
 from .blocks import replace_parts
 
 
@@ -38,7 +38,7 @@ def split_valid(points: DataFrame, dim: int, column: str = "embedding") -> tuple
     return good, made.filter(F.col("_unit").isNull()).withColumn("reason", why).drop("_unit")
 
 
-def upsert_points(table: SnapshotTable, points: DataFrame, batch_id: str | None = None) -> bool:
+def upsert_points(table: VectorTable, points: DataFrame) -> None:
     """Store points (one per id); a new point replaces the old one whole."""
-    good, _ = split_valid(points, table.info()["dim"])
-    return table.upsert(good.select("id", "embedding", "payload"), replace_parts, batch_id)
+    good, _ = split_valid(points, table.dim)
+    table.upsert(good.select("id", "embedding", "payload"), replace_parts)

@@ -15,11 +15,12 @@ from ..operators.rows import last_per_key
 from ..session import scratch_path
 from ..sources import channels as C
 from ..sources.files import read_blocks_csv
-from ..sources.tables import block_table
-from ..streaming.ingest import start_upsert
+from ..sources.tables import block_table, vector_table
+from ..streaming.ingest import landed_records, start_ingest, start_upsert
 from .catalog import (ARCHIVE, CHANNELS, IS_PDF, LINKED, archive, channel_rows, heavy, linked, query, site_sql,
                       strip_html_sql, table)
 from .ingest import ingest_channels, sync_channels
+from .text_queries import WIKI_PAGE_TEXTS, wiki_pages
 
 SINCE, TILL = dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 20, 12)
 WINDOW_SQL = "created_at > TIMESTAMP '2024-01-03 00:00:00' AND created_at <= TIMESTAMP '2024-01-20 12:00:00'"
@@ -114,7 +115,8 @@ def _pages(spark, d):
     rows = channel_rows(spark, d).withColumn("page", F.expr("event_id div 100 + 1"))
     block = F.struct(
         "id", F.concat("channel", F.lit(" "), F.col("event_id").cast("string")).alias("title"),
-        F.lit(None).cast("string").alias("description"), F.lit(None).cast("string").alias("content"),
+        F.lit(None).cast("string").alias("description"),
+        F.when(F.col("channel") != "signup", F.concat(F.lit("text of "), F.col("event_id").cast("string"))).alias("content"),
         F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), "metadata",
         F.struct(F.concat(F.lit("https://en.wikipedia.org/"), "id").alias("url"),
                  F.lit("text/html").alias("content_type")).alias("source"),
@@ -153,13 +155,14 @@ def land_channels(spark, d):
 
 
 # Blocks counted off in arrival order, 2,550 to a channel and 100 to a page; blocks of
-# extreme value were taken down, which leaves short pages in the middle.
+# extreme value were taken down, which leaves short pages in the middle. They stay in the
+# result, marked, where their page does.
 @query("complete_pages", """
 WITH placed AS (
   SELECT event_id, 'c' || (event_id // 2550) AS channel,
-         (event_id - (event_id // 2550) * 2550) // 100 + 1 AS page
-  FROM events WHERE value <= 300),
-sizes AS (SELECT channel, page, count(*) AS n FROM placed GROUP BY ALL),
+         (event_id - (event_id // 2550) * 2550) // 100 + 1 AS page, NOT coalesce(value <= 300, false) AS gone
+  FROM events),
+sizes AS (SELECT channel, page, count(*) AS n FROM placed WHERE NOT gone GROUP BY ALL),
 broken AS (
   SELECT channel, page, n,
          lag(page, 1, 0) OVER (PARTITION BY channel ORDER BY page) <> page - 1 AS gap
@@ -167,14 +170,15 @@ broken AS (
 ends AS (
   SELECT channel, min(CASE WHEN gap THEN page - 1 WHEN n <> 100 THEN page END) AS last_page,
          max(page) AS top FROM broken GROUP BY channel)
-SELECT p.event_id, p.channel, p.page
+SELECT p.event_id, p.channel, p.page, CAST(p.gone AS INTEGER) AS gone
 FROM placed p JOIN ends e ON p.channel = e.channel AND p.page <= coalesce(e.last_page, e.top)""")
 def complete_pages(spark, d):
-    placed = table(spark, d, "events").filter("value <= 300").selectExpr(
+    placed = table(spark, d, "events").selectExpr(
         "event_id", "concat('c', event_id div 2550) as channel",
-        "(event_id - (event_id div 2550) * 2550) div 100 + 1 as page")
-    sizes = placed.groupBy("channel", "page").agg(F.count("*").alias("n"))
-    return C.complete_prefix(placed, C.last_pages(sizes), "event_id").select("event_id", "channel", "page")
+        "(event_id - (event_id div 2550) * 2550) div 100 + 1 as page", "not coalesce(value <= 300, false) as gone")
+    sizes = placed.filter("not gone").groupBy("channel", "page").agg(F.count("*").alias("n"))
+    return C.complete_prefix(placed, C.last_pages(sizes), "event_id").select(
+        "event_id", "channel", "page", F.col("gone").cast("int").alias("gone"))
 
 
 @query("last_per_id", """
@@ -209,8 +213,9 @@ SELECT id, CAST(channel_ord AS INTEGER) AS channel_ord, event_id, rows_before FR
 def union_channels(spark, d):
     rows = channel_rows(spark, d)
     both = C.union_blocks(*[rows.filter(F.col("channel") == c) for c in ("view", "click", "signup", "error", "purchase")])
-    last = last_per_key(both, ["id"], ["channel_ord", "event_id"]).select("id", "channel_ord", "event_id")
-    return last.join(both.groupBy("id").agg(F.count("*").alias("rows_before")), "id")
+    return both.groupBy("id").agg(
+        F.max(F.struct("channel_ord", "event_id")).alias("last"), F.count("*").alias("rows_before")).select(
+        "id", "last.channel_ord", "last.event_id", "rows_before")
 
 
 @query("distinct_urls", f"""
@@ -257,23 +262,22 @@ def unparsed_blocks(spark, d):
 
 
 @query("lookup_ids", f"""
-WITH {ARCHIVE} SELECT id, source_url, title, description, length(crawled_text) AS chars
+WITH {ARCHIVE} SELECT id, source_url, title, description, crawled_text
 FROM archive WHERE id IN (SELECT CAST(user_id AS VARCHAR) FROM events)""")
 def lookup_ids(spark, d):
     ids = table(spark, d, "events").select(F.col("user_id").cast("string").alias("id"))
     return filters.lookup(archive(spark, d), ids).select(
-        "id", "source_url", "title", "description", F.length("crawled_text").cast("long").alias("chars"))
+        "id", "source_url", "title", "description", "crawled_text")
 
 
 @query("attach_content", f"""
 WITH {ARCHIVE}
-SELECT a.id, a.source_url, length({strip_html_sql('p.html')}) AS chars
+SELECT a.id, a.source_url, {strip_html_sql('p.html')} AS content
 FROM archive a LEFT JOIN pages p ON p.url = a.source_url""")
 def attach_content(spark, d):
     content = heavy(spark, d, "pages", "url", "html").select(
         F.col("url").alias("source_url"), tx.strip_html(F.col("html")).alias("content"))
-    return B.attach_content(archive(spark, d).select("id", "source_url"), content).select(
-        "id", "source_url", F.length("content").cast("long").alias("chars"))
+    return B.attach_content(archive(spark, d).select("id", "source_url"), content).select("id", "source_url", "content")
 
 
 def _stored(spark, d):
@@ -333,8 +337,8 @@ def upsert_keep_text(spark, d):
 def upsert_table(spark, d):
     blocks = block_table(spark, scratch_path(spark, "blocks"), buckets=8)
     blocks.upsert(_stored(spark, d), B.replace_parts)
-    blocks.upsert(_batch(spark, d), lambda old, new: B.merge_parts(old, new, AS_OF), "pages")
-    blocks.upsert(_batch(spark, d), lambda old, new: B.merge_parts(old, new, dt.datetime(2030, 1, 1)), "pages")
+    for _ in range(2):  # a batch that comes again changes nothing
+        blocks.upsert(_batch(spark, d), lambda old, new: B.merge_parts(old, new, AS_OF))
     return _shown(blocks.read())
 
 
@@ -439,12 +443,12 @@ def csv_blocks(spark, d):
 
 @query("ingest_job", """
 WITH e AS (SELECT user_id, arg_max(event_type, event_id) AS channel, max(event_id) AS event_id
-           FROM events GROUP BY user_id)
-SELECT CAST(user_id AS VARCHAR) AS id, 'v' || event_id AS title, p.url AS source_url,
-       CASE WHEN p.url IS NULL THEN 0 ELSE 1 END AS has_text
-FROM e JOIN pages p ON p.page_id = e.user_id""")
+           FROM events GROUP BY user_id),
+""" + f"""{WIKI_PAGE_TEXTS}
+SELECT CAST(user_id AS VARCHAR) AS id, 'v' || event_id AS title, source_url, content AS crawled_text
+FROM e JOIN wiki_texts ON doc_id = user_id""")
 def ingest_job(spark, d):
-    pages = table(spark, d, "pages")
+    pages = wiki_pages(spark, d)
     rows = channel_rows(spark, d).join(
         pages.select(F.col("page_id").cast("string").alias("id"), "url"), "id", "left").select(
         "id", "channel", F.lit(1).cast("long").alias("page"), F.col("event_id").alias("pos"),
@@ -453,8 +457,7 @@ def ingest_job(spark, d):
         F.when(F.col("url").isNotNull(), F.struct("url", F.lit("text/html").alias("content_type"))).alias("source"))
     blocks = block_table(spark, scratch_path(spark, "blocks"), buckets=8)
     ingest_channels([rows], pages, blocks, None, AS_OF)
-    return blocks.read().select("id", "title", "source_url",
-                                (F.coalesce(F.col("crawled_text"), F.lit("")) != "").cast("int").alias("has_text"))
+    return blocks.read().select("id", "title", "source_url", "crawled_text")
 
 
 @query("sync_job", f"""
@@ -464,13 +467,14 @@ WITH {CHANNELS}, kept AS (
     AND date_trunc('second', created_at) <= TIMESTAMP '2024-01-20 12:00:00'),
 last AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o DESC, event_id DESC) AS n FROM kept)
 SELECT id, channel || ' ' || event_id AS title, 'https://en.wikipedia.org/' || id AS source_url,
+       CASE WHEN channel <> 'signup' THEN 'text of ' || event_id END AS crawled_text,
        '' AS metadata, '2024-06-01 00:00:00' AS updated_at FROM last WHERE n = 1""")
 def sync_job(spark, d):
     flat = C.flatten(_pages(spark, d))
-    frames = [flat.filter(F.col("channel") == c) for c in ("view", "signup", "error")]
+    frames = [flat.filter(F.col("channel") == c) for c in ("view", "signup", "error", "click", "purchase")]
     blocks = block_table(spark, scratch_path(spark, "blocks"), buckets=8)
     sync_channels(frames, blocks, AS_OF, SINCE, TILL, ["view", "signup"])
-    return blocks.read().select("id", "title", "source_url", "metadata", _time("updated_at"))
+    return blocks.read().select("id", "title", "source_url", "crawled_text", "metadata", _time("updated_at"))
 
 
 @query("stream_ingest", """
@@ -490,10 +494,44 @@ def stream_ingest(spark, d):
                            none.alias("description"), F.col("props").alias("metadata"), "ts")
 
     start_upsert(rows, blocks, prepare, lambda old, new: B.merge_parts(old, new, F.col("ts")),
-                 scratch_path(spark, "offsets"), "events").awaitTermination()
+                 scratch_path(spark, "offsets")).awaitTermination()
     return blocks.read().select("id", "title", "metadata", _time("updated_at"))
 
 
+# Submitted records land as files, go through the stream to both tables, and all of them
+# come a second time under a new checkpoint, which must change nothing.
+@query("stream_records", _SUBMITTED + """, good AS (
+  SELECT CASE WHEN file_name IS NULL THEN 'manual_' ELSE 'file_' END || strftime(ts, '%Y%m%d_%H%M%S') || '_'
+         || left(sha256(coalesce(file_name, url)), 8) AS id, title, content, ts FROM j WHERE reason IS NULL),
+last AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts DESC, title DESC, content DESC) AS n FROM good)
+SELECT 'block' AS kind, id, title, content AS text FROM last WHERE n = 1 UNION ALL
+SELECT 'point', id, title, left(content, 200) FROM last WHERE n = 1 UNION ALL
+SELECT 'reject', NULL, title, reason FROM j WHERE reason IS NOT NULL""")
+def stream_records(spark, d):
+    landing, rejects = scratch_path(spark, "landing"), scratch_path(spark, "rejects")
+    _submissions(spark, d).write.parquet(landing)
+    blocks, vectors = block_table(spark, scratch_path(spark, "blocks"), buckets=8), vector_table(
+        spark, scratch_path(spark, "vectors"), buckets=8)
+    for _ in range(2):
+        start_ingest(landed_records(spark, landing, fmt="parquet"), blocks, vectors, scratch_path(spark, "offsets"),
+                     rejects).awaitTermination()
+    turned_down = spark.read.schema("batch int, title string, reason string").json(rejects)
+    return blocks.read().select(F.lit("block").alias("kind"), "id", "title", F.col("crawled_text").alias("text")).union(
+        vectors.read().select(F.lit("point"), "id", "payload.title", "payload.text_preview")).union(
+        turned_down.select(F.lit("reject"), F.lit(None).cast("string"), "title", "reason"))
+
+
+# The limit of a search request: a leading number of a text, else ten.
+@query("request_limits", r"""
+WITH r AS (SELECT event_id, CASE WHEN event_type = 'error' THEN props WHEN event_type <> 'view'
+             THEN ' ' || json_extract_string(props, '$.k') || ' hits' END AS asked FROM events)
+SELECT event_id, coalesce(TRY_CAST(regexp_extract(asked, '^\s*([+-]?\d+)', 1) AS INTEGER), 10) AS k FROM r""")
+def request_limits(spark, d):
+    number = F.concat(F.lit(" "), F.get_json_object("props", "$.k"), F.lit(" hits"))
+    asked = F.when(F.col("event_type") == "error", F.col("props")).when(F.col("event_type") != "view", number)
+    return table(spark, d, "events").select("event_id", v.int_or(asked, 10).alias("k"))
+
+
 # --- reports --------------------------------------------------------------------------
 
 @query("stage_counts", f"""

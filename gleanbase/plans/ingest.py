@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import filters
-from ..operators.blocks import block_rows, has_text, merge_parts, payload, replace_parts, submitted_blocks
+from ..operators.blocks import block_rows, has_text, merge_parts, payload, submitted_blocks
 from ..operators.embed import DIM, Encoder, HashEncoder, embed
 from ..operators.parse import parse_pages
 from ..operators.rows import last_per_key
 from ..operators.vectors import upsert_points
 from ..session import written
 from ..sources.channels import union_blocks
-from ..sources.tables import SnapshotTable
+from ..sources.tables import BucketTable, VectorTable
 
 ARRIVAL = ["channel_ord", "page", "pos"]
 
@@ -27,37 +27,36 @@ def points_of(blocks: DataFrame, make_encoder: Callable[[], Encoder] = HashEncod
                  make_encoder, dim).select("id", "embedding", "payload")
 
 
-def store_vectors(blocks: DataFrame, vectors: SnapshotTable, make_encoder: Callable[[], Encoder] = HashEncoder,
-                  batch_id: str | None = None) -> bool:
+def store_vectors(blocks: DataFrame, vectors: VectorTable, make_encoder: Callable[[], Encoder] = HashEncoder) -> None:
     """Embed and upsert. The points are written once first: the upsert reads its batch
     more than once, and the encoder should not run again."""
-    made = written(points_of(blocks, make_encoder, vectors.info()["dim"]), "points")
-    return upsert_points(vectors, made, batch_id)
+    made = written(points_of(blocks, make_encoder, vectors.dim), "points")
+    upsert_points(vectors, made)
 
 
-def transfer_vectors(blocks: SnapshotTable, vectors: SnapshotTable,
-                     make_encoder: Callable[[], Encoder] = HashEncoder) -> bool:
+def transfer_vectors(blocks: BucketTable, vectors: VectorTable,
+                     make_encoder: Callable[[], Encoder] = HashEncoder) -> None:
     """Load every stored block with text into the vector table; nothing is parsed."""
-    return store_vectors(blocks.read(), vectors, make_encoder)
+    store_vectors(blocks.read(), vectors, make_encoder)
 
 
-def to_parse(channel_frames: list[DataFrame], stored: DataFrame, mode: str = "all") -> tuple[DataFrame, DataFrame]:
-    """The run's blocks, one per id, and those of them that still need parsing."""
+def to_parse(channel_frames: list[DataFrame], blocks: BucketTable, mode: str = "all") -> tuple[DataFrame, DataFrame]:
+    """The run's blocks, one per id, and those of them that still need parsing. Stored texts
+    are looked for in the buckets of these blocks alone."""
     wanted = filters.by_mode(union_blocks(*channel_frames), mode)
     latest = written(last_per_key(wanted.filter(F.col("id").isNotNull()), ["id"], ARRIVAL), "latest")
-    return latest, filters.needs_parsing(latest, stored)
+    return latest, filters.needs_parsing(latest, blocks.near(latest))
 
 
-def ingest_channels(channel_frames: list[DataFrame], pages: DataFrame, blocks: SnapshotTable,
-                    vectors: SnapshotTable | None, as_of, mode: str = "all", upsert_mode: str = "keep_text",
+def ingest_channels(channel_frames: list[DataFrame], pages: DataFrame, blocks: BucketTable,
+                    vectors: VectorTable | None, as_of, mode: str = "all", upsert_mode: str = "keep_text",
                     make_encoder: Callable[[], Encoder] = HashEncoder) -> DataFrame:
     """Blocks of the channels, with the text of their landed pages, into both tables.
 
     Returns the addresses that gave no text, with the reason. Stored blocks that already
     have text are not parsed again.
     """
-    stored = blocks.read()
-    latest, pending = to_parse(channel_frames, stored, mode)
+    latest, pending = to_parse(channel_frames, blocks, mode)
     addresses = filters.has_source_url(pending).select(F.col("source.url").alias("url")).distinct()
     parsed = written(parse_pages(pages.join(addresses, "url", "left_semi"), mode == "pdf_only"), "parsed")
     content = parsed.filter(F.col("content").isNotNull()).select("source_url", "content")
@@ -68,7 +67,7 @@ def ingest_channels(channel_frames: list[DataFrame], pages: DataFrame, blocks: S
     return parsed.filter(F.col("content").isNull()).select("source_url", "route", "error")
 
 
-def sync_channels(channel_frames: list[DataFrame], blocks: SnapshotTable, as_of, since=None, till=None,
+def sync_channels(channel_frames: list[DataFrame], blocks: BucketTable, as_of, since=None, till=None,
                   titles: list[str] | None = None, upsert_mode: str = "keep_text") -> None:
     """The date-window sync of named channels: text is the block's own content field."""
     rows = union_blocks(*channel_frames)
@@ -81,18 +80,14 @@ def sync_channels(channel_frames: list[DataFrame], blocks: SnapshotTable, as_of,
     blocks.upsert(batch, lambda old, new: merge_parts(old, new, as_of, upsert_mode))
 
 
-def ingest_records(records: DataFrame, blocks: SnapshotTable, vectors: SnapshotTable | None,
-                   make_encoder: Callable[[], Encoder] = HashEncoder, batch_id: str | None = None) -> DataFrame:
+def ingest_records(records: DataFrame, blocks: BucketTable, vectors: VectorTable | None,
+                   make_encoder: Callable[[], Encoder] = HashEncoder) -> DataFrame:
     """Submitted records into both tables; returns the rejects with a reason. The time of
     a record is its submission, so a replay writes the same rows."""
     good, rejects = submitted_blocks(records)
     latest = last_per_key(good, ["id"], ["submitted_at", "title", "description", "content"])
     batch = written(block_rows(latest, text_from="record", keep=("submitted_at",)), "records")
-    blocks.upsert(batch, lambda old, new: merge_parts(old, new, F.col("submitted_at")), batch_id)
+    blocks.upsert(batch, lambda old, new: merge_parts(old, new, F.col("submitted_at")))
     if vectors is not None:
-        store_vectors(batch, vectors, make_encoder, batch_id)
+        store_vectors(batch, vectors, make_encoder)
     return rejects
-
-
-def upsert_whole_rows(table: SnapshotTable, batch: DataFrame) -> bool:
-    return table.upsert(batch, replace_parts)

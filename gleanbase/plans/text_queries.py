@@ -50,7 +50,7 @@ def _wikified(pages):
     return pages.withColumn("html", html)
 
 
-def _wiki_pages(spark, d):
+def wiki_pages(spark, d):
     """Every document as an encyclopedia page: a heading and a paragraph per line inside the
     main element, with parts around and in it that are cut."""
     safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
@@ -69,24 +69,26 @@ WITH safe AS (SELECT doc_id, source, replace(replace(replace(text, '&', '&amp;')
 SELECT doc_id AS page_id, '<div id="mw-content-text"><h2>' || source || '</h2><p>' || replace(t, chr(10), '</p><p>')
        || '</p></div>' AS content FROM safe""")
 def main_content(spark, d):
-    return main_content_job(_wiki_pages(spark, d))
+    return main_content_job(wiki_pages(spark, d))
 
 
 # Lines become paragraphs, so the Markdown can be written down in SQL: runs of blanks
 # become one, lines without text go, the marks of Markdown are escaped, then the cleanup.
-@query("wiki_markdown", rf"""
-WITH lines AS (
+WIKI_PAGE_TEXTS = rf"""
+lines AS (
   SELECT doc_id, source, list_filter(list_transform(str_split(text, chr(10)),
-    lambda l: trim(regexp_replace(l, '[ 	
-]+', ' ', 'g'))), lambda l: l <> '') AS ls FROM documents),
+    lambda l: trim(regexp_replace(l, '[ \t\r\f]+', ' ', 'g'))), lambda l: l <> '') AS ls FROM documents),
 md AS (
   SELECT doc_id, '## ' || source || chr(10) || chr(10) ||
-         replace(replace(array_to_string(ls, chr(10) || chr(10)), '*', '\*'), '_', '\_') AS t FROM lines)
-SELECT 'https://en.wikipedia.org/wiki/' || doc_id AS source_url, 'wiki' AS route,
-       {_clean_sql('t')} AS content
-FROM md""")
+         replace(replace(array_to_string(ls, chr(10) || chr(10)), '*', '\*'), '_', '\_') AS t FROM lines),
+wiki_texts AS (
+  SELECT doc_id, 'https://en.wikipedia.org/wiki/' || doc_id AS source_url, 'wiki' AS route, {_clean_sql('t')} AS content
+  FROM md)"""
+
+
+@query("wiki_markdown", f"WITH {WIKI_PAGE_TEXTS} SELECT source_url, route, content FROM wiki_texts")
 def wiki_markdown(spark, d):
-    return parse_pages(_wiki_pages(spark, d)).select("source_url", "route", "content")
+    return parse_pages(wiki_pages(spark, d)).select("source_url", "route", "content")
 
 
 # Words of the converted page against the words of the page stripped of its tags: the

@@ -11,8 +11,8 @@ from ..operators import rag, rows
 from ..operators import vectors as V
 from ..operators.embed import embed
 from ..operators.keywords import chunks
-from ..operators.search import RETRIEVE_K, TEXT_SEARCH_K, enrich, search_text, search_vectors
-from ..operators.similarity import approx_top_k, build_index, exact_top_k, recall, shown_score, top_k
+from ..operators.search import FIRST_SAMPLE, RETRIEVE_K, TEXT_SEARCH_K, enrich, search_text, search_vectors
+from ..operators.similarity import approx_top_k, build_index, exact_top_k, open_index, recall, shown_score, top_k
 from ..session import scratch_path, written
 from ..sources.files import hit_lines, write_hits
 from ..sources.tables import vector_table
@@ -28,6 +28,10 @@ def _self(points):
     return points.select(F.col("id").alias("query_id"), "embedding")
 
 
+def _entry(n):
+    return F.round(F.element_at("embedding", n).cast("double"), 4) + F.lit(0.0)
+
+
 def _rounded(hits):
     return hits.withColumn("score", shown_score(F.col("score")))
 
@@ -65,10 +69,9 @@ n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS no
 u AS (SELECT vec_id, unnest(e) / norm AS x, unnest(range(len(e))) AS dim FROM n)
 SELECT vec_id, CAST(dim AS INTEGER) AS dim, round(x, 4) + 0.0 AS x FROM u""")
 def unit_vectors(spark, d):
-    good, _ = V.split_valid(table(spark, d, "embeddings"), 64)
     # shown from the double form; the stored one is its float
-    made = table(spark, d, "embeddings").select("vec_id", V.unit(F.col("embedding")).alias("u"))
-    return made.join(good.select("vec_id"), "vec_id", "left_semi").select(
+    fit = table(spark, d, "embeddings").filter(V.is_vector(F.col("embedding"), 64))
+    return fit.select("vec_id", V.unit(F.col("embedding")).alias("u")).select(
         "vec_id", F.posexplode("u").alias("dim", "x")).withColumn("x", F.round("x", 4) + F.lit(0.0))
 
 
@@ -85,16 +88,15 @@ def vector_upsert(spark, d):
         F.when(F.col("label") >= 5, F.col("vec_id")).otherwise(F.col("vec_id") + 1000000).alias("id"),
         F.reverse("embedding").alias("embedding"), F.lit("new").alias("origin"))
 
-    def entry(n):
-        return F.round(F.element_at("embedding", n).cast("double"), 4) + F.lit(0.0)
-    return B.replace_by_id(stored, batch).select("id", "origin", entry(1).alias("head"), entry(64).alias("tail"))
+    return B.replace_by_id(stored, batch).select("id", "origin", _entry(1).alias("head"), _entry(64).alias("tail"))
 
 
 @query("vector_table", rf"""
 WITH {ARCHIVE}
-SELECT id, title, description, source_url, left(crawled_text, 200) AS text_preview,
-       CAST(len(list_distinct(regexp_extract_all(lower(crawled_text), '[\p{{L}}\p{{N}}]+'))) > 0 AS INTEGER) AS filled
-FROM archive WHERE regexp_matches(lower(crawled_text), '[\p{{L}}\p{{N}}]')""")
+, v AS ({_hashed_sql('archive', 'id', 'crawled_text')})
+SELECT id, title, description, source_url, left(crawled_text, 200) AS text_preview, dim,
+       CAST(round(x * 141.42) AS INTEGER) AS x
+FROM archive JOIN v USING (id)""")
 def vector_table_query(spark, d):
     from ..sources.tables import block_table
     blocks = block_table(spark, scratch_path(spark, "blocks"), buckets=8)
@@ -107,7 +109,8 @@ def vector_table_query(spark, d):
     transfer_vectors(blocks, vectors)
     return vectors.read().select(
         "id", "payload.title", "payload.description", "payload.source_url", "payload.text_preview",
-        F.exists("embedding", lambda x: x != 0).cast("int").alias("filled"))
+        F.posexplode("embedding").alias("dim", "x")).filter("x <> 0").withColumn(
+        "x", F.round(F.col("x").cast("double") * 141.42).cast("int"))
 
 
 # --- search ---------------------------------------------------------------------------
@@ -158,8 +161,9 @@ WITH {_CELLS}, {_ranked_sql(5, '''
   FROM near q JOIN near p ON q.cell = p.cell AND q.n <= 4 AND p.n = 1''')}
 SELECT query_id, rank, id, round(score, 4) + 0.0 AS score FROM hits""")
 def search_approx(spark, d):
-    points = _points(spark, d)
-    return _rounded(approx_top_k(_self(points), build_index(points, k_max=5, pivots=16), 5, probes=4))
+    points, path = _points(spark, d), scratch_path(spark, "index")
+    build_index(points, k_max=5, pivots=16, path=path)
+    return _rounded(approx_top_k(_self(points), open_index(spark, path), 5, probes=4))
 
 
 @query("search_recall", f"""
@@ -229,12 +233,11 @@ def search_chunks(spark, d):
 
 @query("enrich_hits", f"""
 WITH {_ranked_sql(10, _ALL_PAIRS)}
-SELECT query_id, rank, hits.id, round(score, 4) + 0.0 AS score, url, length(html) AS chars
+SELECT query_id, rank, hits.id, round(score, 4) + 0.0 AS score, url, html
 FROM hits LEFT JOIN pages ON page_id = hits.id""")
 def enrich_hits(spark, d):
     points = _points(spark, d)
-    full = table(spark, d, "pages").select(F.col("page_id").alias("id"), "url",
-                                           F.length("html").cast("long").alias("chars"))
+    full = table(spark, d, "pages").select(F.col("page_id").alias("id"), "url", "html")
     return _rounded(enrich(top_k(_self(points), points, 10), full))
 
 
@@ -252,18 +255,32 @@ def format_hits(spark, d):
 
 @query("result_files", f"""
 WITH {ARCHIVE}, {_HASHED}, {_ranked_sql(TEXT_SEARCH_K, _TEXT_PAIRS)}
-SELECT 'json' AS form, count(*) AS hits, CAST(count(DISTINCT query_id) AS BIGINT) AS queries FROM hits UNION ALL
-SELECT 'text', count(*), CAST(count(DISTINCT 'Score: ' || format('{{:.3f}}', score) || id) * 0 AS BIGINT) FROM hits""")
+SELECT 'json' AS form, concat_ws(' ', query_id, rank, id, title, source_url, left(crawled_text, 200)) AS line,
+       round(score, 4) + 0.0 AS score FROM hits JOIN archive USING (id) UNION ALL
+SELECT 'text', line, NULL FROM (SELECT unnest(string_split({_HIT_LINES}, chr(10) || chr(10))) AS line
+                                FROM hits JOIN archive USING (id)) WHERE line <> ''""")
 def result_files(spark, d):
     found = _text_hits(spark, d, TEXT_SEARCH_K)
     path = scratch_path(spark, "hits")
     write_hits(found, path + "/json", "json")
     write_hits(found, path + "/text", "text")
-    as_json = spark.read.schema(found.schema).json(path + "/json").agg(
-        F.lit("json").alias("form"), F.count("*").alias("hits"), F.count_distinct("query_id").alias("queries"))
-    as_text = spark.read.text(path + "/text").filter(F.col("value").startswith("Score: ")).agg(
-        F.lit("text").alias("form"), F.count("*").alias("hits"), F.lit(0).cast("long").alias("queries"))
-    return as_json.unionByName(as_text)
+    as_json = spark.read.schema(found.schema).json(path + "/json").select(
+        F.lit("json").alias("form"),
+        F.concat_ws(" ", "query_id", "rank", "block_id", "title", "source_url", "text_preview").alias("line"),
+        shown_score(F.col("score")).alias("score"))
+    as_text = spark.read.option("lineSep", "\n\n").text(path + "/text").filter("value <> ''")
+    return as_json.union(as_text.select(F.lit("text"), "value", F.lit(None).cast("double")))
+
+
+@query("search_with_vector", f"""
+WITH {_ranked_sql(3, _ALL_PAIRS)}
+SELECT query_id, rank, id, round(score, 4) + 0.0 AS score, 'v' || id AS title,
+       round(CAST(embedding[1] AS DOUBLE), 4) + 0.0 AS head, round(CAST(embedding[64] AS DOUBLE), 4) + 0.0 AS tail
+FROM hits JOIN embeddings ON vec_id = id""")
+def search_with_vector(spark, d):
+    points = _points(spark, d).withColumn("payload", F.struct(F.concat(F.lit("v"), F.col("id").cast("string")).alias("title")))
+    found = search_vectors(_self(points), points, 3, with_vector=True)
+    return _rounded(found).select("query_id", "rank", "id", "score", "title", _entry(1).alias("head"), _entry(64).alias("tail"))
 
 
 # --- samples and scrolling ------------------------------------------------------------
@@ -283,6 +300,14 @@ def scroll_points(spark, d):
     return rows.scroll(pages, 10, 10)
 
 
+@query("scroll_vectors", """
+SELECT vec_id AS id, round(CAST(embedding[1] AS DOUBLE), 4) + 0.0 AS head, round(CAST(embedding[64] AS DOUBLE), 4) + 0.0 AS tail,
+       (SELECT min(vec_id) FROM embeddings WHERE vec_id >= 20) AS next_offset
+FROM embeddings WHERE vec_id >= 10 ORDER BY vec_id LIMIT 10""")
+def scroll_vectors(spark, d):
+    return rows.scroll(_points(spark, d), 10, 10).select("id", _entry(1).alias("head"), _entry(64).alias("tail"), "next_offset")
+
+
 # --- graph ----------------------------------------------------------------------------
 
 @query("graph_nodes", f"""
@@ -349,6 +374,20 @@ def expand_hops(spark, d):
     return G.expand(points.select("id"), G.neighbour_links(points, 5), 2)
 
 
+# The first sample of nodes is shown and expanded twice; only the frontier is searched.
+@query("expand_nodes", f"""
+WITH {_ranked_sql(5, _ALL_PAIRS)},
+h0 AS (SELECT vec_id AS id FROM embeddings ORDER BY md5('0:' || vec_id), vec_id LIMIT {FIRST_SAMPLE}),
+h1 AS (SELECT DISTINCT hits.id FROM h0 JOIN hits ON query_id = h0.id WHERE hits.id NOT IN (SELECT id FROM h0))
+SELECT query_id AS source, hits.id AS target, round(score, 4) + 0.0 AS value, CAST(1 AS INTEGER) AS hop
+FROM hits JOIN h0 ON query_id = h0.id UNION ALL
+SELECT query_id, hits.id, round(score, 4) + 0.0, 2 FROM hits JOIN h1 ON query_id = h1.id""")
+def expand_nodes(spark, d):
+    points = _points(spark, d)
+    starts = rows.random_sample(points.select("id"), FIRST_SAMPLE)
+    return G.expand_nodes(starts, points, 5, 2).withColumn("value", shown_score(F.col("value")))
+
+
 # --- contexts and prompts -------------------------------------------------------------
 
 _ENTRY = """'Document ' || rank || ':' || chr(10) || 'Title: ' || coalesce(title, 'None') || chr(10) ||

@@ -1,16 +1,14 @@
-"""Keyed tables as parquet snapshots: a write adds files, then one small manifest file
-makes them current. Readers see the old or the new state, never a mix, and a write that
-dies leaves the table as it was.
+"""Keyed tables as parquet files partitioned by buckets of their key.
 
-Rows live in hash buckets of their key, and an upsert rewrites only the buckets its
-batch touches. One writer per table at a time.
+An upsert rewrites the buckets that its batch touches with Spark's own writer (dynamic
+partition overwrite): new files are written beside the table and moved in when the job has
+succeeded, so a job that fails leaves the table as it was. Upserts are idempotent; a batch
+that comes again, after a failure in the moves too, gives the same rows. One writer per
+table at a time; a DataFrame read before an upsert must not be used after it.
 """
 
 from __future__ import annotations
 
-import json
-import re
-import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -19,137 +17,83 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..operators.spread import small_enough
 
-_MANIFEST = T.StructType([
-    T.StructField("bucket", T.IntegerType()),
-    T.StructField("folder", T.StringType()),
-    T.StructField("batch", T.StringType()),
-    T.StructField("info", T.StringType()),
-])
 
+class BucketTable:
+    """The partition column's name holds the number of buckets, so a table that is opened
+    again keeps the number it was made with."""
 
-class SnapshotTable:
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str = "id", buckets: int = 64):
         self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, key, buckets
+        stored = self._stored()
+        made_with = [c.removeprefix("bucket_of_") for c in stored.columns if c.startswith("bucket_of_")] if stored else []
+        self.buckets = int(made_with[0]) if made_with else buckets
+        self.bucket = f"bucket_of_{self.buckets}"
 
-    # The manifest of a version has one row per filled bucket and one (bucket -1) for
-    # the table itself, so it holds at most buckets + 1 rows.
-
-    def _state(self) -> tuple[int, dict[int, str], str | None, dict]:
+    def _stored(self, schema: T.StructType | None = None) -> DataFrame | None:
         try:
-            files = self.spark.read.schema(_MANIFEST).json(f"{self.path}/manifest").inputFiles()
-        except AnalysisException:
-            files = []
-        # a folder whose write died holds no file and is not listed
-        version = max((int(found) for name in files for found in re.findall(r"/v=(\d+)/", name)), default=-1)
-        if version < 0:
-            return -1, {}, None, {}
-        rows = self.spark.read.schema(_MANIFEST).json(f"{self.path}/manifest/v={version}").collect()
-        head = next(r for r in rows if r["bucket"] == -1)
-        return (version, {r["bucket"]: r["folder"] for r in rows if r["bucket"] >= 0},
-                head["batch"], json.loads(head["info"]))
-
-    def _publish(self, version: int, folders: dict[int, str], batch: str | None, info: dict) -> None:
-        rows = [(-1, None, batch, json.dumps(info))] + [(b, f, None, None) for b, f in folders.items()]
-        frame = self.spark.createDataFrame(rows, _MANIFEST).coalesce(1)
-        frame.write.mode("errorifexists").json(f"{self.path}/manifest/v={version}")
-
-    def create(self, **info) -> SnapshotTable:
-        """Make the table if it is absent; ``info`` (dimension, metric) stays with it."""
-        version, _, _, known = self._state()
-        if version < 0:
-            known = {"buckets": self.buckets, **info}
-            self._publish(0, {}, None, known)
-        self.buckets = known["buckets"]
-        return self
-
-    def info(self) -> dict:
-        return self._state()[3]
-
-    def version(self) -> int:
-        return self._state()[0]
-
-    def last_batch(self) -> str | None:
-        return self._state()[2]
-
-    def bucket_of(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+            reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+            return reader.parquet(self.path)
+        except AnalysisException:  # nothing has been stored yet
+            return None
 
-    def _open(self, folders: dict[int, str]) -> DataFrame:
-        if not folders:
-            return self.spark.createDataFrame([], self.schema)
-        paths = [f"{self.path}/data/{folder}/bucket={b}" for b, folder in sorted(folders.items())]
-        return self.spark.read.schema(self.schema).parquet(*paths)
+    def _whole(self) -> DataFrame:
+        schema = T.StructType([*self.schema.fields, T.StructField(self.bucket, T.IntegerType())])
+        stored = self._stored(schema)
+        return self.spark.createDataFrame([], schema) if stored is None else stored
+
+    def bucket_number(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
 
     def read(self) -> DataFrame:
-        return self._open(self._state()[1])
+        return self._whole().drop(self.bucket)
 
-    def _touched(self, keys: DataFrame) -> list[int]:
+    def near(self, keys: DataFrame) -> DataFrame:
+        """The buckets that can hold the given keys; the others are not read."""
         # at most one row per bucket comes back
-        return [r[0] for r in keys.select(self.bucket_of(F.col(self.key))).distinct().collect()]
+        touched = [r[0] for r in keys.select(self.bucket_number(F.col(self.key))).distinct().collect()]
+        return self._whole().filter(F.col(self.bucket).isin(touched)).drop(self.bucket)
 
     def lookup(self, keys: DataFrame) -> DataFrame:
-        """Rows of the given keys, reading only the buckets that can hold them."""
-        folders = self._state()[1]
-        wanted = self._touched(keys)
-        part = self._open({b: f for b, f in folders.items() if b in wanted})
-        return part.join(keys.select(self.key).distinct(), self.key, "left_semi")
-
-    def upsert(self, batch: DataFrame, merge: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]],
-               batch_id: str | None = None) -> bool:
+        """Rows of the given keys."""
+        return self.near(keys).join(keys.select(self.key).distinct(), self.key, "left_semi")
+
+    def upsert(self, batch: DataFrame, merge: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]) -> None:
         """Replace the touched buckets by ``merge(stored, batch)``, which gives the stored
-        rows brought up to date and the new rows. A ``batch_id`` equal to the last one
-        committed is a replay and changes nothing. ``batch`` is read more than once."""
-        version, folders, last, info = self._state()
-        if version < 0:
-            raise ValueError(f"no table at {self.path}")
-        if batch_id is not None and batch_id == last:
-            return False
-        touched = self._touched(batch)
-        if not touched:
-            return False
-        stored = self._open({b: f for b, f in folders.items() if b in touched})
-        kept, added = merge(stored, batch)
-        # Stored rows are written from the tasks that read their files, no shuffle; only the
-        # new rows are brought together by bucket, or each task would leave a file in each.
-        folder = self._write(self._placed(kept).unionByName(self._placed(added).hint("rebalance", "bucket")))
-        self._commit(version, {**folders, **{b: folder for b in touched}}, batch_id, info)
-        return True
-
-    def compact(self) -> None:
-        """Rewrite the table with few files per bucket, after many small upserts."""
-        version, folders, last, info = self._state()
-        if folders:
-            folder = self._write(self._placed(self._open(folders)).hint("rebalance", "bucket"))
-            self._commit(version, {b: folder for b in folders}, last, info)
+        rows brought up to date and the new rows. ``batch`` is read more than once."""
+        kept, added = merge(self.near(batch), batch)
+        kept, added = self._placed(kept), self._placed(added)
+        # A small batch is broadcast: stored rows are then written from the tasks that read
+        # their files and only new rows are brought together by bucket. A larger one shuffles
+        # the stored rows anyway, by key, and all rows are brought together.
+        together = kept.unionByName(added.hint("rebalance", self.bucket)) if small_enough(batch) else \
+            kept.unionByName(added).hint("rebalance", self.bucket)
+        together.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            self.bucket).parquet(self.path)
 
     def _placed(self, rows: DataFrame) -> DataFrame:
         names = [f.name for f in self.schema.fields]
-        return rows.select(*names, self.bucket_of(F.col(self.key)).alias("bucket"))
-
-    def _write(self, rows: DataFrame) -> str:
-        folder = f"w={uuid.uuid4().hex[:12]}"
-        rows.write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
-        return folder
-
-    def _commit(self, version: int, folders: dict[int, str], batch_id: str | None, info: dict) -> None:
-        for attempt in range(version + 1, version + 101):
-            try:
-                self._publish(attempt, folders, batch_id, info)
-                return
-            except AnalysisException:
-                if self.version() != version:
-                    raise RuntimeError("another writer has changed the table") from None
-        raise RuntimeError("no free version number")
-
-
-def block_table(spark: SparkSession, path: str, buckets: int = 64) -> SnapshotTable:
-    return SnapshotTable(spark, path, schemas.BLOCK, "id", buckets).create()
-
-
-def vector_table(spark: SparkSession, path: str, dim: int = 384, buckets: int = 64) -> SnapshotTable:
-    """A vector collection; fixed values: 384 dimensions by default, cosine metric."""
-    table = SnapshotTable(spark, path, schemas.VECTOR_POINT, "id", buckets).create(dim=dim, metric="cosine")
-    if table.info()["dim"] != dim:
-        raise ValueError(f"the collection has {table.info()['dim']} dimensions, not {dim}")
-    return table
+        return rows.select(*names, self.bucket_number(F.col(self.key)).alias(self.bucket))
+
+
+class VectorTable(BucketTable):
+    """A vector collection of one dimension. 384 dimensions by default, cosine
+    metric."""
+
+    metric = "cosine"
+
+    def __init__(self, spark: SparkSession, path: str, dim: int = 384, buckets: int = 64):
+        super().__init__(spark, path, schemas.VECTOR_POINT, "id", buckets)
+        self.dim = dim
+        stored = self.read().select(F.size("embedding")).first()
+        if stored and stored[0] != dim:
+            raise ValueError(f"the collection has {stored[0]} dimensions, not {dim}")
+
+
+def block_table(spark: SparkSession, path: str, buckets: int = 64) -> BucketTable:
+    return BucketTable(spark, path, schemas.BLOCK, "id", buckets)
+
+
+def vector_table(spark: SparkSession, path: str, dim: int = 384, buckets: int = 64) -> VectorTable:
+    return VectorTable(spark, path, dim, buckets)

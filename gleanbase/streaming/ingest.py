@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,7 +12,7 @@ from .. import schemas
 from ..operators.embed import Encoder, HashEncoder
 from ..plans.ingest import ingest_records
 from ..session import written
-from ..sources.tables import SnapshotTable
+from ..sources.tables import BucketTable, VectorTable
 
 
 def landed_records(spark: SparkSession, path: str, schema: T.StructType = schemas.SUBMISSION,
@@ -25,17 +24,16 @@ def landed_records(spark: SparkSession, path: str, schema: T.StructType = schema
     return reader.load(path)
 
 
-def start_ingest(records: DataFrame, blocks: SnapshotTable, vectors: SnapshotTable | None, checkpoint: str,
-                 rejects_path: str | None = None, make_encoder: Callable[[], Encoder] = HashEncoder,
-                 name: str = "records") -> StreamingQuery:
+def start_ingest(records: DataFrame, blocks: BucketTable, vectors: VectorTable | None, checkpoint: str,
+                 rejects_path: str | None = None, make_encoder: Callable[[], Encoder] = HashEncoder) -> StreamingQuery:
     """Start the upsert of everything that has landed so far (availableNow); started again
     with the same checkpoint it takes up where it stopped.
 
-    A batch that failed half-way is replayed under its number: each table skips a number
-    it has committed already, and rejects are overwritten batch by batch.
+    A batch that failed half-way is replayed under its number: the upserts give the same rows
+    again, and rejects are overwritten batch by batch.
     """
     def take(batch: DataFrame, number: int) -> None:
-        rejects = ingest_records(batch, blocks, vectors, make_encoder, f"{name}:{number}")
+        rejects = ingest_records(batch, blocks, vectors, make_encoder)
         if rejects_path is not None:
             rejects.write.mode("overwrite").json(f"{rejects_path}/batch={number}")
 
@@ -43,17 +41,12 @@ def start_ingest(records: DataFrame, blocks: SnapshotTable, vectors: SnapshotTab
         availableNow=True).start()
 
 
-def start_upsert(rows: DataFrame, table: SnapshotTable, prepare: Callable[[DataFrame], DataFrame],
-                 merge: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], checkpoint: str, name: str) -> StreamingQuery:
+def start_upsert(rows: DataFrame, table: BucketTable, prepare: Callable[[DataFrame], DataFrame],
+                 merge: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], checkpoint: str) -> StreamingQuery:
     """The same loop for any keyed table: ``prepare`` makes one row per key of a batch."""
     def take(batch: DataFrame, number: int) -> None:
         # the upsert reads its batch more than once, the source should be read only once
-        table.upsert(written(prepare(batch), "batch"), merge, f"{name}:{number}")
+        table.upsert(written(prepare(batch), "batch"), merge)
 
     return rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()
-
-
-def stamped(rows: DataFrame, column: str) -> DataFrame:
-    """Time columns of parquet landings come without a zone; the tables keep UTC instants."""
-    return rows.withColumn(column, F.col(column).cast("timestamp"))

@@ -10,7 +10,7 @@ from gleanbase.operators import blocks as B
 from gleanbase.operators.rows import last_per_key
 from gleanbase.operators.vectors import split_valid, upsert_points
 from gleanbase.session import scratch_path
-from gleanbase.sources.tables import SnapshotTable, block_table, vector_table
+from gleanbase.sources.tables import BucketTable, block_table, vector_table
 
 T0, T1, T2 = (dt.datetime(2024, 1, d) for d in (1, 2, 3))
 BATCH = "id string, source_url string, full_json string, crawled_text string, title string, description string, metadata string"
@@ -86,21 +86,37 @@ def test_payload(spark):
     assert out["1"]["title"] is None and out["1"]["source_url"] == "" and len(out["1"]["text_preview"]) == 200
 
 
-def test_snapshot_table(spark):
+def test_bucket_table(spark):
     path = scratch_path(spark, "t")
     table = block_table(spark, path, buckets=4)
     assert table.read().count() == 0
-    table.upsert(stored(spark), B.replace_parts, "b0")
-    assert table.upsert(batch(spark), lambda o, n: B.merge_parts(o, n, T1), "b1")
-    assert not table.upsert(batch(spark), lambda o, n: B.merge_parts(o, n, T2), "b1")
-    again = SnapshotTable(spark, path, schemas.BLOCK).create()
-    assert again.buckets == 4 and again.version() == 2
+    table.upsert(stored(spark), B.replace_parts)
+    for _ in range(2):  # a batch that comes again changes nothing
+        table.upsert(batch(spark), lambda o, n: B.merge_parts(o, n, T1))
+    table.upsert(batch(spark).limit(0), lambda o, n: B.merge_parts(o, n, T2))
+    again = BucketTable(spark, path, schemas.BLOCK)
+    assert again.buckets == 4
     want = B.merge_blocks(stored(spark), batch(spark), T1)
     assert tuples(again.read(), *want.columns) == tuples(want, *want.columns)
     ids = spark.createDataFrame([("1",), ("007",), ("nope",), ("1",)], "id string")
     assert tuples(again.lookup(ids), "id") == [("007",), ("1",)]
-    again.compact()
-    assert again.version() == 3 and tuples(table.read(), *want.columns) == tuples(want, *want.columns)
+    assert again.near(ids).inputFiles() and again.near(ids.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_files_are_bounded_by_buckets(spark, monkeypatch, small):
+    """Whether the batch is broadcast or not, an upsert leaves a few files in each bucket."""
+    from gleanbase.sources import tables
+    for module in (tables, B):
+        monkeypatch.setattr(module, "small_enough", lambda df: small)
+    rows = spark.range(3000).repartition(12).select(
+        F.col("id").cast("string").alias("id"), *[F.lit("x").alias(c) for c in schemas.BLOCK_VALUES],
+        F.lit(T0).alias("created_at"), F.lit(T0).alias("updated_at"))
+    table = block_table(spark, scratch_path(spark, "t"), buckets=6)
+    table.upsert(rows, B.replace_parts)
+    table.upsert(rows, lambda o, n: B.merge_parts(o, n, T1))
+    assert table.read().count() == 3000 and table.read().filter(F.col("updated_at") == F.lit(T1)).count() == 3000
+    assert len(table.read().inputFiles()) <= 2 * 6
 
 
 def test_failed_write_leaves_the_table(spark):
@@ -113,9 +129,10 @@ def test_failed_write_leaves_the_table(spark):
         return kept.withColumn("title", F.raise_error(F.lit("lost")).cast("string")), added
 
     with pytest.raises(Exception, match="lost"):
-        table.upsert(batch(spark), bad, "b")
+        table.upsert(batch(spark), bad)
     assert tuples(table.read(), "id", "title") == before
-    assert table.upsert(batch(spark), lambda o, n: B.merge_parts(o, n, T1), "b")
+    table.upsert(batch(spark), lambda o, n: B.merge_parts(o, n, T1))
+    assert {("1", "new"), ("3", "three")} <= set(tuples(table.read(), "id", "title"))
 
 
 def test_vector_table(spark):

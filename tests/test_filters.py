@@ -99,3 +99,18 @@ def test_sample_and_scroll(spark):
         if offset is None:
             break
     assert seen == list(range(100))
+
+
+def test_salts_follow_the_rows_of_a_key(spark, monkeypatch):
+    """A key of a third of the rows is dealt so that no place holds many more than SALT_ROWS."""
+    from gleanbase.operators import skew
+    monkeypatch.setattr(skew, "SALT_ROWS", 100)
+    left = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"))
+    hot = hot_keys(left, "k", share=0.1, rows=10)
+    assert tuples(hot, "k", "n") == [(-1, 2000)]
+    right = left.select("k").distinct().withColumn("v", F.col("k") + 1)
+    got = salted_join(left, right, "k", "inner", F.col("id"), hot=hot)
+    assert got.count() == 6000 and got.filter("v <> k + 1").count() == 0
+    salts = skew.salted_join.__globals__["SALT_ROWS"]
+    per_place = left.filter("k = -1").groupBy(F.pmod(F.xxhash64("id"), F.lit(2000 // salts))).count()
+    assert per_place.count() == 20 and per_place.agg(F.max("count")).first()[0] < 2 * salts

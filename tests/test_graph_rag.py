@@ -86,3 +86,18 @@ def test_small_inputs_fill_the_cores(spark, sf, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
     assert fill_cores(docs) is docs
     spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_expand_nodes_searches_the_frontier_only(spark, monkeypatch):
+    points = spark.range(60).select(F.col("id").cast("string").alias("id"), F.array(
+        F.cos(F.col("id") / 10).cast("float"), F.sin(F.col("id") / 10).cast("float")).alias("embedding"))
+    asked, plain = [], G.top_k
+    monkeypatch.setattr(G, "top_k", lambda q, p, k: (asked.append(q.count()), plain(q, p, k))[1])
+    starts = spark.createDataFrame([("7",), ("7",), ("30",), ("nope",), (None,)], "id string")
+    got = G.expand_nodes(starts, points, 3, 2)
+    assert asked == [2, 4]  # the starts, then their neighbours, not all points
+    monkeypatch.setattr(G, "top_k", plain)
+    edges = G.neighbour_links(points, 3)
+    reached = G.expand(starts.filter("id IN ('7', '30')"), edges, 1).select("id").distinct()
+    want = edges.join(reached.withColumnRenamed("id", "source"), "source", "left_semi")
+    assert tuples(got, "source", "target", "value") == tuples(want, "source", "target", "value")

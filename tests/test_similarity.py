@@ -138,3 +138,40 @@ def test_both_ways_keep_one_contract(spark, monkeypatch, scan):
     two = tuples(S.top_k(queries, points, 2), "query_id", "rank", "id")
     assert two == [("q", 1, "a"), ("q", 2, "b"), ("twice", 1, "a"), ("twice", 2, "b")]
     assert tuples(S.top_k(queries, points, 1), "query_id", "rank", "id") == [r for r in two if r[1] == 1]
+
+
+def tasks_run(spark, job):
+    """Tasks of all stages that ``job`` starts."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("counted", "counted")
+    job()
+    ids = tracker.getJobIdsForGroup("counted")
+    spark.sparkContext._jsc.clearJobGroup()
+    return sum(tracker.getStageInfo(s).numTasks for j in ids for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s))
+
+
+def test_too_many_queries_are_noticed_without_a_full_scan(spark, monkeypatch):
+    monkeypatch.setattr(S, "SCAN_QUERIES", 10)
+    queries = spark.range(4000, numPartitions=40).select(
+        F.col("id").alias("query_id"), F.array(F.lit(1.0).cast("float")).alias("embedding"))
+    assert tasks_run(spark, lambda: S.small_queries(queries, 5)) < 10
+
+
+@pytest.mark.parametrize("n,rows", [(5, 4000), (5, 10 ** 7), (5000, 4000)])
+def test_pivots_are_the_first_by_lot(spark, n, rows):
+    """Whether the threshold lets enough through at once, too few, or all."""
+    points = spark.range(4000, numPartitions=40).select("id", F.array(F.col("id").cast("float")).alias("embedding"))
+    want = [r[0] for r in points.orderBy(F.md5(F.col("id").cast("string")), "id").limit(n).select("embedding").collect()]
+    assert S._first_by_lot(points, rows, n).column("embedding").to_pylist() == want
+
+
+def test_index_opened_again(spark):
+    from gleanbase.session import scratch_path
+    ids, m = make(200)
+    points, path = frame(spark, ids, m), scratch_path(spark, "index")
+    made, again = S.build_index(points, 3, path=path), S.open_index(spark, path)
+    assert np.array_equal(made.pivots, again.pivots) and made.stats == again.stats and again.k_max == 3
+    queries = points.withColumnRenamed("id", "query_id")
+    assert shown(S.exact_top_k(queries, again, 3)) == brute(ids, m, ids, m, 3)
+    empty = S.build_index(points.limit(0), 3)
+    assert S.exact_top_k(queries, empty, 3).count() == 0
