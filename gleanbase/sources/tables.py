@@ -2,9 +2,10 @@
 
 An upsert rewrites the buckets that its batch touches with Spark's own writer (dynamic
 partition overwrite): new files are written beside the table and moved in when the job has
-succeeded, so a job that fails leaves the table as it was. Upserts are idempotent; a batch
-that comes again, after a failure in the moves too, gives the same rows. One writer per
-table at a time; a DataFrame read before an upsert must not be used after it.
+succeeded, so a job that fails leaves the table as it was. A driver that dies during the
+moves can lose the older rows of a bucket. Upserts are idempotent: a batch that comes again
+gives the same rows. One writer per table at a time; a DataFrame read before an upsert must
+not be used after it.
 """
 
 from __future__ import annotations
