@@ -55,7 +55,9 @@ class Grams:
         for start in range(0, len(text), SLICE):
             marks = self._marks(text[start:start + SLICE])
             letters = letters or bool(marks.any())
-            if start + SLICE >= len(text):
+            if not tail[-1] and len(marks) and not marks[0]:
+                marks = marks[1:]  # of one run of other characters, wherever the text was sliced
+            if start + SLICE >= len(text) and (marks[-1] if len(marks) else tail[-1]):
                 marks = np.append(marks, np.uint32(0))
             known = len(tail)  # marks of the slice before: only n-grams that end after them are new
             marks = np.concatenate((tail, marks)).astype(np.uint32)

@@ -1,11 +1,13 @@
 """Line dedup by winnowing over line hashes.
 
-A window is the least run of lines, from any line on, that has ``min_words`` words. The least
-line hash in it is its fingerprint, so a run of lines that repeats, in one document or in
-two, and holds a window, selects the same fingerprint at every occurrence. Fingerprints met
-once in the corpus are done with; where one is met again, the windows around it that
-selected it are compared by the digests of their lines, which extends the match both ways,
-and every occurrence of a window but the first loses its lines.
+A window is the least run of lines, from any line on or up to any line, that has ``min_words``
+words. The least line hash in it is its fingerprint, so a run of lines that repeats, in one
+document or in two, and holds a window, selects the same fingerprint at every occurrence.
+Fingerprints met once in the corpus are done with; where one is met again, the windows around
+it that selected it are compared by the digests of their lines, which extends the match both
+ways, and every occurrence of a window but the first loses its lines. Windows that start at
+the lines of a run and the one that ends with it cover it, so a run of ``min_words`` words or
+more that repeats is lost from end to end.
 
 The first occurrence is that with the least (key, text hash, line). The first occurrence of
 a line's words is never lost, since a window lost on its account would hold an earlier one.
@@ -40,18 +42,21 @@ def line_table(text: str | None) -> tuple[bytes, bytes]:
     return b"".join(digests), np.array(counts, "<i4").tobytes()
 
 
-def windows(digests: bytes, counts: bytes, min_words: int) -> Iterator[tuple[int, int, int]]:
-    """(fingerprint, its line, first line, line after the last) of each window, for windows
-    that start at a line with words; numbers are those of the lines that have any."""
+def windows(digests: bytes, counts: bytes, min_words: int) -> Iterator[tuple[int, int, int, int]]:
+    """(fingerprint, its line, first line, line after the last) of each window, by start and
+    end; numbers are those of the lines that have words."""
     words = np.frombuffer(counts, "<i4")
     prints = np.frombuffer(digests, "<i8")[::2][words > 0].tolist()
     total = np.concatenate(([0], np.cumsum(words[words > 0], dtype=np.int64)))
-    ends = np.searchsorted(total, total[:-1] + min_words, side="left").tolist()
+    lines = np.arange(len(total))
+    ends = np.searchsorted(total, total[:-1] + min_words, side="left")  # of the windows from each line on
+    starts = np.searchsorted(total, total[1:] - min_words, side="right") - 1  # of those up to each line
+    inside, whole = ends < len(total), starts >= 0
+    both = np.unique(np.concatenate((lines[:-1][inside] * len(total) + ends[inside],
+                                     starts[whole] * len(total) + lines[1:][whole])))
     least: deque[int] = deque()
     reached = 0
-    for start, end in enumerate(ends):
-        if end > len(prints):
-            return
+    for start, end in zip((both // len(total)).tolist(), (both % len(total)).tolist()):  # neither ever falls
         while reached < end:
             while least and prints[least[-1]] >= prints[reached]:
                 least.pop()

@@ -71,3 +71,12 @@ def test_odd_rows(odd, empty):
         letters = any(c.isalpha() for c in r.text or "")
         assert (r.found, r.sure) == (("qq", 1.0) if letters else ("und", 0.0))
     assert language.predict(empty, trained).count() == 0 and language.train(empty, bits=8).labels == []
+
+
+def test_slices_do_not_show(monkeypatch):
+    text = "Der Hund... 12 -- läuft!!  a,b  " * 40 + "...  "
+    whole = language.Grams(12).counts(text)
+    for length in (1, 2, 3, 7, 64, len(text) - 2, len(text)):
+        monkeypatch.setattr(language, "SLICE", length)
+        sliced = language.Grams(12).counts(text)
+        assert [part.tolist() for part in sliced] == [part.tolist() for part in whole]

@@ -1,4 +1,5 @@
 import re
+from hashlib import md5
 
 import pytest
 
@@ -9,25 +10,23 @@ SF = "/root/testdata/sf0.01"
 
 
 def plain(docs, least):
-    """Every window against all earlier ones. ``docs``: (order, text), in order."""
+    """Every run of lines with enough words against all earlier ones. ``docs``: (order, text), in order."""
     seen, out = {}, {}
     for order, text in docs:
         if text is None:
             out[order] = (None, 0, 0)
             continue
         split = text.split("\n")
-        filled = [(n, tuple(re.findall(r"[^\x20\x09-\x0D]+", x))) for n, x in enumerate(split)]
+        filled = [(n, re.findall(r"[^\x20\x09-\x0D]+", x)) for n, x in enumerate(split)]
         filled = [(n, w) for n, w in filled if w]
         lost = set()
         for a in range(len(filled)):
-            total = 0
+            total, run = 0, md5()
             for b in range(a, len(filled)):
                 total += len(filled[b][1])
-                if total >= least:
-                    window = tuple(w for _, w in filled[a:b + 1])
-                    if seen.setdefault(window, (order, a)) != (order, a):
-                        lost |= set(range(a, b + 1))
-                    break
+                run.update(" ".join(filled[b][1]).encode() + b"\n")
+                if total >= least and seen.setdefault(run.digest(), (order, a)) != (order, a):
+                    lost |= set(range(a, b + 1))
         gone = {filled[k][0] for k in lost}
         for k in range(len(filled) - 1):
             if k in lost and k + 1 in lost:
@@ -63,6 +62,17 @@ def test_hot_passage(spark, frame):
     assert all(rows[n].text == f"head {n} of its own\ntail {n}" and rows[n].n_removed == 4 for n in range(1, 300))
 
 
+def test_tail_of_a_run(frame):
+    def line(name, n):
+        return " ".join(f"{name}{k}" for k in range(n))
+
+    passage = "\n".join((line("a", 9), line("b", 30), line("c", 25), line("d", 8), line("e", 3)))
+    docs = [(n, f"{line(f'own{n}x', 45)}\n{passage}\n{line(f'end{n}x', 45)}") for n in range(3)]
+    rows = {r.doc_id: r for r in lines.dedup_lines(frame(*docs)).collect()}
+    assert rows[0].text == docs[0][1] and [rows[n].n_removed for n in (1, 2)] == [5, 5]
+    assert rows[2].text == f"{line('own2x', 45)}\n{line('end2x', 45)}"
+
+
 def test_odd_rows(odd, empty):
     rows = lines.dedup_lines(odd, min_words=2, into=("had", "lost")).collect()
     texts = odd.select("doc_id", "text").collect()
