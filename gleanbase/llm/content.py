@@ -1,7 +1,8 @@
 """Main text of web pages: text-to-tag ratio per line, smoothed, clustered by a threshold.
 
 The standard library's streaming parser feeds events; block tags and line breaks cut the
-page into lines. A line's ratio is its letters outside links over its tags. The ratios are
+page into lines. Elements whose class or id names what surrounds an article are left out,
+unless they hold it themselves, which is decided at the end. A line's ratio is its letters outside links over its tags. The ratios are
 smoothed with a Gaussian kernel and cut at a share of their deviation; regions (articles,
 the main element, else the body) that hold lines above the cut are the content.
 """
@@ -47,22 +48,62 @@ class _Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool, bool]] = []
-        self.open: list[tuple[str, bool, int]] = []  # name, skipped, region
-        self.regions = 0
-        self.parts: list[str] = []
-        self.plain = self.tags = self.links = 0
+        self.raw: list[tuple[list, int, int, bool, bool]] = []  # parts, tags, region, left out, heading
+        self.open: list[tuple[str, bool, int, int]] = []  # name, skipped, region, hinted element
+        self.regions = [0]  # the hinted element each stands in
+        self.hinted = [(0, "", False, 0)]  # the one around it, name, hint is a whole name, region around it
+        self.mains = [False]  # whether a hinted element is or holds a main
+        self.parts: list[tuple[str, int, bool]] = []  # text, hinted element, outside links
+        self.tags = self.links = 0
         self.left_out = False  # text of elements around the content, since the last cut
 
-    def _state(self) -> tuple[bool, int]:
-        return self.open[-1][1:] if self.open else (False, 0)
+    def _state(self) -> tuple[bool, int, int]:
+        return self.open[-1][1:] if self.open else (False, 0, 0)
 
     def cut(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        if text or self.left_out:
+        if self.parts or self.left_out:
             heading = bool(self.open) and self.open[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6")
-            self.lines.append((text, self.plain, self.tags, self._state()[1], not text, heading))
-        self.parts, self.plain, self.tags, self.left_out = [], 0, 0, False
+            self.raw.append((self.parts, self.tags, self._state()[1], self.left_out, heading))
+        self.parts, self.tags, self.left_out = [], 0, False
+
+    def dropped(self) -> list[bool]:
+        """Which hinted elements go, with all they hold. Those stay that are or hold the main
+        element or over half of the text around them (of the page or the region); if the hint
+        is only part of a name (has-sidebar), also articles outside others and what holds over
+        half of the text of articles. In a region a whole name (comments) goes whatever it holds."""
+        held, of_region = [0] * len(self.hinted), [0] * len(self.regions)
+        for parts, _, region, *_ in self.raw:
+            for text, hint, plain in parts:
+                amount = len("".join(text.split())) if plain else 0
+                held[hint] += amount
+                of_region[region] += amount
+        articles, mains = [0] * len(self.hinted), list(self.mains)
+        for region, hint in enumerate(self.regions):
+            articles[hint] += of_region[region] if region else 0
+        for k in range(len(self.hinted) - 1, 0, -1):  # inner ones come after those around them
+            around = self.hinted[k][0]
+            held[around] += held[k]
+            articles[around] += articles[k]
+            mains[around] = mains[around] or mains[k]
+        out = [False] * len(self.hinted)
+        for k, (around, tag, whole, region) in enumerate(self.hinted[1:], 1):
+            stays = mains[k] or 2 * held[k] > (of_region[region] if region else held[0])
+            if whole:
+                stays = mains[k] or stays and not region
+            else:
+                stays = stays or tag == "article" and not region or 2 * articles[k] > articles[0]
+            out[k] = out[around] or not stays
+        return out
+
+    @property
+    def lines(self) -> list[tuple[str, int, int, int, bool, bool]]:
+        gone, lines = self.dropped(), []
+        for parts, tags, region, left_out, heading in self.raw:
+            kept = [(text, plain) for text, hint, plain in parts if not gone[hint]]
+            text = " ".join("".join(t for t, _ in kept).split())
+            if text or left_out or any(gone[hint] and not t.isspace() for t, hint, _ in parts):
+                lines.append((text, sum(len(t) for t, plain in kept if plain), tags, region, not text, heading))
+        return lines
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK:
@@ -76,19 +117,24 @@ class _Lines(HTMLParser):
             self._close("li", {"ul", "ol", "menu"})
         if tag in BLOCK and tag not in ("html", "head", "title"):  # what stands in the body ends an open head
             self._close("head", {"body"})
-        skipped, region = self._state()
+        skipped, region, hint = self._state()
         hints = {k: v or "" for k, v in attrs}
         if not skipped:
-            words = set(re.split(r"[^a-z0-9]+", f"{hints.get('class', '')} {hints.get('id', '')}".lower()))
+            names = f"{hints.get('class', '')} {hints.get('id', '')}".lower()
+            outer = HINTS if region else PAGE_HINTS
             skipped = (tag in OUTSIDE or tag == "header" and not region or hints.get("role", "").lower() in ROLES
-                       or "hidden" in hints or hints.get("aria-hidden", "").lower() == "true"
-                       or tag not in ("html", "body") and bool(words & (HINTS if region else PAGE_HINTS)))
+                       or "hidden" in hints or hints.get("aria-hidden", "").lower() == "true")
+            if not skipped and tag not in ("html", "body") and not outer.isdisjoint(re.split(r"[^a-z0-9]+", names)):
+                self.hinted.append((hint, tag, not outer.isdisjoint(names.split()), region))
+                self.mains.append(False)
+                hint = len(self.hinted) - 1
         if tag in ("article", "main") and not skipped:
-            self.regions += 1
-            region = self.regions
+            self.regions.append(hint)
+            region = len(self.regions) - 1
+            self.mains[hint] = self.mains[hint] or tag == "main"
         if tag == "a":
             self.links += 1
-        self.open.append((tag, skipped, region))
+        self.open.append((tag, skipped, region, hint))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK:
@@ -115,9 +161,7 @@ class _Lines(HTMLParser):
         if self._state()[0]:
             self.left_out = self.left_out or not data.isspace()
             return
-        self.parts.append(data)
-        if not self.links:
-            self.plain += len(data)
+        self.parts.append((data, self._state()[2], not self.links))
 
 
 def ratios(lines: list[tuple]) -> np.ndarray:

@@ -57,3 +57,23 @@ def test_odd_rows(spark, odd, empty):
     deep = "<div>" * 20_000 + PROSE + "</div>" * 20_000
     assert content.main_text(deep) == PROSE.strip()
     assert content.extract(empty.withColumnRenamed("text", "html")).count() == 0
+
+
+def test_hints_on_what_holds_the_text():
+    text = (PROSE * 3).strip()
+    box = "<div class='sidebar'><p>Other things to read here</p></div>"
+    for page in (
+        f"<body><div class='container right-sidebar'><p>{text}</p>{box}</div></body>",
+        f"<body><div id='page' class='has-sidebar'><article><p>{text}</p></article>{box}</div></body>",
+        f"<body><div class='nav-menu'><p>{PROSE}</p></div><main class='with-sidebar'><p>{text}</p>{box}</main></body>",
+        f"<body><main class='sidebar'><p>{text}</p></main></body>",
+        f"<body><article class='post category-social'><p>{text}</p>{box}</article></body>",
+        f"<body><div class='no-comments'><p>{text}</p></div>{box}</body>",
+        f"<body><article><div class='body with-sidebar'><p>{text}</p></div></article></body>",
+        # readers' comments marked as articles still go
+        f"<body><article><p>{text}</p></article><div id='comments'><article class='comment'><p>{PROSE}</p></article></div></body>",
+        f"<body><article class='no-sidebar'><p>{text}</p><div id='comments'><article><p>{PROSE * 4}</p></article></div></article></body>",
+    ):
+        assert content.main_text(page) == text, page
+    both = f"<article class='post tag-social'><p>{text}</p></article><article class='post tag-promo'><p>{PROSE}</p></article>"
+    assert content.main_text(f"<body>{both}</body>") == f"{text} {PROSE.strip()}"
