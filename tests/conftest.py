@@ -4,8 +4,9 @@ import sys
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-SF = "/root/testdata/sf0.001"
+from helpers import SF  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -26,7 +27,3 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def sf():
     return SF
-
-
-def tuples(df, *columns):
-    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)

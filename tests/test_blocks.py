@@ -2,7 +2,7 @@ import datetime as dt
 import json
 
 import pytest
-from conftest import tuples
+from helpers import tuples
 from pyspark.sql import functions as F
 
 from gleanbase import schemas

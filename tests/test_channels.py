@@ -1,6 +1,6 @@
 import json
 
-from conftest import tuples
+from helpers import tuples
 
 from gleanbase import schemas
 from gleanbase.operators.rows import last_per_key

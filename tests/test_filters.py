@@ -1,6 +1,6 @@
 import datetime as dt
 
-from conftest import tuples
+from helpers import tuples
 from pyspark.sql import functions as F
 
 from gleanbase.operators import filters, rows

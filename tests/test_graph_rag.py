@@ -1,4 +1,4 @@
-from conftest import tuples
+from helpers import tuples
 from pyspark.sql import functions as F
 
 from gleanbase.operators import graph as G

@@ -2,7 +2,7 @@ import re
 from html import unescape
 
 import pytest
-from conftest import tuples
+from helpers import tuples
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from check_oracle import SAME, compare, connect  # noqa: E402
-from conftest import SF  # noqa: E402
+from helpers import SF  # noqa: E402
 
 import __spark_entry__ as contract  # noqa: E402
 

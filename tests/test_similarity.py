@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import tuples
+from helpers import tuples
 from pyspark.sql import functions as F
 
 from gleanbase.operators import similarity as S
