@@ -76,21 +76,35 @@ class Grams:
         return filled, total[filled]
 
 
+def _quota(sizes: list[int], total: int) -> float:
+    """The greatest size at which the sizes, each cut to it, are no more than ``total`` in all."""
+    left, sizes = total, sorted(sizes)
+    for n, size in enumerate(sizes):
+        if size * (len(sizes) - n) > left:
+            return left / (len(sizes) - n)
+        left -= size
+    return float("inf")
+
+
 def train(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", *,
-          max_rows: int = 200_000, max_labels: int = 256, bits: int = 15, smoothing: float = 0.5) -> Model:
+          max_rows: int = 200_000, bits: int = 15, smoothing: float = 0.5) -> Model:
     """Fit on the rows with a label and a text.
 
-    Bounds of the fit: about ``max_rows`` rows, taken by the hash of ``key`` where there are
-    more, and the ``max_labels`` commonest labels (ties by name). Without any labelled row
-    the model has no label, and every text is unknown.
+    Bound of the fit: about ``max_rows`` rows. Where there are more, each label has the same
+    most number of rows, taken by the hash of ``key``; rarer labels are taken whole. Every
+    label is learned: the model has 2^bits numbers for each, and labels are languages, of which
+    there are thousands at most. Priors come from all rows. Without any labelled row the model
+    has no label, and every text is unknown.
     """
     rows = docs.select(F.col(key).alias("k"), F.col(label).cast("string").alias("label"), F.col(text).alias("text"))
     rows = rows.filter(F.col("label").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_labels).collect()
-    labels, total = sorted(r["label"] for r in sizes), sum(r["count"] for r in sizes)
-    size = {r["label"]: r["count"] for r in sizes}
-    if total > max_rows:
-        rows = rows.filter(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < F.lit((max_rows << 20) // total))
+    size = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # a row for each label
+    labels = sorted(size)
+    most = _quota(list(size.values()), max_rows)
+    if any(n > most for n in size.values()):
+        rest = {name: int(most / n * (1 << 20)) for name, n in size.items() if n > most}
+        cut = F.create_map(*(F.lit(x) for pair in rest.items() for x in pair))[F.col("label")]
+        rows = rows.filter(cut.isNull() | (F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < cut))
     order = {name: n for n, name in enumerate(labels)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,14 +135,17 @@ def predict(docs: DataFrame, model: Model, text: str = "text", into: tuple[str,
 
     A null text, one without a letter, or a model without labels gives ``und`` and 0.0. Of
     equally likely labels the first by name is taken. Only the text is looked at, so equal
-    texts get equal answers; other columns pass through.
+    texts get equal answers; other columns pass through, and those named as ``into`` are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in into and c != text])
+    labels, bits = model.labels, model.bits
+    # plain values only: a class would need this package where they are read
+    shared = docs.sparkSession.sparkContext.broadcast((model.log_prior, model.log_prob))
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        grams, width = Grams(model.bits), max(1, len(model.labels))
+        log_prior, log_prob = shared.value
+        grams, width = Grams(bits), max(1, len(labels))
         for batch in batches:
             names, scores = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
             which, rows, cells = [], [], 0
@@ -137,13 +154,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text", into: tuple[str,
                 buckets = np.concatenate([r[0] for r in rows])
                 counts = np.concatenate([r[1] for r in rows])
                 starts = np.cumsum([0, *(len(r[0]) for r in rows[:-1])])
-                sums = np.add.reduceat(counts[:, None] * model.log_prob[buckets], starts, axis=0) + model.log_prior
+                sums = np.add.reduceat(counts[:, None] * log_prob[buckets], starts, axis=0) + log_prior
                 best = sums.argmax(axis=1)
                 names[which] = best
                 scores[which] = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
 
             for n, value in enumerate(batch.column(place)):
-                found = grams.counts(value.as_py()) if model.labels else None
+                found = grams.counts(value.as_py()) if labels else None
                 if found:
                     which.append(n)
                     rows.append(found)
@@ -153,7 +170,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", into: tuple[str,
                     which, rows, cells = [], [], 0
             if rows:
                 score()
-            answer = pa.array([model.labels[k] if k >= 0 else UNKNOWN for k in names], pa.string())
+            answer = pa.array([labels[k] if k >= 0 else UNKNOWN for k in names], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, answer, pa.array(scores)],
                                              [*batch.schema.names, *into])
 

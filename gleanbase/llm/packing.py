@@ -190,7 +190,9 @@ def pack(pieces: DataFrame, length: int = 2048, size: str = "length", order: tup
     if not all(s is not None and 1 <= s <= length for s in sizes):
         raise ValueError(f"a piece must have 1 to {length} tokens")
     salts = max(1, -(-max(sizes.values(), default=0) // RANKED))
-    shared = pieces.sparkSession.sparkContext.broadcast(plan(sizes, length))
+    made = plan(sizes, length)
+    # plain arrays only: a class would need this package where they are read
+    shared = pieces.sparkSession.sparkContext.broadcast((made.length, made.first, made.sequence, made.each, made.offset))
 
     salted = pieces.withColumn(salt, F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     counts = salted.groupBy(F.col(size).alias("_size"), F.col(salt).alias("_salt")).agg(F.count("*").alias(n))
@@ -204,16 +206,16 @@ def pack(pieces: DataFrame, length: int = 2048, size: str = "length", order: tup
     at = names.index(size)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = shared.value
-        keys = made.length * (1 << 48) + made.first
+        length, first, sequence, many, offset = shared.value
+        keys = length * (1 << 48) + first
         for batch in batches:
             sizes = batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64)
             ranks = batch.column(len(names)).to_numpy(zero_copy_only=False)
             run = np.searchsorted(keys, sizes * (1 << 48) + ranks, side="right") - 1
-            inside, each = ranks - made.first[run], made.each[run]
+            inside, each = ranks - first[run], many[run]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(made.sequence[run] + inside // each),
-                 pa.array(made.offset[run] + inside % each * sizes)], [*names, *into])
+                [*batch.columns[:-1], pa.array(sequence[run] + inside // each),
+                 pa.array(offset[run] + inside % each * sizes)], [*names, *into])
 
     return ranked.mapInArrow(place, appended(pieces.schema, **{c: T.LongType() for c in into}))
 

@@ -61,3 +61,34 @@ def test_crowds(frame, crowd):
 def test_odd_rows(odd, empty):
     assert {r.doc_id for r in copies.near_copies(odd).collect()} == set()
     assert copies.near_copies(empty).count() == 0
+
+
+def families(rng, size, changes):
+    base = [rng.randrange(1000) for _ in range(200)]
+    for _ in range(size):
+        words = list(base)
+        for k in rng.sample(range(200), changes):
+            words[k] = rng.randrange(1000)
+        yield {hash(tuple(words[k:k + 5])) for k in range(196)}
+
+
+def rarest(spark, sets):
+    rows = [(n, len(s), token) for n, s in enumerate(sets) for token in s]
+    return copies.by_rarest(spark.createDataFrame(rows, "doc long, n long, token long"))
+
+
+@pytest.mark.parametrize("size", [200, 400, 800])
+def test_texts_that_are_no_copies_make_few_candidates(spark, size):
+    sets = list(families(random.Random(size), size, 6))  # alike, at about 0.58
+    some = [len(a & b) / len(a | b) for a, b in zip(sets, sets[1:])]
+    assert 0.5 < sum(some) / len(some) < 0.66
+    assert rarest(spark, sets).count() <= size
+
+
+def test_candidates_by_rarest_shingles_miss_no_pair(spark):
+    rng = random.Random(4)
+    sets = [s for changes in (1, 2, 3) for s in families(rng, 40, changes)]
+    sets += [set(rng.sample(range(40), rng.randrange(1, 30))) for _ in range(150)]
+    truth = {(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    found = {(min(r.a, r.b), max(r.a, r.b)) for r in rarest(spark, sets).collect()}
+    assert len(truth) > 500 and truth <= found

@@ -57,7 +57,23 @@ def test_bound_of_the_fit(frame):
     docs = frame(*((n, "abc" if n % 2 else "xyz", "a" if n % 2 else "b") for n in range(400)))
     model = language.train(docs, max_rows=100, bits=8)
     assert model.labels == ["a", "b"]
-    assert language.train(docs, max_labels=1, bits=8).labels == ["a"]
+
+
+def test_rare_labels_are_taken_whole(frame):
+    assert language._quota([1000, 10, 50], 100) == 45 and language._quota([3, 4], 7) == float("inf")
+    docs = frame(*((n, "abc abd", "a") for n in range(3000)), *((5000 + n, f"qrs{n}", "rare") for n in range(3)))
+    model = language.train(docs, max_rows=100, bits=8)
+    assert model.labels == ["a", "rare"] and model.log_prior[1] == pytest.approx(np.log(3 / 3003))
+    whole = language.train(docs, bits=8)
+    assert np.array_equal(model.log_prob[:, 1], whole.log_prob[:, 1])  # all three of its rows
+    assert not np.array_equal(model.log_prob[:, 0], whole.log_prob[:, 0])
+
+
+def test_columns_named_as_the_answer_are_replaced(frame):
+    docs = frame((1, "aaa", "x"), (2, "bbb", "y")).selectExpr("*", "1 AS score", "2 AS LANG_PRED")
+    made = language.predict(docs, language.train(docs, bits=8))
+    assert made.columns == ["doc_id", "text", "lang", "source", "n_chars", "lang_pred", "score"]
+    assert {r.lang_pred for r in made.collect()} == {"x", "y"}
 
 
 def test_odd_rows(odd, empty):
