@@ -19,8 +19,11 @@ MIN_SCORE = 0.5  # posterior of the language below which a text is in none of th
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages learned from those with a label: texts without a
-    letter, or as likely as not in another language, go."""
+    letter, or as likely as not in another language, go. Where no document has a label there
+    is no language to be in, and all texts with a letter stay."""
     model = language.train(docs.filter(language.fold() != 0))
+    if not model.labels:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     found, score = fresh(docs, "_found", "_score")
     named = language.predict(docs, model, into=(found, score))
     return named.filter((F.col(found) != language.UNKNOWN) & (F.col(score) >= MIN_SCORE)).select(*docs.columns)
@@ -35,9 +38,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each component of SimHash links, then of those left
-    the one with the least id of each component of texts that share 0.8 of their five-word
-    shingles. Rows that repeat an id are one document; rows without an id cannot be told
-    apart and stay."""
+    the one with the least id of each component of links between texts that share 0.8 of
+    their five-word shingles, which differ in more bits than SimHash segments can index. Rows
+    that repeat an id are one document; rows without an id cannot be told apart and stay."""
     found = simhash.near_duplicates(docs)
     same = written(found.filter("doc_id != component_id").select("doc_id"), "copies")
     near = written(copies.near_copies(without(docs, same)), "copies")
@@ -45,9 +48,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return without(docs, written(found.filter(F.size("spans") > 0).select("doc_id"), "contaminated"))
+    """Rows whose text has no window of a benchmark item. A row is told by its id and text,
+    so that neither rows without an id nor other texts under the same id are mistaken for it."""
+    row, gone = fresh(docs, "_row", "_gone")
+    marked = docs.withColumn(row, F.struct("doc_id", F.xxhash64("text").alias("text")))
+    found = decontaminate.decontaminate(marked, table(spark, sf_dir, "benchmark"), key=row)
+    hit = written(found.filter(F.size("spans") > 0).select(F.col(row).alias(gone)), "contaminated").distinct()
+    # they may be as many as the rows, so they are never broadcast
+    return marked.join(hit.hint("merge"), F.col(row).eqNullSafe(F.col(gone)), "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
