@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, written
-from . import chat, content, decontaminate, language, licenses, lines, packing, quality, rollup, sharding, simhash, tokens
+from . import chat, content, decontaminate, language, licenses, lines, packing, quality, rollup, sharding, simhash, spelling, tokens
 from .common import joined, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,3 +165,9 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(length('<|im_start|>' || role || chr(10) || regexp_replace(text, '<([|]+)', '<\\1|', 'g') || '<|im_end|>' || chr(10)))
             AS BIGINT) AS formatted_chars
 FROM rows GROUP BY conv_id"""
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    words = written(spelling.word_counts(table(spark, folder, "documents").select("doc_id", "text")), "words")
+    return spelling.group_variants(words)
