@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, written
-from . import chat, content, decontaminate, language, licenses, lines, packing, quality, rollup, sharding, simhash, spelling, tokens
+from . import chat, content, decontaminate, language, licenses, lines, packing, quality, repeats, rollup, sharding, simhash, spelling, tokens
 from .common import joined, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,3 +171,18 @@ FROM rows GROUP BY conv_id"""
 def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     words = written(spelling.word_counts(table(spark, folder, "documents").select("doc_id", "text")), "words")
     return spelling.group_variants(words)
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of every text, some made to loop; the one of most periods, and digests of all."""
+    found = repeats.periodic_runs(table(spark, folder, "documents").select("doc_id", "text"), loops=True)
+    best = F.array_min(F.transform("runs", lambda r: F.struct(
+        (-r["length"] / r["period"]).alias("order"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.withColumns({"best": best, "lines": lines})
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
