@@ -28,20 +28,20 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
-RUN = "[A-Za-zÀ-ÿ]+"
 PARTS = 5
 APART = 2  # places in which the vectors of near words may differ
 MIN_LETTERS, MIN_COUNT = 5, 3
+RUN = f"[A-Za-zÀ-ÿ]{{{MIN_LETTERS},}}"  # shorter ones cannot become words
 TIMES = 2  # a form is so many times as common
 MISSPELT = 97  # one in so many (document, run) loses a letter
 _HELD = 1 << 19  # words counted in a task before they go out
+_PART = 1 << 20  # characters of a text looked at at once
 _CHANGES = tuple(combinations(range(PARTS), PARTS - APART))
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
-def shortened(key: object, run: str) -> str:
-    """The run, less one letter where the hash of key and run says so."""
-    number = zlib.crc32(f"{'' if key is None else key}:{run}".encode("utf-8", "surrogatepass"))
+def shortened(run: str, number: int) -> str:
+    """The run, less one letter where the hash of its key and itself says so."""
     if number % MISSPELT:
         return run
     at = number % len(run)
@@ -54,7 +54,7 @@ def word_counts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     document and themselves (a null key is written as nothing). Null and empty texts have no
     words; repeated rows count each."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, held = re.compile(RUN), Counter()
+        runs, ends, held = re.compile(RUN), re.compile("[^A-Za-zÀ-ÿ]"), Counter()
 
         def out() -> pa.RecordBatch:
             made = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())],
@@ -64,9 +64,15 @@ def word_counts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
         for batch in batches:
             for doc, value in zip(batch.column(0), batch.column(1)):
-                name = doc.as_py()
-                for run, n in Counter(m.group() for m in runs.finditer((value.as_py() or "").translate(_LOWER))).items():
-                    word = shortened(name, run)
+                name, text = doc.as_py(), value.as_py().translate(_LOWER)
+                seed = zlib.crc32(f"{'' if name is None else name}:".encode("utf-8", "surrogatepass"))
+                own: Counter = Counter()
+                while text:  # a part of a long text at once, up to the end of a run
+                    cut = ends.search(text, _PART) if len(text) > _PART else None
+                    part, text = (text[:cut.start()], text[cut.start():]) if cut else (text, "")
+                    own.update(runs.findall(part))
+                for run, n in own.items():
+                    word = shortened(run, zlib.crc32(run.encode("utf-8"), seed))
                     if len(word) >= MIN_LETTERS:
                         held[word] += n
                 if len(held) >= _HELD:
@@ -79,49 +85,47 @@ def word_counts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     return counts.filter(F.col("n") >= MIN_COUNT)
 
 
-def signatures(word: str) -> tuple[list[int], list[int]]:
-    """Keys of a word as the shorter of a pair, or one of two of a length, and as the other."""
-    seen: Counter = Counter()
+def signatures(word: str, lengths: tuple[int, ...]) -> list[int]:
+    """Keys of a word in pairs whose shorter word has one of the ``lengths``."""
+    seen: dict[str, int] = {}
     parts: list[list[str]] = [[] for _ in range(PARTS)]
     for letter in word:
-        seen[letter] += 1
+        seen[letter] = seen.get(letter, 0) + 1
         place = f"{letter}{seen[letter]}"
         parts[zlib.crc32(place.encode("utf-8", "surrogatepass")) % PARTS].append(place)
     whole = [" ".join(sorted(part)) for part in parts]
-    left = ["|".join(f"{k}:{whole[k]}" for k in some) for some in _CHANGES]
-
-    def keys(length: int) -> list[int]:
+    left = ["|".join(f"{k}:{whole[k]}" for k in some).encode("utf-8", "surrogatepass") for some in _CHANGES]
+    keys, digest = [], xxhash.xxh64_intdigest
+    for length in lengths:
         half = length // 2
-        ends = (f"{length}<{word[:half]}|", f"{length}>{word[len(word) - half:]}|")
-        return [xxhash.xxh64_intdigest((end + some).encode("utf-8", "surrogatepass")) for end in ends for some in left]
-
-    own = keys(len(word))
-    return own, own + keys(len(word) - 1)
+        for end in (f"{length}<{word[:half]}|", f"{length}>{word[len(word) - half:]}|"):
+            start = end.encode("utf-8", "surrogatepass")
+            keys += [digest(start + some) for some in left]
+    return keys
 
 
-def near_words(words: DataFrame) -> DataFrame:
-    """(a, na, b, nb): all pairs of the distinct words (word, n) one change apart, each once."""
+def _signed(words: DataFrame, shorter: bool) -> DataFrame:
+    """(word, n, key) of the words as the shorter of a pair or one of two of a length, or as
+    the other."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 512):  # short outputs, whatever the batch
                 batch = whole.slice(start, 512)
-                rows, keys, short = [], [], []
-                for row, word in enumerate(batch.column(0)):
-                    for side, made in zip((True, False), signatures(word.as_py())):
-                        rows += [row] * len(made)
-                        keys += made
-                        short += [side] * len(made)
-                at = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(keys, pa.uint64()).view(pa.int64()), pa.array(short, pa.bool_())],
-                    ["word", "n", "key", "short"])
+                made = [signatures(w, (len(w),) if shorter else (len(w), len(w) - 1)) for w in batch.column(0).to_pylist()]
+                at = pa.array([row for row, keys in enumerate(made) for _ in keys], pa.int64())
+                keys = pa.array([key for keys in made for key in keys], pa.uint64()).view(pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), keys], ["word", "n", "key"])
 
+    return words.mapInArrow(sign, "word string, n long, key long")
+
+
+def near_words(words: DataFrame) -> DataFrame:
+    """(a, na, b, nb): all pairs of the distinct words (word, n) one change apart, each once."""
     # each word becomes 60 rows, so the words are dealt over all partitions, however few bytes they are
     dealt = words.select("word", "n").repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
-    signed = dealt.mapInArrow(sign, "word string, n long, key long, short boolean")
-    x = signed.filter("short").selectExpr("key", "word AS a", "n AS na")
-    y = signed.filter("NOT short").selectExpr("key", "word AS b", "n AS nb")
-    near = ("(char_length(a) < char_length(b) OR char_length(a) = char_length(b) AND a < b) AND levenshtein(a, b, 1) = 1")
+    x = _signed(dealt, True).selectExpr("key", "word AS a", "n AS na")
+    y = _signed(dealt, False).selectExpr("key", "word AS b", "n AS nb")
+    near = "(char_length(a) < char_length(b) OR char_length(a) = char_length(b) AND a < b) AND levenshtein(a, b, 1) = 1"
     # signatures grow with the words, so they are never broadcast
     return x.join(y.hint("merge"), "key").filter(near).select("a", "na", "b", "nb").distinct()
 

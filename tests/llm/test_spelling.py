@@ -83,6 +83,13 @@ def test_chains_and_ties(spark):
     assert {r.word: tuple(r) for r in spelling.group_variants(df).collect()} == plain_groups(n)
 
 
+def test_long_texts_in_parts(frame, monkeypatch):
+    docs = [(1, "Words " * 50 + "Étéwords-letters " * 40), (2, "x" * 300), (3, "words" * 30)]
+    whole = {r.word: r.n for r in spelling.word_counts(frame(*docs)).collect()}
+    monkeypatch.setattr(spelling, "_PART", 7)
+    assert {r.word: r.n for r in spelling.word_counts(frame(*docs)).collect()} == whole == plain_counts(docs)
+
+
 def test_odd_rows(spark, odd, empty, tmp_path):
     docs = [(r.doc_id, r.text) for r in odd.collect()]
     counts = {r.word: r.n for r in spelling.word_counts(odd).collect()}
