@@ -13,6 +13,7 @@ from ..operators.embed import embed
 from ..operators.keywords import chunks
 from ..operators.search import FIRST_SAMPLE, RETRIEVE_K, TEXT_SEARCH_K, enrich, search_text, search_vectors
 from ..operators.similarity import approx_top_k, build_index, exact_top_k, open_index, recall, shown_score, top_k
+from ..operators.signs import BITS, FLIPS, TABLES, build_signs, open_signs, sign_top_k
 from ..session import scratch_path, written
 from ..sources.files import hit_lines, write_hits
 from ..sources.tables import vector_table
@@ -181,6 +182,42 @@ def search_recall(spark, d):
     return recall(approx_top_k(_self(points), index, 5, probes=4), top_k(_self(points), points, 5))
 
 
+_SIGNS = f"""
+planes AS (
+  SELECT t, b, d, CASE WHEN CAST('0x' || substr(md5(t || '-' || b || '-' || d), 1, 8) AS BIGINT) % 2 = 1 THEN 1.0 ELSE -1.0 END AS x
+  FROM range({TABLES}) AS t(t), range({BITS}) AS b(b), range(64) AS d(d)),
+entries AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS e, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings),
+signs AS (
+  SELECT vec_id, t, sum(CASE WHEN product > 0 THEN CAST(1 AS BIGINT) << CAST(b AS INTEGER) ELSE 0 END)::BIGINT AS sig
+  FROM (SELECT vec_id, t, b, sum(e * x) AS product FROM entries JOIN planes USING (d) GROUP BY ALL) GROUP BY ALL),
+met AS (SELECT DISTINCT q.vec_id AS query_id, p.vec_id AS id
+        FROM signs q JOIN signs p ON q.t = p.t AND bit_count(xor(q.sig, p.sig)) <= {FLIPS})"""
+_MET_PAIRS = """
+  SELECT met.query_id, met.id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])) AS score
+  FROM met JOIN embeddings q ON q.vec_id = met.query_id JOIN embeddings p ON p.vec_id = met.id"""
+
+
+@query("search_lsh", f"""
+WITH {_SIGNS}, {_ranked_sql(5, _MET_PAIRS)}
+SELECT query_id, rank, id, round(score, 4) + 0.0 AS score FROM hits""")
+def search_lsh(spark, d):
+    points, path = _points(spark, d), scratch_path(spark, "signs")
+    build_signs(points, k_max=5, path=path)
+    return _rounded(sign_top_k(_self(points), open_signs(spark, path), 5))
+
+
+@query("search_lsh_recall", f"""
+WITH {_SIGNS}, {_ranked_sql(5, _ALL_PAIRS)},
+probed AS (
+  SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) + 0.0 DESC, id) AS n FROM ({_MET_PAIRS}))
+SELECT round((SELECT count(*) FROM hits JOIN probed USING (query_id, id) WHERE probed.n <= 5) / count(*), 4) AS recall
+FROM hits""")
+def search_lsh_recall(spark, d):
+    points = _points(spark, d)
+    found = sign_top_k(_self(points), build_signs(points, k_max=5), 5)
+    return recall(found, top_k(_self(points), points, 5))
+
+
 _HASHED = f"""
 docs AS ({_hashed_sql('documents', 'doc_id', 'text')}),
 asked AS ({_hashed_sql('benchmark', 'item_id', 'text')}),

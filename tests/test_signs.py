@@ -1,0 +1,94 @@
+import numpy as np
+import pytest
+from helpers import tuples
+from pyspark.sql import functions as F
+from test_similarity import DIM, brute, frame, make, shown
+
+from gleanbase.operators import signs as N
+from gleanbase.operators import similarity as S
+from gleanbase.plans.queries import QUERIES
+
+
+def plain(qids, q, ids, p, k, tables, bits, flips):
+    """The same by comparing the signs of all pairs, one flip more where hits are missing."""
+    planes = N.planes(q.shape[1], tables, bits)
+    signs = [np.einsum("tbd,nd->ntb", planes, m.astype(np.float64)) > 0 for m in (q, p)]
+    apart = (signs[0][:, None] != signs[1][None]).sum(axis=3).min(axis=2)
+    unit = [m.astype(np.float64) / np.linalg.norm(m.astype(np.float64), axis=1, keepdims=True) for m in (q, p)]
+    scores = np.round(unit[0] @ unit[1].T, 4) + 0.0
+    out = []
+    for n, name in enumerate(qids):
+        for f in range(flips, bits + 1):
+            own = sorted((-scores[n, j], ids[j]) for j in np.flatnonzero(apart[n] <= f))[:k]
+            if len(own) == min(k, len(ids)):
+                break
+        out += [(name, r + 1, i, -s + 0.0) for r, (s, i) in enumerate(own)]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("tables,bits,flips", [(3, 4, 1), (1, 8, 0), (2, 5, 5), (4, 3, 2)])
+def test_equals_comparing_all_signs(spark, tables, bits, flips):
+    ids, m = make(150, hot=False)
+    points = frame(spark, ids, m)
+    index = N.build_signs(points, k_max=4, tables=tables, bits=bits)
+    got = N.sign_top_k(points.withColumnRenamed("id", "query_id"), index, 4, flips)
+    assert shown(got) == plain(ids, m, ids, m, 4, tables, bits, flips)
+    if flips == bits:
+        assert shown(got) == brute(ids, m, ids, m, 4)
+
+
+def test_answers_are_never_short(spark):
+    ids, m = make(20, hot=False)
+    points = frame(spark, ids, m)
+    queries = points.withColumnRenamed("id", "query_id")
+    index = N.build_signs(points, k_max=30, tables=1, bits=10)
+    hits = N.sign_top_k(queries, index, 30, 0)
+    assert tuples(hits.groupBy("query_id").count(), "count") == [(20,)] * 20
+    assert tuples(N.sign_top_k(queries, index, 6, 0).groupBy("query_id").count(), "count") == [(6,)] * 20
+
+
+def test_small_blocks_copies_and_a_third_in_one_bucket(spark, monkeypatch):
+    ids, m = make()
+    points = frame(spark, ids, m)
+    queries = points.withColumnRenamed("id", "query_id")
+    index = N.build_signs(points, k_max=5, tables=6, bits=3)
+    assert index.buckets.filter("tbl = 0").count() < len(ids) * 0.75  # copies beyond k_max hold no room
+    whole = shown(N.sign_top_k(queries, index, 5))
+    monkeypatch.setattr(S, "POINT_BLOCK", 10)
+    monkeypatch.setattr(S, "QUERY_BLOCK", 7)
+    assert shown(N.sign_top_k(queries, index, 5)) == whole
+    truth = brute(ids, m, ids, m, 5)
+    assert len({(q, i) for q, _, i, _ in truth} & {(q, i) for q, _, i, _ in whole}) > 0.95 * len(truth)
+
+
+def test_odd_vectors(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", None), ("d", []), ("e", [1.0]), ("f", [0.0, 0.0]), ("g", [None, 1.0]), ("a", [1.0, 0.1])]
+    points = spark.createDataFrame(rows, "id string, embedding array<float>")
+    index = N.build_signs(points, tables=2, bits=4)
+    got = N.sign_top_k(points.withColumnRenamed("id", "query_id").withColumns({"tbl": F.lit(1), "rank": F.lit("x")}), index, 2)
+    assert sorted({q for q, *_ in shown(got)}) == ["a", "b"]
+    none = points.filter("false")
+    assert N.sign_top_k(none.withColumnRenamed("id", "query_id"), index, 2).count() == 0
+    assert N.sign_top_k(points.withColumnRenamed("id", "query_id"), N.build_signs(none), 2).count() == 0
+    with pytest.raises(ValueError):
+        N.sign_top_k(points.withColumnRenamed("id", "query_id"), index, 11)
+
+
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_recall_on_given_vectors(spark, folder):
+    assert QUERIES["search_lsh_recall"](spark, f"/root/testdata/{folder}").first()["recall"] >= 0.9
+
+
+def test_few_candidates_where_vectors_have_neighbours(spark):
+    """Fifty tight groups: nine of ten true hits by scoring a tenth of the pairs."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(50, 32))
+    m = (np.repeat(centres, 30, axis=0) + 0.4 * rng.normal(size=(1500, 32))).astype(np.float32)
+    ids = [f"p{n:04d}" for n in range(len(m))]
+    points = frame(spark, ids, m)
+    queries = points.withColumnRenamed("id", "query_id")
+    index = N.build_signs(points, k_max=5, tables=8, bits=10)
+    found = N.sign_top_k(queries, index, 5, 1)
+    assert S.recall(found, S.top_k(queries, points, 5)).first()["recall"] >= 0.9
+    seen = N._visits(queries, index, 1, False).join(index.sizes, ["tbl", "sig"]).agg(F.sum("n")).first()[0]
+    assert seen < 0.3 * len(m) ** 2  # in all eight tables
