@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as v
 from ..session import written
+from .descent import descent_top_k
 from .rows import ranked
 from .similarity import CellIndex, approx_top_k, shown_score, top_k
 from .skew import salted_join
@@ -50,6 +51,12 @@ def neighbour_links(points: DataFrame, k: int = 10, keep_self: bool = True, of:
     return links(hits, keep_self, k)
 
 
+def descent_links(points: DataFrame, k: int = 10, keep_self: bool = True, size: int | None = None) -> DataFrame:
+    """Links of one expansion of every point by neighbour descent: near to complete, with work
+    linear in the points."""
+    return links(descent_top_k(points, k if keep_self else k + 1, size), keep_self, k)
+
+
 def new_nodes(existing: DataFrame, found: DataFrame) -> DataFrame:
     """Found nodes not in the graph yet, by id."""
     return found.join(existing.select("id"), "id", "left_anti")

@@ -9,6 +9,7 @@ from ..operators import blocks as B
 from ..operators import graph as G
 from ..operators import rag, rows
 from ..operators import vectors as V
+from ..operators.descent import descent_top_k
 from ..operators.embed import embed
 from ..operators.keywords import chunks
 from ..operators.search import FIRST_SAMPLE, RETRIEVE_K, TEXT_SEARCH_K, enrich, search_text, search_vectors
@@ -376,6 +377,22 @@ def knn_graph_others(spark, d):
     return G.neighbour_links(_points(spark, d), 10, keep_self=False).withColumn("value", shown_score(F.col("value")))
 
 
+@query("knn_descent")
+def knn_descent(spark, d):
+    return G.descent_links(_points(spark, d), 10).withColumn("value", shown_score(F.col("value")))
+
+
+# Which links are found is left to the descent; that nine of ten are there, and that each point
+# has its ten, is not.
+@query("knn_descent_recall", """
+SELECT count(*) AS points, 10 * count(*) AS links, true AS near_complete FROM embeddings""")
+def knn_descent_recall(spark, d):
+    points = _points(spark, d)
+    found = written(descent_top_k(points, 10), "found")
+    share = recall(found, top_k(_self(points), points, 10)).select((F.col("recall") >= 0.9).alias("near_complete"))
+    return found.agg(F.count_distinct("query_id").alias("points"), F.count("*").alias("links")).crossJoin(share)
+
+
 @query("new_nodes", """
 SELECT vec_id AS id, 'old' AS origin FROM embeddings UNION ALL
 SELECT doc_id, 'found' FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""")
