@@ -7,10 +7,9 @@ to the same result form (query_id, rank, id, score):
 
 * scan: few queries (checked) go to every task as a matrix; one pass over the points,
   each task keeps its best k per query.
-* exact: any number of queries. Points lie in cells around sampled pivots; a query is
-  scored in its own cell, and the k-th score then rules out, by the triangle inequality
-  of angles, the cells that cannot hold anything better.
-* approximate: the same cells, only the ``probes`` nearest of each query.
+* tree: any number of queries, by a tree of pivots with bounded leaves (``tree.py``).
+* approximate: points lie in cells around sampled pivots, and the ``probes`` nearest cells of
+  each query are scored. (``signs.py`` has another approximate way, by signatures.)
 
 Scoring runs on blocks of bounded size on both sides, so a crowded cell becomes many
 tasks. Equal vectors are handled once: of the points no more than k copies of a vector
@@ -388,32 +387,6 @@ def approx_top_k(queries: DataFrame, index: CellIndex, k: int = 10, probes: int
     return _once_per_vector(queries, lambda q: best_k(_score(_visits(q, index, _nearest(probes)), index, k), k))
 
 
-def exact_top_k(queries: DataFrame, index: CellIndex, k: int = 10) -> DataFrame:
-    """Best k of all points, with cells ruled out by their angle bounds."""
-    _check(index, k)
-    cells = np.array(sorted(index.stats), dtype=np.int64)
-    low = np.array([index.stats[c][1] for c in cells])
-    high = np.array([index.stats[c][2] for c in cells])
-
-    def rest(angles: np.ndarray, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        own = angles.argmin(axis=1)
-        at = angles[:, cells]
-        gap = np.maximum(np.maximum(at - high, low - at) - _ANGLE_SLACK, 0)
-        least = batch.column("least").to_numpy(zero_copy_only=False)
-        least = np.where(np.isnan(least), -np.inf, least)
-        rows, cols = np.nonzero((np.cos(gap) >= least[:, None] - _SCORE_SLACK) & (cells[None, :] != own[:, None]))
-        return rows, cells[cols]
-
-    def answer(q: DataFrame) -> DataFrame:
-        first = written(best_k(_score(_visits(q, index, _nearest(1)), index, k), k), "own-cell")
-        # the k-th shown score; with fewer than k points so far nothing is ruled out
-        bound = first.filter(F.col("rank") == k).select("query_id", shown_score(F.col("score")).alias("least"))
-        second = _score(_visits(q.join(bound, "query_id", "left"), index, rest), index, k)
-        return best_k(first.select("query_id", "id", "score").unionByName(second), k)
-
-    return _once_per_vector(queries, answer)
-
-
 def _check(index: CellIndex, k: int) -> None:
     if k > index.k_max:
         raise ValueError(f"the index keeps {index.k_max} copies of a vector; k may not exceed it")
@@ -423,11 +396,12 @@ def _check(index: CellIndex, k: int) -> None:
 
 def top_k(queries: DataFrame, points: DataFrame, k: int = 10) -> DataFrame:
     """Exact best k of ``points`` (id, embedding) for each of ``queries`` (query_id,
-    embedding): by scan when the queries are few, by cells otherwise."""
+    embedding): by scan when the queries are few, by a tree of pivots otherwise."""
+    from .tree import build_tree, tree_top_k  # it builds on this module
     few = small_queries(queries, k)
     if few is not None:
         return scan_top_k(few, queries.schema["query_id"].dataType, points, k)
-    return exact_top_k(one_per_id(queries), build_index(points, k_max=k), k)
+    return tree_top_k(queries, build_tree(points, k_max=k), k)
 
 
 def recall(found: DataFrame, truth: DataFrame) -> DataFrame:

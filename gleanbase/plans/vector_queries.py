@@ -13,8 +13,9 @@ from ..operators.descent import descent_top_k
 from ..operators.embed import embed
 from ..operators.keywords import chunks
 from ..operators.search import FIRST_SAMPLE, RETRIEVE_K, TEXT_SEARCH_K, enrich, search_text, search_vectors
-from ..operators.similarity import approx_top_k, build_index, exact_top_k, open_index, recall, shown_score, top_k
+from ..operators.similarity import approx_top_k, build_index, open_index, recall, shown_score, top_k
 from ..operators.signs import BITS, FLIPS, TABLES, build_signs, open_signs, sign_top_k
+from ..operators.tree import build_tree, tree_top_k
 from ..session import scratch_path, written
 from ..sources.files import hit_lines, write_hits
 from ..sources.tables import vector_table
@@ -144,7 +145,7 @@ def search_topk(spark, d):
 @query("search_cells", _topk_sql(5))
 def search_cells(spark, d):
     points = _points(spark, d)
-    return _rounded(exact_top_k(_self(points), build_index(points, k_max=5), 5))
+    return _rounded(tree_top_k(_self(points), build_tree(points, k_max=5, leaf=200, fan=16), 5))
 
 
 # Nearest-cell search has an exact answer too once the pivots are fixed: the first

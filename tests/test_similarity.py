@@ -4,6 +4,7 @@ from helpers import tuples
 from pyspark.sql import functions as F
 
 from gleanbase.operators import similarity as S
+from gleanbase.operators import tree as R
 from gleanbase.operators.embed import HashEncoder, embed
 from gleanbase.operators.search import enrich, search_text, search_vectors
 
@@ -43,7 +44,7 @@ def shown(hits):
     return tuples(hits.withColumn("score", S.shown_score(F.col("score"))), "query_id", "rank", "id", "score")
 
 
-@pytest.mark.parametrize("way", ["scan", "cells", "cells in small blocks"])
+@pytest.mark.parametrize("way", ["scan", "tree", "tree of small blocks"])
 def test_exact_equals_brute_force(spark, monkeypatch, way):
     ids, m = make()
     points = frame(spark, ids, m)
@@ -52,8 +53,8 @@ def test_exact_equals_brute_force(spark, monkeypatch, way):
         got = S.top_k(queries, points, 5)
     else:
         if "small" in way:
-            monkeypatch.setattr(S, "POINT_BLOCK", 20)
-            monkeypatch.setattr(S, "QUERY_BLOCK", 15)
+            monkeypatch.setattr(R, "LEAF", 20)
+            monkeypatch.setattr(R, "BLOCK", 15)
         monkeypatch.setattr(S, "SCAN_QUERIES", 10)
         got = S.top_k(queries, points, 5)
     assert shown(got) == brute(ids, m, ids, m, 5)
@@ -66,26 +67,7 @@ def test_fewer_points_than_k_and_odd_vectors(spark):
     queries = points.withColumnRenamed("id", "query_id")
     want = brute(ids, m, ids, m, 10)
     assert shown(S.top_k(queries, points, 10)) == want
-    assert shown(S.exact_top_k(queries, S.build_index(points, 10), 10)) == want
-
-
-def test_cells_rule_out_work(spark):
-    """On clustered points the bounds leave far fewer visits than queries times cells."""
-    rng = np.random.default_rng(3)
-    centres = rng.normal(size=(8, DIM))
-    m = (centres[np.arange(400) % 8] + rng.normal(scale=0.01, size=(400, DIM))).astype(np.float32)
-    ids = [f"p{i:04d}" for i in range(400)]
-    points = frame(spark, ids, m)
-    index = S.build_index(points, 3)
-    seen = []
-    original = S._score
-    try:
-        S._score = lambda visits, index, k: (seen.append(visits.count()), original(visits, index, k))[1]
-        got = S.exact_top_k(points.withColumnRenamed("id", "query_id"), index, 3)
-    finally:
-        S._score = original
-    assert shown(got) == brute(ids, m, ids, m, 3)
-    assert sum(seen) < 0.5 * 400 * len(index.stats)
+    assert shown(S.approx_top_k(queries, S.build_index(points, 10), 10, probes=10)) == want
 
 
 def test_approximate_recall(spark, sf):
@@ -172,6 +154,6 @@ def test_index_opened_again(spark):
     made, again = S.build_index(points, 3, path=path), S.open_index(spark, path)
     assert np.array_equal(made.pivots, again.pivots) and made.stats == again.stats and again.k_max == 3
     queries = points.withColumnRenamed("id", "query_id")
-    assert shown(S.exact_top_k(queries, again, 3)) == brute(ids, m, ids, m, 3)
+    assert shown(S.approx_top_k(queries, again, 3, probes=len(again.pivots))) == brute(ids, m, ids, m, 3)
     empty = S.build_index(points.limit(0), 3)
-    assert S.exact_top_k(queries, empty, 3).count() == 0
+    assert S.approx_top_k(queries, empty, 3).count() == 0

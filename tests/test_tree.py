@@ -1,0 +1,75 @@
+import numpy as np
+import pytest
+from helpers import tuples
+from pyspark.sql import functions as F
+from test_similarity import brute, frame, make, shown
+
+from gleanbase.operators import tree as R
+
+
+@pytest.mark.parametrize("leaf,fan", [(1000, 64), (40, 8), (12, 3)])
+@pytest.mark.parametrize("hot", [False, True])
+def test_exact_equals_brute_force(spark, leaf, fan, hot):
+    ids, m = make(300, hot=hot)
+    points = frame(spark, ids, m)
+    index = R.build_tree(points, k_max=5, leaf=leaf, fan=fan)
+    assert shown(R.tree_top_k(points.withColumnRenamed("id", "query_id"), index, 5)) == brute(ids, m, ids, m, 5)
+
+
+def test_leaves_are_bounded_and_hold_every_vector_once(spark, monkeypatch):
+    ids, m = make(500)
+    monkeypatch.setattr(R, "BLOCK", 30)
+    index = R.build_tree(frame(spark, ids, m), k_max=4, leaf=20, fan=4)
+    leaves = index.leaves.collect()
+    assert max(tuples(index.leaves.groupBy("cell").count(), "count"))[0] <= 20 and len(index.levels) > 2
+    held = sorted(i for r in leaves for i in r.ids)
+    copied = ids[:500 // 3]
+    assert held == sorted(copied[:4] + ids[500 // 3:-1]) and len({tuple(r.embedding) for r in leaves}) == len(leaves)
+    for nodes in index.levels:
+        assert max(tuples(nodes.groupBy("parent").count(), "count"))[0] <= 4
+    # bounds hold for all that lies below
+    at = {r.cell: r for nodes in index.levels for r in nodes.collect()}
+    for r in leaves:
+        node = at[r.cell]
+        v, p = (np.array(x, float) / np.linalg.norm(x) for x in (r.embedding, node.pivot))
+        assert node.low - 1e-6 <= np.arccos(np.clip(v @ p, -1, 1)) <= node.high + 1e-6
+    assert shown(R.tree_top_k(frame(spark, ids, m).withColumnRenamed("id", "query_id"), index, 4)) == brute(ids, m, ids, m, 4)
+
+
+def test_visits_stay_few_where_vectors_have_neighbours(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 16))
+    m = (np.repeat(centres, 20, axis=0) + 0.05 * rng.normal(size=(1200, 16))).astype(np.float32)
+    ids = [f"p{n:04d}" for n in range(len(m))]
+    points = frame(spark, ids, m)
+    queries = points.withColumnRenamed("id", "query_id")
+    index = R.build_tree(points, k_max=5, leaf=60, fan=32)
+    found = R.tree_top_k(queries, index, 5)
+    assert shown(found) == brute(ids, m, ids, m, 5)
+    least = found.filter("rank = 5").select("query_id", F.col("score").alias("least"))
+    visits = R._visited(queries.join(least, "query_id"), index, True)
+    assert visits.columns == ["query_id", "cell"]  # no vectors
+    assert visits.count() < 0.2 * len(m) * index.leaves.select("cell").distinct().count()
+
+
+def test_vectors_in_one_direction_are_split_too(spark):
+    rng = np.random.default_rng(2)
+    m = np.outer(np.arange(1, 121), rng.normal(size=12)).astype(np.float32)
+    ids = [f"p{n:04d}" for n in range(len(m))]
+    index = R.build_tree(frame(spark, ids, m), k_max=3, leaf=10, fan=4)
+    assert max(tuples(index.leaves.groupBy("cell").count(), "count"))[0] <= 10
+    assert shown(R.tree_top_k(frame(spark, ids, m).withColumnRenamed("id", "query_id"), index, 3)) == brute(ids, m, ids, m, 3)
+
+
+def test_opened_again_and_odd_vectors(spark, tmp_path):
+    rows = [("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", None), ("d", []), ("e", [1.0]), ("f", [0.0, 0.0]), ("g", [None, 1.0]), ("h", [0.0, 2.0])]
+    points = spark.createDataFrame(rows, "id string, embedding array<float>").withColumns({"cell": F.lit(1), "ids": F.lit("x")})
+    R.build_tree(points, k_max=3, leaf=1, fan=2, path=f"{tmp_path}/tree")
+    index = R.open_tree(spark, f"{tmp_path}/tree")
+    got = R.tree_top_k(points.withColumnRenamed("id", "query_id"), index, 2)
+    assert [r[:3] for r in shown(got)] == [("a", 1, "a"), ("a", 2, "b"), ("b", 1, "b"), ("b", 2, "h"), ("h", 1, "b"), ("h", 2, "h")]
+    none = R.build_tree(points.filter("false"))
+    assert R.tree_top_k(points.withColumnRenamed("id", "query_id"), none, 2).count() == 0
+    assert R.tree_top_k(points.filter("false").withColumnRenamed("id", "query_id"), index, 2).count() == 0
+    with pytest.raises(ValueError):
+        R.tree_top_k(points.withColumnRenamed("id", "query_id"), index, 4)
