@@ -17,6 +17,7 @@ from ..sources import channels as C
 from ..sources.files import read_blocks_csv
 from ..sources.tables import block_table, vector_table
 from ..streaming.ingest import landed_records, start_ingest, start_upsert
+from ..streaming.latest import newer_only
 from .catalog import (ARCHIVE, CHANNELS, IS_PDF, LINKED, archive, channel_rows, heavy, linked, query, site_sql,
                       strip_html_sql, table)
 from .ingest import ingest_channels, sync_channels
@@ -498,6 +499,30 @@ def stream_ingest(spark, d):
     return blocks.read().select("id", "title", "metadata", _time("updated_at"))
 
 
+# The events land in three files that hold earlier and later ones alike, and the first of them
+# lands again at last: what a block has in the end is its last event by time, then number.
+@query("stream_latest", """
+SELECT CAST(user_id AS VARCHAR) AS id, arg_max(event_type, (ts, event_id)) AS title, arg_max(props, (ts, event_id)) AS metadata,
+       strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS updated_at
+FROM events GROUP BY user_id""")
+def stream_latest(spark, d):
+    landing, offsets = scratch_path(spark, "landing"), scratch_path(spark, "offsets")
+    events = table(spark, d, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    blocks = block_table(spark, scratch_path(spark, "blocks"), buckets=8)
+
+    def prepare(batch):
+        none = F.lit(None).cast("string")
+        return batch.select(F.col("user_id").cast("string").alias("id"), none.alias("source_url"), none.alias("full_json"),
+                            none.alias("crawled_text"), F.col("event_type").alias("title"), none.alias("description"),
+                            F.col("props").alias("metadata"), "ts")
+
+    for part in (0, 1, 2, 0):  # each time the stream is started again from its checkpoint
+        events.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(landing)
+        rows = newer_only(landed_records(spark, landing, events.schema, "parquet"), "user_id", ["at", "event_id"])
+        start_upsert(rows, blocks, prepare, lambda old, new: B.merge_parts(old, new, F.col("ts")), offsets).awaitTermination()
+    return blocks.read().select("id", "title", "metadata", _time("updated_at"))
+
+
 # Submitted records land as files, go through the stream to both tables, and all of them
 # come a second time under a new checkpoint, which must change nothing.
 @query("stream_records", _SUBMITTED + """, good AS (
