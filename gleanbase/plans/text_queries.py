@@ -8,6 +8,7 @@ from ..functions import text as tx
 from ..operators import keywords as K
 from ..operators.parse import main_content as main_content_job
 from ..operators.parse import parse_pages
+from ..operators.postings import build_postings, search_words
 from ..operators.spread import fill_cores
 from ..session import written
 from .catalog import ARCHIVE, archive, heavy, linked, query, strip_html_sql, table
@@ -160,3 +161,17 @@ def keyword_lookup(spark, d):
     wanted = table(spark, d, "benchmark").select(F.explode(tx.words(F.col("text"))).alias("word"))
     found = K.keyword_lookup(_stored_index(spark, d), archive(spark, d), wanted)
     return found.select("word", "id", "weight", "source_url", "title")
+
+
+# Every benchmark passage as a question of several words, over all documents.
+@query("search_words", rf"""
+WITH {_INDEX}, asked AS (
+  SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS word FROM benchmark),
+sums AS (SELECT query_id, id, sum(CAST(weight AS DECIMAL(18,4))) AS score FROM asked JOIN keyword_index USING (word) GROUP BY ALL)
+SELECT * FROM (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id,
+         CAST(score AS DOUBLE) AS score FROM sums)
+WHERE rank <= 10""")
+def search_words_query(spark, d):
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return search_words(asked, build_postings(_index(spark, d)), 10)

@@ -12,6 +12,7 @@ from ..operators import vectors as V
 from ..operators.descent import descent_top_k
 from ..operators.embed import embed
 from ..operators.keywords import chunks
+from ..operators.passages import passage_contexts, passages
 from ..operators.search import FIRST_SAMPLE, RETRIEVE_K, TEXT_SEARCH_K, enrich, search_text, search_vectors
 from ..operators.similarity import approx_top_k, build_index, open_index, recall, shown_score, top_k
 from ..operators.signs import BITS, FLIPS, TABLES, build_signs, open_signs, sign_top_k
@@ -471,6 +472,37 @@ def rag_prompt(spark, d):
     return rag.prompts(_questions(spark, d), rag.contexts(_text_hits(spark, d, RETRIEVE_K)))
 
 
+# Contexts from fragments: the six best chunks of each benchmark passage over whole documents,
+# put together where they overlap. Chunks have 30 words, one every 20.
+@query("chunk_contexts", rf"""
+WITH {ARCHIVE}, w AS (SELECT id, str_split(crawled_text, ' ') AS words FROM archive WHERE crawled_text <> ''),
+c AS (SELECT id, words, unnest(range(CAST(greatest(ceil((len(words) - 30) / 20.0), 0) AS BIGINT) + 1)) AS chunk_no FROM w),
+parts AS (SELECT id || '#' || chunk_no AS doc_id, array_to_string(words[chunk_no * 20 + 1 : chunk_no * 20 + 30], ' ') AS text FROM c),
+docs AS ({_hashed_sql('parts', 'doc_id', 'text')}),
+asked AS ({_hashed_sql('benchmark', 'item_id', 'text')}),
+lengths AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM docs GROUP BY doc_id),
+asked_lengths AS (SELECT item_id, sqrt(sum(x * x)) AS n FROM asked GROUP BY item_id),
+{_ranked_sql(6, _TEXT_PAIRS)},
+hit AS (SELECT query_id, split_part(id, '#', 1) AS id, CAST(split_part(id, '#', 2) AS BIGINT) AS chunk_no, round(score, 4) + 0.0 AS score FROM hits),
+stepped AS (SELECT *, chunk_no - lag(chunk_no) OVER (PARTITION BY query_id, id ORDER BY chunk_no) AS gap FROM hit),
+islands AS (SELECT *, sum(CASE WHEN gap <= 1 THEN 0 ELSE 1 END) OVER (PARTITION BY query_id, id ORDER BY chunk_no) AS island FROM stepped),
+found AS (SELECT query_id, id, min(chunk_no) AS a, max(chunk_no) AS b, max(score) AS score FROM islands GROUP BY query_id, id, island),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id, a) AS rank FROM found)
+SELECT query_id, string_agg('Document ' || rank || ':' || chr(10) || 'Title: ' || coalesce(title, 'None') || chr(10) || 'URL: '
+         || coalesce(source_url, 'None') || chr(10) || 'Content: ' || array_to_string(words[a * 20 + 1 : b * 20 + 30], ' ') || chr(10),
+         chr(10) || chr(10) ORDER BY rank) AS context
+FROM best JOIN w USING (id) JOIN archive USING (id) WHERE rank <= 3 GROUP BY query_id""")
+def chunk_contexts(spark, d):
+    blocks = archive(spark, d)
+    parts = chunks(blocks.select("id", "crawled_text"), width=30, step=20)
+    named = parts.select(F.concat("id", F.lit("#"), F.col("chunk_no").cast("string")).alias("id"), "chunk")
+    asked = embed(_questions(spark, d), "question").select("query_id", "embedding")
+    found = _rounded(top_k(asked, embed(named, "chunk").select("id", "embedding"), 6))
+    hits = found.select("query_id", F.split_part("id", F.lit("#"), F.lit(1)).alias("id"),
+                        F.split_part("id", F.lit("#"), F.lit(2)).cast("int").alias("chunk_no"), "score")
+    return passage_contexts(passages(hits, parts, 30, 20), blocks)
+
+
 # The flagship: every vector's ten nearest with the page behind each hit.
 def flagship(spark, d):
     points = _points(spark, d)
