@@ -92,6 +92,56 @@ def wiki_markdown(spark, d):
     return parse_pages(wiki_pages(spark, d)).select("source_url", "route", "content")
 
 
+# Every document as a page of links, lists, tables, code, quotes and headings, one kind after
+# another for its lines, some end tags left out; the Markdown of each kind is written down in SQL.
+_RICH_LINES = r"""
+lines AS (
+  SELECT doc_id, list_filter(list_transform(str_split(text, chr(10)),
+    lambda l: trim(regexp_replace(l, '[ \t\r\f]+', ' ', 'g'))), lambda l: l <> '') AS ls FROM documents)"""
+
+
+def rich_pages(spark, d):
+    safe = F.replace(F.replace(F.replace("l", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda l: F.trim(F.regexp_replace(l, "[ \t\r\f]+", " "))), lambda l: l != "")
+    kinds = [
+        ('<p><a href="/to?n=1&amp;m=2">', "</a> and<b> bold</b> <i>or not</i></p>"),
+        ("<ul><li>", "</li><li>two<ul><li>inner</ul></ul>"),
+        ('<ol start="3"><li>', "</li><li><em>four</em></li></ol>"),
+        ("<table><thead><tr><th>n</th><th>text</thead><tr><td>1</td><td>", "</td></tr><tr><td>2</td><td>a|b</table>"),
+        ("<pre>", "\n  x*y_z</pre>"),
+        ("<blockquote><p>", "</p><p>said<br>twice</blockquote>"),
+        ("<h3>", "</h3><p><code>a_b</code><hr>"),
+    ]
+    body = F.posexplode(lines).alias("n", "l")
+    chosen = None
+    for n, (before, after) in enumerate(kinds):
+        made = F.concat(F.lit(before), safe, F.lit(after))
+        at = F.col("n") % len(kinds) == n
+        chosen = F.when(at, made) if chosen is None else chosen.when(at, made)
+    parts = table(spark, d, "documents").select("doc_id", body).select("doc_id", F.struct("n", chosen.alias("made")).alias("part"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list("part")), lambda p: p["made"]), "")
+    return parts.groupBy("doc_id").agg(F.concat(F.lit("<html><body><script>var a='<p>';</script>"), whole).alias("html")).select(
+        F.col("doc_id").alias("page_id"), "html", F.concat(F.lit("https://pages.example.com/"), F.col("doc_id").cast("string")).alias("url"))
+
+
+@query("rich_markdown", rf"""
+WITH {_RICH_LINES},
+blocks AS (SELECT doc_id, list_transform(ls, lambda l, i: {{'i': i, 'raw': l, 'e': replace(replace(l, '*', '\*'), '_', '\_')}}) AS bs FROM lines),
+md AS (
+  SELECT doc_id, array_to_string(list_transform(bs, lambda b: CASE (b.i - 1) % 7
+    WHEN 0 THEN '[' || b.e || '](/to?n=1&m=2) and **bold** *or not*'
+    WHEN 1 THEN '- ' || b.e || chr(10) || '- two' || chr(10) || '  - inner'
+    WHEN 2 THEN '3. ' || b.e || chr(10) || '4. *four*'
+    WHEN 3 THEN '| n | text |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | ' || replace(b.e, '|', '\|') || ' |' || chr(10) || '| 2 | a\|b |'
+    WHEN 4 THEN '```python' || chr(10) || b.raw || chr(10) || '  x*y_z' || chr(10) || '```'
+    WHEN 5 THEN '> ' || b.e || chr(10) || '>' || chr(10) || '> said' || chr(10) || '> twice'
+    ELSE '### ' || b.e || chr(10) || chr(10) || '`a_b`' || chr(10) || chr(10) || '---' END), chr(10) || chr(10)) AS t
+  FROM blocks WHERE len(bs) > 0)
+SELECT 'https://pages.example.com/' || doc_id AS source_url, {_clean_sql('t')} AS content FROM md""")
+def rich_markdown(spark, d):
+    return parse_pages(rich_pages(spark, d)).select("source_url", "content")
+
+
 # Words of the converted page against the words of the page stripped of its tags: the
 # conversion must neither lose nor invent text. Addresses and list marks are not words of
 # the page, so both sides keep letters only and the Markdown drops its link targets.
