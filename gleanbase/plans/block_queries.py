@@ -10,9 +10,10 @@ from ..functions import text as tx
 from ..functions import urls
 from ..functions import values as v
 from ..operators import blocks as B
+from ..operators import sketches
 from ..operators import filters, reports
 from ..operators.rows import last_per_key
-from ..session import scratch_path
+from ..session import scratch_path, written
 from ..sources import channels as C
 from ..sources.files import read_blocks_csv
 from ..sources.tables import block_table, vector_table
@@ -20,7 +21,7 @@ from ..streaming.ingest import landed_records, start_ingest, start_upsert
 from ..streaming.latest import newer_only
 from .catalog import (ARCHIVE, CHANNELS, IS_PDF, LINKED, archive, channel_rows, heavy, linked, query, site_sql,
                       strip_html_sql, table)
-from .ingest import ingest_channels, sync_channels
+from .ingest import Counts, ingest_channels, sync_channels
 from .text_queries import WIKI_PAGE_TEXTS, wiki_pages
 
 SINCE, TILL = dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 20, 12)
@@ -449,16 +450,33 @@ WITH e AS (SELECT user_id, arg_max(event_type, event_id) AS channel, max(event_i
 SELECT CAST(user_id AS VARCHAR) AS id, 'v' || event_id AS title, source_url, content AS crawled_text
 FROM e JOIN wiki_texts ON doc_id = user_id""")
 def ingest_job(spark, d):
+    blocks = block_table(spark, scratch_path(spark, "blocks"), buckets=8)
+    ingest_channels([_event_blocks(spark, d)], wiki_pages(spark, d), blocks, None, AS_OF)
+    return blocks.read().select("id", "title", "source_url", "crawled_text")
+
+
+# The figures of the same run, taken by its own jobs.
+@query("ingest_counts", f"""
+WITH {WIKI_PAGE_TEXTS},
+e AS (SELECT DISTINCT user_id FROM events), b AS (SELECT user_id, source_url, content FROM e LEFT JOIN wiki_texts ON doc_id = user_id)
+SELECT count(*) AS blocks, count(source_url) AS with_url, count(DISTINCT source_url) AS parsed,
+       count(DISTINCT CASE WHEN content = '' THEN source_url END) AS failed, count(*) FILTER (content <> '') AS with_text FROM b""")
+def ingest_counts(spark, d):
+    counts = Counts()
+    ingest_channels([_event_blocks(spark, d)], wiki_pages(spark, d), block_table(spark, scratch_path(spark, "blocks"), buckets=8),
+                    None, AS_OF, counts=counts)
+    figures = counts.get()
+    return spark.createDataFrame([tuple(figures.values())], ", ".join(f"{n} long" for n in figures))
+
+
+def _event_blocks(spark, d):
     pages = wiki_pages(spark, d)
-    rows = channel_rows(spark, d).join(
+    return channel_rows(spark, d).join(
         pages.select(F.col("page_id").cast("string").alias("id"), "url"), "id", "left").select(
         "id", "channel", F.lit(1).cast("long").alias("page"), F.col("event_id").alias("pos"),
         F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("title"),
         F.lit(None).cast("string").alias("description"), F.col("metadata"),
         F.when(F.col("url").isNotNull(), F.struct("url", F.lit("text/html").alias("content_type"))).alias("source"))
-    blocks = block_table(spark, scratch_path(spark, "blocks"), buckets=8)
-    ingest_channels([rows], pages, blocks, None, AS_OF)
-    return blocks.read().select("id", "title", "source_url", "crawled_text")
 
 
 @query("sync_job", f"""
@@ -592,3 +610,19 @@ SELECT CAST(page_id AS VARCHAR) AS id FROM pages WHERE page_id NOT IN (SELECT us
 def missing_ids(spark, d):
     before = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("id"))
     return reports.missing_since(before, channel_rows(spark, d))
+
+
+# The figures of each day's sync are stored as sketches and put together for the whole span.
+@query("span_report", """
+WITH n AS (SELECT event_type AS channel, count(*) AS rows FROM events GROUP BY ALL)
+SELECT channel, rows, true AS ids_close, true AS median_close, true AS same_as_whole FROM n""")
+def span_report(spark, d):
+    rows = channel_rows(spark, d).select("id", "channel", F.length("metadata").alias("size"), F.to_date("created_at").alias("sync"))
+    stored = written(sketches.sketch(rows, ["sync", "channel"], "id", "size"), "sketches")
+    span = sketches.report(sketches.merge(stored, ["channel"]), [0.5])
+    whole = sketches.report(sketches.sketch(rows, ["channel"], "id", "size"), [0.5])
+    true = rows.groupBy("channel").agg(F.count_distinct("id").alias("ids"), F.median("size").alias("median"))
+    both = span.join(whole.select("channel", F.col("distinct_ids").alias("whole_ids")), "channel").join(true, "channel")
+    close = F.abs(F.col("distinct_ids") - F.col("ids")) <= sketches.ID_ERROR * F.col("ids")
+    return both.select("channel", "rows", close.alias("ids_close"), (F.abs(F.col("sizes")[0] - F.col("median")) <= 1).alias("median_close"),
+                       (F.abs(F.col("distinct_ids") - F.col("whole_ids")) <= sketches.ID_ERROR * F.col("ids")).alias("same_as_whole"))

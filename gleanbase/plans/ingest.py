@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators import filters
@@ -20,6 +20,23 @@ from ..sources.tables import BucketTable, VectorTable
 ARRIVAL = ["channel_ord", "page", "pos"]
 
 
+class Counts:
+    """Figures of a run, taken while its own jobs run: no row is read for them alone. A stage
+    that did not run, for it had nothing to read, counts 0."""
+
+    def __init__(self):
+        self._seen: list[tuple[Observation, list[str]]] = []
+
+    def of(self, df: DataFrame, **figures: Column) -> DataFrame:
+        watch = Observation()
+        self._seen.append((watch, list(figures)))
+        return df.observe(watch, *(F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, c in figures.items()))
+
+    def get(self) -> dict[str, int]:
+        """After the run: {figure: number}."""
+        return {n: watch.get.get(n, 0) for watch, names in self._seen for n in names}
+
+
 def points_of(blocks: DataFrame, make_encoder: Callable[[], Encoder] = HashEncoder, dim: int = DIM) -> DataFrame:
     """Vector points of the blocks that have text."""
     rows = has_text(blocks)
@@ -40,27 +57,39 @@ def transfer_vectors(blocks: BucketTable, vectors: VectorTable,
     store_vectors(blocks.read(), vectors, make_encoder)
 
 
-def to_parse(channel_frames: list[DataFrame], blocks: BucketTable, mode: str = "all") -> tuple[DataFrame, DataFrame]:
+def to_parse(channel_frames: list[DataFrame], blocks: BucketTable, mode: str = "all",
+             counts: Counts | None = None) -> tuple[DataFrame, DataFrame]:
     """The run's blocks, one per id, and those of them that still need parsing. Stored texts
     are looked for in the buckets of these blocks alone."""
     wanted = filters.by_mode(union_blocks(*channel_frames), mode)
-    latest = written(last_per_key(wanted.filter(F.col("id").isNotNull()), ["id"], ARRIVAL), "latest")
+    once = last_per_key(wanted.filter(F.col("id").isNotNull()), ["id"], ARRIVAL)
+    if counts is not None:
+        once = counts.of(once, blocks=F.count("*"), with_url=F.count_if(F.coalesce("source.url", F.lit("")) != ""))
+    latest = written(once, "latest")
     return latest, filters.needs_parsing(latest, blocks.near(latest))
 
 
 def ingest_channels(channel_frames: list[DataFrame], pages: DataFrame, blocks: BucketTable,
                     vectors: VectorTable | None, as_of, mode: str = "all", upsert_mode: str = "keep_text",
-                    make_encoder: Callable[[], Encoder] = HashEncoder) -> DataFrame:
+                    make_encoder: Callable[[], Encoder] = HashEncoder, counts: Counts | None = None) -> DataFrame:
     """Blocks of the channels, with the text of their landed pages, into both tables.
 
     Returns the addresses that gave no text, with the reason. Stored blocks that already
-    have text are not parsed again.
+    have text are not parsed again. ``counts`` takes the figures of the run: blocks,
+    with_url, parsed (pages converted), failed (of them without text) and with_text (blocks
+    that got one).
     """
-    latest, pending = to_parse(channel_frames, blocks, mode)
+    latest, pending = to_parse(channel_frames, blocks, mode, counts)
     addresses = filters.has_source_url(pending).select(F.col("source.url").alias("url")).distinct()
-    parsed = written(parse_pages(pages.join(addresses, "url", "left_semi"), mode == "pdf_only"), "parsed")
+    made = parse_pages(pages.join(addresses, "url", "left_semi"), mode == "pdf_only")
+    if counts is not None:
+        made = counts.of(made, parsed=F.count("*"), failed=F.count_if(F.col("content").isNull()))
+    parsed = written(made, "parsed")
     content = parsed.filter(F.col("content").isNotNull()).select("source_url", "content")
-    batch = written(block_rows(latest.drop(*ARRIVAL, "channel"), content), "batch")
+    rows = block_rows(latest.drop(*ARRIVAL, "channel"), content)
+    if counts is not None:
+        rows = counts.of(rows, with_text=F.count_if(F.coalesce("crawled_text", F.lit("")) != ""))
+    batch = written(rows, "batch")
     blocks.upsert(batch, lambda old, new: merge_parts(old, new, as_of, upsert_mode))
     if vectors is not None:
         store_vectors(blocks.lookup(batch.select("id")), vectors, make_encoder)
@@ -81,12 +110,16 @@ def sync_channels(channel_frames: list[DataFrame], blocks: BucketTable, as_of, s
 
 
 def ingest_records(records: DataFrame, blocks: BucketTable, vectors: VectorTable | None,
-                   make_encoder: Callable[[], Encoder] = HashEncoder) -> DataFrame:
+                   make_encoder: Callable[[], Encoder] = HashEncoder, counts: Counts | None = None) -> DataFrame:
     """Submitted records into both tables; returns the rejects with a reason. The time of
-    a record is its submission, so a replay writes the same rows."""
+    a record is its submission, so a replay writes the same rows. ``counts`` takes the
+    figures accepted (records) and blocks (of them, one per id)."""
     good, rejects = submitted_blocks(records)
+    if counts is not None:
+        good = counts.of(good, accepted=F.count("*"))
     latest = last_per_key(good, ["id"], ["submitted_at", "title", "description", "content"])
-    batch = written(block_rows(latest, text_from="record", keep=("submitted_at",)), "records")
+    rows = block_rows(latest, text_from="record", keep=("submitted_at",))
+    batch = written(rows if counts is None else counts.of(rows, blocks=F.count("*")), "records")
     blocks.upsert(batch, lambda old, new: merge_parts(old, new, F.col("submitted_at")))
     if vectors is not None:
         store_vectors(batch, vectors, make_encoder)

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
 from ..operators.embed import Encoder, HashEncoder
-from ..plans.ingest import ingest_records
+from ..plans.ingest import Counts, ingest_records
 from ..session import written
 from ..sources.tables import BucketTable, VectorTable
 
@@ -25,15 +25,20 @@ def landed_records(spark: SparkSession, path: str, schema: T.StructType = schema
 
 
 def start_ingest(records: DataFrame, blocks: BucketTable, vectors: VectorTable | None, checkpoint: str,
-                 rejects_path: str | None = None, make_encoder: Callable[[], Encoder] = HashEncoder) -> StreamingQuery:
+                 rejects_path: str | None = None, make_encoder: Callable[[], Encoder] = HashEncoder,
+                 on_counts: Callable[[int, dict[str, int]], None] | None = None) -> StreamingQuery:
     """Start the upsert of everything that has landed so far (availableNow); started again
     with the same checkpoint it takes up where it stopped.
 
     A batch that failed half-way is replayed under its number: the upserts give the same rows
-    again, and rejects are overwritten batch by batch.
+    again, and rejects are overwritten batch by batch. ``on_counts`` is told the figures of
+    each batch, by its number.
     """
     def take(batch: DataFrame, number: int) -> None:
-        rejects = ingest_records(batch, blocks, vectors, make_encoder)
+        counts = Counts()
+        rejects = ingest_records(batch, blocks, vectors, make_encoder, counts)
+        if on_counts is not None:
+            on_counts(number, counts.get())
         if rejects_path is not None:
             rejects.write.mode("overwrite").json(f"{rejects_path}/batch={number}")
 

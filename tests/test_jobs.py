@@ -26,7 +26,9 @@ def test_ingest_keeps_text_and_parses_once(spark):
     two = spark.createDataFrame([("b", 1, 0, "1", "second", None, None, ("https://a/1", None)), ("b", 1, 1, "4", "lost", None, None, ("https://a/4", None))], CHANNEL)
     pages = spark.createDataFrame([(1, "https://a/1", "<p>words here</p>", None), (4, "https://a/4", "", None)], schemas.PAGE)
     blocks, vectors = tables(spark)
-    errors = ingest.ingest_channels([one, two], pages, blocks, vectors, T0)
+    counts = ingest.Counts()
+    errors = ingest.ingest_channels([one, two], pages, blocks, vectors, T0, counts=counts)
+    assert counts.get() == {"blocks": 4, "with_url": 3, "parsed": 2, "failed": 1, "with_text": 1}
     assert tuples(errors, "source_url", "error") == [("https://a/4", "no content")]
     assert tuples(blocks.read(), "id", "title", "crawled_text") == [("1", "second", "words here"), ("3", "pdf", None), ("4", "lost", None)]
     assert tuples(vectors.read(), "id", "payload.title", "payload.text_preview") == [("1", "second", "words here")]
@@ -63,7 +65,10 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
         (landing / f"{f}.json").write_text("\n".join(json.dumps(r) for r in lines))
     blocks, vectors = tables(spark)
     args = (blocks, vectors, str(tmp_path / "cp"), str(tmp_path / "rejects"))
-    start_ingest(landed_records(spark, str(landing), max_files=1), *args).awaitTermination()
+    seen = {}
+    start_ingest(landed_records(spark, str(landing), max_files=1), *args, on_counts=seen.__setitem__).awaitTermination()
+    assert sorted(seen) == [0, 1, 2] and {c["accepted"] for c in seen.values()} == {4}
+    assert sorted(c["blocks"] for c in seen.values()) == [3, 4, 4]  # one file has a record twice
     whole_b, whole_v = tables(spark)
     ingest.ingest_records(spark.read.schema(schemas.SUBMISSION).json(str(landing)), whole_b, whole_v)
     names = ["id", "source_url", "crawled_text", "metadata"]
