@@ -16,18 +16,22 @@ from pyspark.sql import types as T
 
 from .common import appended
 
-# Bands: from so many bytes on, the least and the greatest ratio. Written prose in
-# alphabetic scripts needs 0.33 to 0.65 of its size at some kilobytes, less the longer it
-# is; a frame header and the missing history weigh on short texts.
+# Bands: from so many bytes on, the least and the greatest ratio. They are the outer
+# thousandths of prose in four languages that passes the base rules, with a margin of a few
+# hundredths; a frame header and the missing history weigh on short texts. Random digits
+# compress like prose below some 8 kB, hexadecimal below 4 kB and single letters below 2 kB,
+# so no ratio can tell them apart there.
 BANDS = (
-    (0, 0.30, 1.20),
-    (128, 0.26, 1.00),
-    (256, 0.24, 0.92),
-    (512, 0.22, 0.85),
-    (1024, 0.20, 0.78),
-    (4096, 0.17, 0.72),
-    (16384, 0.15, 0.68),
-    (65536, 0.13, 0.66),
+    (0, 0.40, 1.12),
+    (128, 0.25, 0.98),
+    (256, 0.25, 0.82),
+    (512, 0.38, 0.72),
+    (1024, 0.36, 0.63),
+    (2048, 0.34, 0.57),
+    (4096, 0.32, 0.52),
+    (8192, 0.30, 0.482),
+    (16384, 0.29, 0.45),
+    (65536, 0.28, 0.44),
 )
 CHUNK = 4096  # bytes
 BAD_CHUNKS = 0.5  # more of the chunks than this outside their band: rejected

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -59,6 +60,30 @@ def test_bands():
     assert quality.ratios(b"", press) == (1.0, 0.0)
 
 
+@pytest.mark.parametrize("alphabet,least", [("0123456789", 16_384), ("0123456789abcdef", 4096), ("abcdefghijklmnopqrstuvwxyz", 2048), (
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 512)])
+def test_noise_is_rejected_from_the_length_on_that_tells_it(alphabet, least):
+    press, rng = zstandard.ZstdCompressor(level=3), random.Random(2)
+    for size in (300, 512, 1500, 2048, 4096, 6000, 16_384, 30_000, 100_000):
+        for _ in range(5):
+            text = " ".join("".join(rng.choices(alphabet, k=rng.randint(3, 10))) for _ in range(size // 4))[:size]
+            if size >= least:
+                assert not quality.measure(text, press)[6], size
+
+
+def test_few_words_over_and_over_are_rejected():
+    press, rng = zstandard.ZstdCompressor(level=3), random.Random(3)
+    for size in (2048, 6000, 30_000):
+        text = " ".join(rng.choices(["buy", "now", "cheap"], k=size // 5))[:size]
+        row = quality.measure(text, press)
+        assert not row[6] and row[7] < 0.3
+
+
+def test_prose_is_kept(spark):
+    rows = quality.judge(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")).filter("NOT base_failed").collect()
+    assert len(rows) > 9000 and sum(r.kept for r in rows) > 0.99 * len(rows)
+
+
 def test_odd_rows(odd, empty):
     rows = {(r.doc_id, r.text): r for r in quality.judge(odd).collect()}
     assert rows[1, None].n_words == rows[2, ""].n_words == rows[3, " \n\t\n "].n_words == 0
