@@ -11,6 +11,14 @@ SALT_ROWS = 1_000_000  # rows of a hot key for each salt
 SALTS = 8              # and the fewest salts of a hot key
 
 
+def _unused(name: str, *frames: DataFrame) -> str:
+    """``name``, with lines before it until no frame has such a column."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, rows: int = HOT_ROWS) -> DataFrame:
     """(key, n): keys that hold at least ``share`` of all rows (and at least ``rows`` rows),
     with their number of rows.
@@ -30,9 +38,10 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, how: str, spread_by
     is small enough to broadcast, Spark does that instead and the salt costs nothing."""
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
-    lhs = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    rhs = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return lhs.join(rhs, [key, "_salt"], how).drop("_salt")
+    salt = _unused("_salt", left, right)
+    lhs = left.withColumn(salt, F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    rhs = right.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return lhs.join(rhs, [key, salt], how).drop(salt)
 
 
 def salted_join(
@@ -61,13 +70,14 @@ def salted_join(
     if hot is None:
         hot = hot_keys(left, key)
     by_count = F.ceil(F.col("n") / F.lit(SALT_ROWS)).cast("int") if "n" in hot.columns else F.lit(salts)
-    marked = F.broadcast(hot.select(key, F.greatest(F.lit(salts), by_count).alias("_hot")))
-    wide = F.coalesce("_hot", F.when(F.col(key).isNull(), F.lit(salts)))
+    salt, mark = _unused("_salt", left, right), _unused("_hot", left, right)
+    marked = F.broadcast(hot.select(key, F.greatest(F.lit(salts), by_count).alias(mark)))
+    wide = F.coalesce(mark, F.when(F.col(key).isNull(), F.lit(salts)))
     lhs = (
         left.join(marked, key, "left")
-        .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread_by), wide), F.lit(0)).cast("int"))
-        .drop("_hot")
+        .withColumn(salt, F.coalesce(F.pmod(F.xxhash64(spread_by), wide), F.lit(0)).cast("int"))
+        .drop(mark)
     )
-    copies = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.col("_hot") - 1)).otherwise(F.array(F.lit(0)))
-    rhs = right.join(marked, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return lhs.join(rhs, [key, "_salt"], how).drop("_salt")
+    copies = F.when(F.col(mark).isNotNull(), F.sequence(F.lit(0), F.col(mark) - 1)).otherwise(F.array(F.lit(0)))
+    rhs = right.join(marked, key, "left").withColumn(salt, F.explode(copies)).drop(mark)
+    return lhs.join(rhs, [key, salt], how).drop(salt)

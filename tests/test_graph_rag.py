@@ -101,3 +101,16 @@ def test_expand_nodes_searches_the_frontier_only(spark, monkeypatch):
     reached = G.expand(starts.filter("id IN ('7', '30')"), edges, 1).select("id").distinct()
     want = edges.join(reached.withColumnRenamed("id", "source"), "source", "left_semi")
     assert tuples(got, "source", "target", "value") == tuples(want, "source", "target", "value")
+
+
+def test_salted_joins_keep_columns_of_their_own_names(spark):
+    from pyspark.sql import functions as F
+
+    from gleanbase.operators.skew import salted_join, spread_join
+    left = spark.createDataFrame([(n % 3, n, f"s{n}", "h") for n in range(9)], "k long, v long, _salt string, _hot string")
+    right = spark.createDataFrame([(0, "a"), (1, "b")], "k long, w string")
+    hot = spark.createDataFrame([(0, 9)], "k long, n long")
+    for made in (salted_join(left, right, "k", "left", F.col("v")), salted_join(left, right, "k", "left", F.col("v"), hot=hot),
+                 spread_join(left, right, "k", "left", F.col("v"))):
+        assert made.columns == ["k", "v", "_salt", "_hot", "w"]
+        assert tuples(made, "v", "_salt", "_hot", "w") == [(n, f"s{n}", "h", {0: "a", 1: "b"}.get(n % 3)) for n in range(9)]
