@@ -57,7 +57,7 @@ def late(signum, frame):
     raise TimeoutError(f"over {LIMIT} seconds")
 
 
-SAME = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "timestamp_ntz": "TIMESTAMP"}
+SAME = {"boolean": "BOOLEAN", "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "timestamp_ntz": "TIMESTAMP"}
 
 if __name__ == "__main__":
     import __spark_entry__ as entry
