@@ -1,15 +1,20 @@
 """Licence scans by sentence rules: known sentences, then rules on their order.
 
-A text is normalised and cut into sentences; those known by heart become identifiers, and
-the sequence of identifiers is matched against ordered rules. All of it is column
+A text is normalised and cut into sentences; those known by heart become identifiers, also
+where they differ from a known one only in a slot (what is licensed and how, how a licence and
+its version are written, whose name may not be used), and the sequence of identifiers is matched against ordered rules. All of it is column
 expressions within the row, without a shuffle.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 # Sentences of public licences and of usual notices, in normalised form (lower
 # case, other characters than a-z and 0-9 as one space).
 SENTENCES = {
@@ -73,6 +78,68 @@ SENTENCES = {
     "reserved": "all rights reserved",
 }
 
+# More sentences of notices, and names of licences as tags have them.
+SENTENCES |= {
+    "gpl-share-lib": "this library is free software",
+    "gpl-only-2": "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as "
+                  "published by the free software foundation",
+    "gpl-only-3": "you can redistribute it and or modify it under the terms of the gnu general public license version 3 as "
+                  "published by the free software foundation",
+    "lgpl-terms-21": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as "
+                     "published by the free software foundation either version 2 1 of the license or at your option any "
+                     "later version",
+    "lgpl-terms-3": "you can redistribute it and or modify it under the terms of the gnu lesser general public license as "
+                    "published by the free software foundation either version 3 of the license or at your option any "
+                    "later version",
+    "gpl3-later-ref": "licensed under the gnu general public license version 3 or later",
+    "gpl2-later-ref": "licensed under the gnu general public license version 2 or later",
+    "unlicense": "this is free and unencumbered software released into the public domain",
+}
+TAGS = {
+    "mit": "MIT", "apache 2 0": "Apache-2.0", "bsd 2 clause": "BSD-2-Clause", "bsd 3 clause": "BSD-3-Clause", "isc": "ISC",
+    "mpl 2 0": "MPL-2.0", "gpl 2 0 only": "GPL-2.0-only", "gpl 2 0": "GPL-2.0-only", "gpl 2 0 or later": "GPL-2.0-or-later",
+    "gpl 3 0 only": "GPL-3.0-only", "gpl 3 0": "GPL-3.0-only", "gpl 3 0 or later": "GPL-3.0-or-later",
+    "lgpl 2 1 only": "LGPL-2.1-only", "lgpl 2 1 or later": "LGPL-2.1-or-later", "lgpl 3 0 only": "LGPL-3.0-only",
+    "lgpl 3 0 or later": "LGPL-3.0-or-later", "agpl 3 0 only": "AGPL-3.0-only", "agpl 3 0 or later": "AGPL-3.0-or-later",
+    "unlicense": "Unlicense", "cc0 1 0": "CC0-1.0",
+}
+CC_KINDS, CC_VERSIONS = ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"), ("2 0", "2 5", "3 0")
+_CC_OLD = {f"cc {kind} {version}": f"CC-{kind.upper().replace(' ', '-')}-{version.replace(' ', '.')}"
+           for kind in CC_KINDS for version in CC_VERSIONS}
+TAGS |= _CC_OLD | {f"cc {kind} 4 0": f"CC-{kind.upper().replace(' ', '-')}-4.0" for kind in CC_KINDS}
+SENTENCES |= {f"tag-{name.replace(' ', '-')}": f"spdx license identifier {name}" for name in TAGS}
+SENTENCES |= {f"{name.replace(' ', '-')}-ref": f"licensed under {name}" for name in _CC_OLD}
+
+# Slots, applied in order to a sentence that is not known as it is: (pattern, replacement). What
+# they make of it is known if it is one of the sentences. Every pattern holds a word of SLOT_WORDS.
+_LEAD = (r"^(?:(?:this|the|our|all) (?:[a-z]+ ){1,3}|it )?(?:(?:is|are) )?(?:released|licensed|distributed|available|published|provided|"
+         r"made available) under (?:the )?(?:terms of (?:the )?)?")
+_VERSION = r"(?:license )?(?:version |v )?v?"
+SLOT_WORDS = ("under", "endorse")
+SLOTS = (
+    (_LEAD + r"(?:mit|mit licen[cs]e|expat licen[cs]e)$", "licensed under the mit license"),
+    (_LEAD + r"apache (?:software )?" + _VERSION + r"2(?: 0)?(?: license)?$", "licensed under the apache license version 2 0"),
+    (_LEAD + r"(?:(?:new|modified) bsd|bsd 3 clause|3 clause bsd)(?: licen[cs]e)?$", "licensed under the bsd 3 clause license"),
+    (_LEAD + r"(?:simplified bsd|bsd 2 clause|2 clause bsd)(?: licen[cs]e)?$", "licensed under the bsd 2 clause license"),
+    (_LEAD + r"(?:gnu general public|gnu gpl|gpl) ?" + _VERSION + r"([23])(?: 0)?(?: only)?(?: license)?$",
+     r"licensed under the gnu general public license version \1"),
+    (_LEAD + r"(?:gnu general public|gnu gpl|gpl) ?" + _VERSION + r"([23])(?: 0)? or (?:at your option )?(?:any )?later(?: version)?$",
+     r"licensed under the gnu general public license version \1 or later"),
+    (_LEAD + r"(?:gnu lesser general public|gnu lgpl|lgpl) ?" + _VERSION + r"3(?: 0)?(?: only)?$",
+     "licensed under the gnu lesser general public license version 3"),
+    (_LEAD + r"(?:gnu affero general public|gnu agpl|agpl) ?" + _VERSION + r"3(?: 0)?(?: only)?$",
+     "licensed under the gnu affero general public license version 3"),
+    (_LEAD + r"(?:mozilla public|mpl) ?" + _VERSION + r"2(?: 0)?$", "licensed under the mozilla public license version 2 0"),
+    (_LEAD + r"(?:a |an )?(?:creative commons|cc) (?:attribution|by)(.*) ([1-4] [05])(?: international| unported| generic)?(?: license)?$",
+     r"licensed under cc by\1 \2"),
+    (r"^(licensed under cc by.*) (?:noncommercial|non commercial)\b", r"\1 nc"),
+    (r"^(licensed under cc by.*) (?:sharealike|share alike)\b", r"\1 sa"),
+    (r"^(licensed under cc by.*) (?:noderivatives|noderivs|no derivatives)\b", r"\1 nd"),
+    (_LEAD + r"(?:the )?cc0(?: 1 0)?(?: universal)?$", "licensed under cc0 1 0"),
+    (r"^neither the names? of .+ nor the names of (?:its|their|the) contributors may be used to endorse or promote products derived from "
+     r"this software without specific prior written permission$", SENTENCES["bsd-names"]),
+)
+
 # Ordered rules: (licence, sentences that must follow each other among those recognised).
 # The first rule that matches names the text's main licence.
 RULES = (
@@ -111,11 +178,22 @@ RULES = (
     ("CC-BY-ND-4.0", ("cc-by-nd-ref",)),
     ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-ref",)),
     ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd-ref",)),
+    ("GPL-2.0-only", ("gpl-share", "gpl-only-2")),
+    ("GPL-3.0-only", ("gpl-share", "gpl-only-3")),
+    ("LGPL-2.1-or-later", ("gpl-share-lib", "lgpl-terms-21")),
+    ("LGPL-3.0-or-later", ("gpl-share-lib", "lgpl-terms-3")),
+    ("GPL-3.0-or-later", ("gpl3-later-ref",)),
+    ("GPL-2.0-or-later", ("gpl2-later-ref",)),
+    ("Unlicense", ("unlicense",)),
+    *((licence, (f"{name.replace(' ', '-')}-ref",)) for name, licence in _CC_OLD.items()),
+    *((licence, (f"tag-{name.replace(' ', '-')}",)) for name, licence in TAGS.items()),
     ("reserved", ("reserved",)),
 )
 
 # Applied in order to the lower-cased text: (pattern, replacement).
 STEPS = (
+    (r"spdx-license-identifier:", "spdx license identifier"),
+    (r"foundation;[^a-z0-9]+either", "foundation either"),
     (r"[^a-z0-9.;:!?\n]+", " "),
     (r"[.;:!?]+[ \n]+|[.;:!?]+\z|\n[ \n]*\n", "\n\n"),  # ends of sentences, empty lines
     (r"[.;:!?]+", " "),
@@ -133,11 +211,25 @@ def sentences(text: Column) -> tuple[Column, Column]:
     return F.split(wrapped, r"\."), F.split(text, r"\n")
 
 
+def slotted(sentence: Column) -> Column:
+    """The sentence with its slots filled in as in a known one."""
+    for pattern, by in SLOTS:
+        sentence = F.regexp_replace(sentence, pattern, re.sub(r"\\(\d)", r"$\1", by))
+    return sentence
+
+
 def known(found: Column) -> Column:
     """Identifiers of the known sentences among ``found``, in order."""
     table = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in reversed(pair)))
-    few = F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: s.isin(*SENTENCES.values()))
-    return F.transform(few, lambda s: table[s])
+
+    def may(s: Column) -> Column:  # a slot is tried on few sentences only
+        out = s.isin(*SENTENCES.values())
+        for word in SLOT_WORDS:
+            out = out | F.contains(s, F.lit(word))
+        return out
+
+    few = F.filter(F.transform(found, lambda s: F.trim(s)), may)
+    return F.array_compact(F.transform(few, lambda s: F.coalesce(table[s], table[slotted(s)])))
 
 
 def scan(docs: DataFrame, text: str = "text",
@@ -152,15 +244,16 @@ def scan(docs: DataFrame, text: str = "text",
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in into and c != text])
     wrapped, lines = sentences(F.coalesce(F.col(text), F.lit("")))
-    both = docs.withColumn("_both", F.array(known(wrapped), known(lines)))
-    joined = [F.concat(F.lit(","), F.concat_ws(",", F.col("_both")[k]), F.lit(",")) for k in (0, 1)]
-    read = both.withColumn("_read", F.concat(joined[0], F.lit("|"), joined[1]))
+    pair, sought = fresh(docs, "_both", "_read")
+    both = docs.withColumn(pair, F.array(known(wrapped), known(lines)))
+    joined = [F.concat(F.lit(","), F.concat_ws(",", F.col(pair)[k]), F.lit(",")) for k in (0, 1)]
+    read = both.withColumn(sought, F.concat(joined[0], F.lit("|"), joined[1]))
     hits = F.array_distinct(F.filter(F.array(*(
-        F.when(F.contains(F.col("_read"), F.lit(f",{','.join(ids)},")), F.lit(name)) for name, ids in RULES)),
+        F.when(F.contains(F.col(sought), F.lit(f",{','.join(ids)},")), F.lit(name)) for name, ids in RULES)),
         lambda name: name.isNotNull()))
     empty = F.lit(None).cast("array<string>")
-    some = F.size(F.col("_both")[0]) + F.size(F.col("_both")[1]) > 0
-    longer = F.when(F.size(F.col("_both")[1]) > F.size(F.col("_both")[0]), F.col("_both")[1]).otherwise(F.col("_both")[0])
+    some = F.size(F.col(pair)[0]) + F.size(F.col(pair)[1]) > 0
+    longer = F.when(F.size(F.col(pair)[1]) > F.size(F.col(pair)[0]), F.col(pair)[1]).otherwise(F.col(pair)[0])
     made = read.withColumn(into[0], longer).withColumn(
         into[1], F.when(some, hits).otherwise(F.coalesce(empty, F.array().cast("array<string>"))))
-    return made.withColumn(into[2], F.get(F.col(into[1]), F.lit(0))).drop("_both", "_read")
+    return made.withColumn(into[2], F.get(F.col(into[1]), F.lit(0))).drop(pair, sought)

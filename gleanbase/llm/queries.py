@@ -76,7 +76,11 @@ def _op6_sql() -> str:
     names = "map([" + ", ".join(map(text, licenses.SENTENCES.values())) + "], [" + ", ".join(
         map(text, licenses.SENTENCES)) + "])"
     rules = ", ".join(f"{{'name': {text(n)}, 'ids': {text(',' + ','.join(ids) + ',')}}}" for n, ids in licenses.RULES)
-    known = "list_filter(list_transform({}, lambda s: names[trim(s)]), lambda i: i IS NOT NULL)"
+    slotted = "trim(s)"
+    for pattern, by in licenses.SLOTS:
+        slotted = f"regexp_replace({slotted}, {text(pattern)}, {text(by)})"
+    known = "list_filter(list_transform({}, lambda s: coalesce(names[trim(s)], names[" + slotted.replace("{", "{{").replace(
+        "}", "}}") + "])), lambda i: i IS NOT NULL)"
     wrapped = r"regexp_replace(regexp_replace(t, ' ?\n\n[ \n]*', '.', 'g'), '[ \n]+', ' ', 'g')"
     return f"""
 WITH fixed AS (SELECT {names} AS names, [{rules}] AS rules),

@@ -64,6 +64,44 @@ def test_texts(frame):
     assert scanned(frame, "not released under the MIT License at all.") == ([], [], None)
 
 
+def test_notices_with_other_words_in_their_slots(frame):
+    cases = {
+        "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+        "/* SPDX-License-Identifier: GPL-2.0-or-later */": "GPL-2.0-or-later", "SPDX-License-Identifier: CC-BY-SA-3.0": "CC-BY-SA-3.0",
+        "This work is licensed under CC BY 4.0.": "CC-BY-4.0", "The text is available under CC BY-SA 3.0.": "CC-BY-SA-3.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.": "CC-BY-SA-3.0",
+        "Released under the Apache License, Version 2.0.": "Apache-2.0", "This software is distributed under the terms of the Apache 2.0 license.": "Apache-2.0",
+        "Licensed under the GNU General Public License v3.0.": "GPL-3.0-only", "It is released under the GNU GPL version 2 or any later version.": "GPL-2.0-or-later",
+        "Published under the MIT licence.": "MIT", "All source code here is licensed under the 3-clause BSD license.": "BSD-3-Clause",
+        "Made available under the terms of the Mozilla Public License 2.0.": "MPL-2.0", "The data are released under CC0.": "CC0-1.0",
+        "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as "
+        "published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.": "LGPL-2.1-or-later",
+        "This is free and unencumbered software released into the public domain.": "Unlicense",
+    }
+    rows = {r.text: r for r in licenses.scan(frame(*enumerate(cases)).select("doc_id", "text")).collect()}
+    assert {t: rows[t].license for t in cases} == cases
+    assert scanned(frame, "Nothing is released under the sun. He spoke of a licence under the table.") == ([], [], None)
+
+
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met:
+* Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+* Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in
+the documentation and/or other materials provided with the distribution.
+"""
+
+
+def test_a_name_makes_three_clauses(frame):
+    named = BSD + "* Neither the name of the University of Somewhere nor the names of its contributors may be used to endorse or promote " \
+                  "products derived from this software without specific prior written permission.\n"
+    assert scanned(frame, BSD)[2] == "BSD-2-Clause" and scanned(frame, named)[2] == "BSD-3-Clause"
+
+
+def test_columns_of_the_same_names_stay(frame):
+    row = licenses.scan(frame((1, MIT)).selectExpr("doc_id", "text", "7 AS _both", "'r' AS _read")).first()
+    assert (row["_both"], row["_read"], row.license) == (7, "r", "MIT")
+
+
 def test_odd_rows(odd, empty):
     rows = licenses.scan(odd).collect()
     assert len(rows) == odd.count() and all((r.sentence_ids, r.licenses, r.license) == ([], [], None) for r in rows)
