@@ -17,7 +17,7 @@ HEADLINE = [
     "search_topk", "search_cells", "search_text", "search_approx", "knn_graph", "expand_hops", "expand_nodes", "enrich_hits",
     "embed_hash", "html_markdown", "clean_markdown", "chunk_text", "keyword_index", "keyword_lookup",
     "flatten_channels", "complete_pages", "last_per_id", "block_rows", "upsert_keep_text",
-    "upsert_table", "stream_ingest", "rag_prompt",
+    "upsert_table", "stream_ingest", "rag_prompt", "search_lsh", "knn_descent", "search_words",
 ]
 
 
