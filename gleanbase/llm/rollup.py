@@ -8,6 +8,7 @@ job, counts once.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,7 +52,13 @@ class Rollup:
         sums.filter("n_docs != 0 OR n_tokens != 0").coalesce(8).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
     def totals(self) -> DataFrame:
-        """Sums over all batches; groups that came to nothing are left out."""
-        rows = self.spark.read.schema(SCHEMA).parquet(self.path)
+        """Sums over all batches; groups that came to nothing are left out. No rows before the
+        first commit. A batch that is taken back under two names is taken back twice."""
+        try:
+            rows = self.spark.read.schema(SCHEMA).parquet(self.path)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows = self.spark.createDataFrame([], SCHEMA)
         sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.filter("n_docs != 0 OR n_tokens != 0")

@@ -117,3 +117,8 @@ def test_written_shards(spark, odd, empty):
     assert sorted(map(repr, ((r.doc_id, r.shard) for r in again.collect()))) == \
         sorted(map(repr, ((r.doc_id, r.shard) for r in placed.collect())))
     assert sharding.place(empty, ["a"]).count() == 0
+
+
+def test_totals_before_any_commit(spark, tmp_path):
+    totals = rollup.Rollup(spark, f"{tmp_path}/none").totals()
+    assert totals.count() == 0 and set(rollup.KEYS) <= set(totals.columns)
