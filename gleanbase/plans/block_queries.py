@@ -213,8 +213,7 @@ SELECT id, CAST(channel_ord AS INTEGER) AS channel_ord, event_id, rows_before FR
   SELECT *, row_number() OVER (PARTITION BY id ORDER BY channel_ord DESC, event_id DESC) AS n,
          count(*) OVER (PARTITION BY id) AS rows_before FROM ordered) WHERE n = 1""")
 def union_channels(spark, d):
-    rows = channel_rows(spark, d)
-    both = C.union_blocks(*[rows.filter(F.col("channel") == c) for c in ("view", "click", "signup", "error", "purchase")])
+    both = C.in_order(channel_rows(spark, d), ["view", "click", "signup", "error", "purchase"])
     return both.groupBy("id").agg(
         F.max(F.struct("channel_ord", "event_id")).alias("last"), F.count("*").alias("rows_before")).select(
         "id", "last.channel_ord", "last.event_id", "rows_before")
@@ -489,10 +488,9 @@ SELECT id, channel || ' ' || event_id AS title, 'https://en.wikipedia.org/' || i
        CASE WHEN channel <> 'signup' THEN 'text of ' || event_id END AS crawled_text,
        '' AS metadata, '2024-06-01 00:00:00' AS updated_at FROM last WHERE n = 1""")
 def sync_job(spark, d):
-    flat = C.flatten(_pages(spark, d))
-    frames = [flat.filter(F.col("channel") == c) for c in ("view", "signup", "error", "click", "purchase")]
+    rows = C.in_order(C.flatten(_pages(spark, d)), ["view", "signup", "error", "click", "purchase"])
     blocks = block_table(spark, scratch_path(spark, "blocks"), buckets=8)
-    sync_channels(frames, blocks, AS_OF, SINCE, TILL, ["view", "signup"])
+    sync_channels(rows, blocks, AS_OF, SINCE, TILL, ["view", "signup"])
     return blocks.read().select("id", "title", "source_url", "crawled_text", "metadata", _time("updated_at"))
 
 

@@ -37,6 +37,11 @@ class Counts:
         return {n: watch.get.get(n, 0) for watch, names in self._seen for n in names}
 
 
+def _together(channels: DataFrame | list[DataFrame]) -> DataFrame:
+    """Frames one after another, or a frame that has its ``channel_ord`` (see ``in_order``)."""
+    return channels if isinstance(channels, DataFrame) else union_blocks(*channels)
+
+
 def points_of(blocks: DataFrame, make_encoder: Callable[[], Encoder] = HashEncoder, dim: int = DIM) -> DataFrame:
     """Vector points of the blocks that have text."""
     rows = has_text(blocks)
@@ -57,11 +62,11 @@ def transfer_vectors(blocks: BucketTable, vectors: VectorTable,
     store_vectors(blocks.read(), vectors, make_encoder)
 
 
-def to_parse(channel_frames: list[DataFrame], blocks: BucketTable, mode: str = "all",
+def to_parse(channel_frames: DataFrame | list[DataFrame], blocks: BucketTable, mode: str = "all",
              counts: Counts | None = None) -> tuple[DataFrame, DataFrame]:
     """The run's blocks, one per id, and those of them that still need parsing. Stored texts
     are looked for in the buckets of these blocks alone."""
-    wanted = filters.by_mode(union_blocks(*channel_frames), mode)
+    wanted = filters.by_mode(_together(channel_frames), mode)
     once = last_per_key(wanted.filter(F.col("id").isNotNull()), ["id"], ARRIVAL)
     if counts is not None:
         once = counts.of(once, blocks=F.count("*"), with_url=F.count_if(F.coalesce("source.url", F.lit("")) != ""))
@@ -69,7 +74,7 @@ def to_parse(channel_frames: list[DataFrame], blocks: BucketTable, mode: str = "
     return latest, filters.needs_parsing(latest, blocks.near(latest))
 
 
-def ingest_channels(channel_frames: list[DataFrame], pages: DataFrame, blocks: BucketTable,
+def ingest_channels(channel_frames: DataFrame | list[DataFrame], pages: DataFrame, blocks: BucketTable,
                     vectors: VectorTable | None, as_of, mode: str = "all", upsert_mode: str = "keep_text",
                     make_encoder: Callable[[], Encoder] = HashEncoder, counts: Counts | None = None) -> DataFrame:
     """Blocks of the channels, with the text of their landed pages, into both tables.
@@ -96,10 +101,10 @@ def ingest_channels(channel_frames: list[DataFrame], pages: DataFrame, blocks: B
     return parsed.filter(F.col("content").isNull()).select("source_url", "route", "error")
 
 
-def sync_channels(channel_frames: list[DataFrame], blocks: BucketTable, as_of, since=None, till=None,
+def sync_channels(channel_frames: DataFrame | list[DataFrame], blocks: BucketTable, as_of, since=None, till=None,
                   titles: list[str] | None = None, upsert_mode: str = "keep_text") -> None:
     """The date-window sync of named channels: text is the block's own content field."""
-    rows = union_blocks(*channel_frames)
+    rows = _together(channel_frames)
     if titles is not None:
         rows = filters.channels_allowed(rows, titles)
     if since is not None:

@@ -19,6 +19,7 @@ from ..operators.signs import BITS, FLIPS, TABLES, build_signs, open_signs, sign
 from ..operators.tree import build_tree, tree_top_k
 from ..session import scratch_path, written
 from ..sources.files import hit_lines, write_hits
+from ..sources.ranges import scroll_ranges, write_ranges
 from ..sources.tables import vector_table
 from .catalog import ARCHIVE, archive, query, table
 from .ingest import points_of, transfer_vectors
@@ -348,6 +349,27 @@ def scroll_vectors(spark, d):
     return rows.scroll(_points(spark, d), 10, 10).select("id", _entry(1).alias("head"), _entry(64).alias("tail"), "next_offset")
 
 
+# Whole documents stored by ranges of their id: three pages, each from where the one before ends.
+@query("scroll_ranges", """
+WITH numbered AS (SELECT doc_id AS id, text, lang, source, row_number() OVER (ORDER BY doc_id) AS n,
+                         lead(doc_id) OVER (ORDER BY doc_id) AS following FROM documents WHERE doc_id >= 20),
+pages AS (SELECT *, (n - 1) // 25 AS page FROM numbered WHERE n <= 75)
+SELECT CAST(page AS INTEGER) AS page, id, text, lang, source,
+       max(CASE WHEN n % 25 = 0 THEN following END) OVER (PARTITION BY page) AS next_offset FROM pages""")
+def scroll_ranges_query(spark, d):
+    path = scratch_path(spark, "ranges")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source")
+    write_ranges(docs, path, rows_per_file=100)
+    found, offset = None, 20
+    for number in range(3):
+        page = scroll_ranges(spark, path, offset, 25).withColumn("page", F.lit(number))
+        found = page if found is None else found.unionByName(page)
+        offset = page.agg(F.max("next_offset")).first()[0]
+        if offset is None:
+            break
+    return found
+
+
 # --- graph ----------------------------------------------------------------------------
 
 @query("graph_nodes", f"""
@@ -459,14 +481,14 @@ def rag_context(spark, d):
     return rag.contexts(_text_hits(spark, d, RETRIEVE_K))
 
 
-_HEAD, _REST = rag.TEMPLATE.split("{context}")
-_MID, _TAIL = _REST.split("{question}")
-
-
 @query("rag_prompt", f"""
 WITH {_CONTEXT}
 SELECT item_id AS query_id, coalesce(context, '') AS context,
-       '{_HEAD}' || coalesce(context, '') || '{_MID}' || text || '{_TAIL}' AS prompt
+       'Below are passages from the archive, each with its title and address.' || chr(10) || chr(10) ||
+       coalesce(context, '') || chr(10) || chr(10) ||
+       'Using only these passages, answer the question that follows. Quote where it helps, name the' || chr(10) ||
+       'address of every passage you rely on, and say so if the passages do not hold the answer.' || chr(10) || chr(10) ||
+       'Question: ' || text || chr(10) || 'Answer:' AS prompt
 FROM benchmark LEFT JOIN contexts ON query_id = item_id""")
 def rag_prompt(spark, d):
     return rag.prompts(_questions(spark, d), rag.contexts(_text_hits(spark, d, RETRIEVE_K)))

@@ -81,6 +81,14 @@ def union_blocks(*frames: DataFrame) -> DataFrame:
     return out
 
 
+def in_order(rows: DataFrame, names: list[str], channel: str = "channel") -> DataFrame:
+    """The rows of the named channels as ``union_blocks`` of one frame for each would give
+    them, from one scan: ``channel_ord`` is the place of the name in the list (of its first
+    mention). Rows of other channels, and of none, go."""
+    place = F.array_position(F.array(*(F.lit(n) for n in names)), F.col(channel)) if names else F.lit(0)
+    return rows.filter(F.col(channel).isin(*names)).withColumn("channel_ord", (place - 1).cast("int"))
+
+
 def channels_per_block(rows: DataFrame, id_col: str = "id", channel: str = "channel") -> DataFrame:
     """Sorted channel titles of each block. Pairs are made distinct first (combined
     before the shuffle), so an array holds no more than the number of channels."""
