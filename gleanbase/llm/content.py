@@ -4,12 +4,16 @@ The standard library's streaming parser feeds events; block tags and line breaks
 page into lines. Elements whose class or id names what surrounds an article are left out,
 unless they hold it themselves, which is decided at the end. A line's ratio is its letters outside links over its tags. The ratios are
 smoothed with a Gaussian kernel and cut at a share of their deviation; regions (articles,
-the main element, else the body) that hold lines above the cut are the content.
+the main element, else the body) that hold lines above the cut are the content. Within it
+go lines of three links or more and nothing else, copyright notices at the end of a region,
+and articles that are teasers: a linked heading with less than a third of the text of the
+largest.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -41,16 +45,21 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 
 SIGMA = 1.5  # lines
 CUT = 0.5  # of the deviation of the smoothed ratios
+LINKS = 3  # links of a line without other text, from which on it goes
+TEASER = 3  # times a teaser's text, to stay below the largest region
+COPYRIGHT = re.compile(r"(?i)(?:copyright\s+)?(?:\u00a9|\(c\)|copyright)\s*(?:19|20)\d\d\b.{0,200}$", re.DOTALL)
 
 
 class _Lines(HTMLParser):
-    """Cuts a page into lines: (text, letters outside links, tags, region, skipped, heading)."""
+    """Cuts a page into lines: (text, letters outside links, tags, region, skipped, heading, links)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.raw: list[tuple[list, int, int, bool, bool]] = []  # parts, tags, region, left out, heading
         self.open: list[tuple[str, bool, int, int]] = []  # name, skipped, region, hinted element
+        self.places: dict[str, list[int]] = defaultdict(list)  # of the open elements of a name, in order
         self.regions = [0]  # the hinted element each stands in
+        self.articles = [False]  # whether the region is an article
         self.hinted = [(0, "", False, 0)]  # the one around it, name, hint is a whole name, region around it
         self.mains = [False]  # whether a hinted element is or holds a main
         self.parts: list[tuple[str, int, bool]] = []  # text, hinted element, outside links
@@ -96,13 +105,14 @@ class _Lines(HTMLParser):
         return out
 
     @property
-    def lines(self) -> list[tuple[str, int, int, int, bool, bool]]:
+    def lines(self) -> list[tuple[str, int, int, int, bool, bool, int]]:
         gone, lines = self.dropped(), []
         for parts, tags, region, left_out, heading in self.raw:
             kept = [(text, plain) for text, hint, plain in parts if not gone[hint]]
             text = " ".join("".join(t for t, _ in kept).split())
             if text or left_out or any(gone[hint] and not t.isspace() for t, hint, _ in parts):
-                lines.append((text, sum(len(t) for t, plain in kept if plain), tags, region, not text, heading))
+                links = sum(not plain and not t.isspace() for t, plain in kept)
+                lines.append((text, sum(len(t) for t, plain in kept if plain), tags, region, not text, heading, links))
         return lines
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -130,10 +140,12 @@ class _Lines(HTMLParser):
                 hint = len(self.hinted) - 1
         if tag in ("article", "main") and not skipped:
             self.regions.append(hint)
+            self.articles.append(tag == "article")
             region = len(self.regions) - 1
             self.mains[hint] = self.mains[hint] or tag == "main"
         if tag == "a":
             self.links += 1
+        self.places[tag].append(len(self.open))
         self.open.append((tag, skipped, region, hint))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -142,13 +154,16 @@ class _Lines(HTMLParser):
         self.tags += 1
 
     def _close(self, tag: str, until: set[str] = frozenset()) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                self.links -= sum(name == "a" for name, *_ in self.open[k:])
-                del self.open[k:]
-                return
-            if self.open[k][0] in until:
-                return
+        """Close the innermost ``tag`` and what is open within, unless one of ``until`` stands between."""
+        if not self.places[tag]:
+            return
+        first = self.places[tag][-1]
+        if any(self.places[name][-1] > first for name in until if name in self.places and self.places[name]):
+            return
+        for name, *_ in self.open[first:]:
+            self.places[name].pop()
+            self.links -= name == "a"
+        del self.open[first:]
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
@@ -166,7 +181,7 @@ class _Lines(HTMLParser):
 
 def ratios(lines: list[tuple]) -> np.ndarray:
     """Smoothed text-to-tag ratios."""
-    raw = np.array([0.0 if skipped else plain / max(1, tags) for _, plain, tags, _, skipped, _ in lines])
+    raw = np.array([0.0 if skipped else plain / max(1, tags) for _, plain, tags, _, skipped, *_ in lines])
     reach = int(np.ceil(3 * SIGMA))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
     padded = np.pad(raw, reach, mode="edge")
@@ -185,8 +200,9 @@ def main_text(html: str | None) -> str:
     high = smooth >= CUT * smooth.std()
     chosen = {lines[k][3] for k in np.flatnonzero(high) if not lines[k][4]}
     inner = chosen - {0} or {line[3] for line in lines if line[3] and not line[4]}
-    if inner:  # marked articles that hold content: all their lines
-        return " ".join(line[0] for line in lines if line[3] in inner and not line[4])
+    if inner:  # marked articles that hold content: their lines
+        kept = _clean([k for k, line in enumerate(lines) if line[3] in inner and not line[4]], lines, parser.articles)
+        return " ".join(lines[k][0] for k in kept)
     # no marked article: from the first to the last line of the cluster, with the headings before it
     hits = [k for k in np.flatnonzero(high) if not lines[k][4]]
     if not hits:
@@ -194,7 +210,33 @@ def main_text(html: str | None) -> str:
     first = hits[0]
     while first and lines[first - 1][5] and not lines[first - 1][4]:
         first -= 1
-    return " ".join(line[0] for line in lines[first:hits[-1] + 1] if not line[4])
+    kept = _clean([k for k in range(first, hits[-1] + 1) if not lines[k][4]], lines, parser.articles)
+    return " ".join(lines[k][0] for k in kept)
+
+
+def _clean(kept: list[int], lines: list[tuple], articles: list[bool]) -> list[int]:
+    """The lines of the content without what surrounds it there: link lists, teasers, notices.
+    Where nothing else is left, all of them."""
+    def bare(k: int) -> bool:  # links with separators between them
+        _, plain, _, _, _, heading, links = lines[k]
+        return not heading and links >= LINKS and plain <= 3 * links
+
+    sizes, linked = defaultdict(int), set()
+    for k in kept:
+        _, plain, _, region, _, heading, links = lines[k]
+        sizes[region] += plain
+        if heading and links and not plain:
+            linked.add(region)
+    most = max(sizes.values(), default=0)
+    teasers = {r for r in linked if articles[r] and TEASER * sizes[r] < most}
+    out, ended = [], set()
+    for k in reversed(kept):
+        region = lines[k][3]
+        if region in teasers or bare(k) or region not in ended and COPYRIGHT.match(lines[k][0]):
+            continue
+        ended.add(region)
+        out.append(k)
+    return out[::-1] or kept
 
 
 def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:

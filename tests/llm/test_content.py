@@ -77,3 +77,31 @@ def test_hints_on_what_holds_the_text():
         assert content.main_text(page) == text, page
     both = f"<article class='post tag-social'><p>{text}</p></article><article class='post tag-promo'><p>{PROSE}</p></article>"
     assert content.main_text(f"<body>{both}</body>") == f"{text} {PROSE.strip()}"
+
+
+def test_what_surrounds_the_text_within_a_region():
+    text = (PROSE * 6).strip()
+    links = " | ".join(f"<a href=/{n}>topic {n}</a>" for n in range(40))
+    teaser = "<article><h2><a href=/t>Another story</a></h2><p>It begins with a short line.</p></article>"
+    for box in (f"<p>{links}</p>", "<p>Copyright 2024 The Paper. All rights reserved.</p>", "<p>&copy; 2023 The Paper</p>"):
+        assert content.main_text(f"<body><article><p>{text}</p>{box}</article></body>") == text, box
+        assert content.main_text(f"<body><main><p>{text}</p>{box}</main></body>") == text, box
+    assert content.main_text(f"<body><article><p>{text}</p></article>{teaser * 6}</body>") == text
+    for stays in ("<p>Copyright law was changed in 1998.</p>", "<p>See <a href=a>one</a>, <a href=b>two</a> and, above all, "
+                  "the third of them, <a href=c>three</a>.</p>", "<ul><li><a href=a>first</a></li><li><a href=b>second</a></li></ul>",
+                  "<h3><a href=a>Part</a> <a href=b>two</a> <a href=c>of</a> it</h3><p>Short.</p>"):
+        want = " ".join(re.sub("<[^>]*>", " ", stays.replace("</a>,", "</a>\0,")).replace(" \0", "").split())
+        found = content.main_text(f"<body><article><p>{text}</p>{stays}</article></body>")
+        assert found.replace(" ", "") == (text + want).replace(" ", ""), stays
+    # a year's notice in the midst is text
+    assert content.main_text(f"<article><p>&copy; 2020 was printed below.</p><p>{text}</p></article>").startswith("\u00a9 2020")
+    # links alone are better than nothing
+    assert content.main_text("<article><p><a>a</a> <a>b</a> <a>c</a></p></article>") == "a b c"
+
+
+def test_stray_end_tags_cost_no_more_than_their_number():
+    import time
+    begun = time.process_time()
+    assert content.main_text(f"<article><p>{PROSE}" + "<b>" * 40_000 + "</i>" * 40_000 + "</p></article>") == PROSE.strip()
+    assert content.main_text(f"<i><article><p>{PROSE}" + "<b>" * 40_000 + "</i>" * 40_000 + "</p></article>") == PROSE.strip()
+    assert time.process_time() - begun < 10
