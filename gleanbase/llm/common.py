@@ -27,6 +27,12 @@ def appended(schema: T.StructType, **kinds: T.DataType) -> T.StructType:
     return T.StructType([*schema.fields, *(T.StructField(n, k) for n, k in kinds.items())])
 
 
+def others(docs: DataFrame, place: int, *made: str) -> list[int]:
+    """Places of the columns that stay beside new ones: not ``place``, and none named like ``made``, in any case."""
+    names = {n.lower() for n in made}
+    return [k for k, c in enumerate(docs.columns) if k != place and c.lower() not in names]
+
+
 def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """``docs`` less the rows whose key is in the column ``key`` of ``ids``; rows with a
     null key stay. The ids may be as many as the rows, so they are never broadcast."""

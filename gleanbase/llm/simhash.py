@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import written
-from .common import appended
+from .common import appended, others
 from .components import components
 
 WORDS = 3  # words of a shingle
@@ -47,9 +47,9 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", into: str = "fp") -> DataFrame:
     """``docs`` with its column ``text`` replaced by the fingerprint of the whole text; null
-    and empty texts have fingerprint zero."""
+    and empty texts have fingerprint zero. A column named as ``into`` is replaced."""
     place = docs.columns.index(text)
-    rest = [k for k in range(len(docs.columns)) if k != place]
+    rest = others(docs, place, into)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .common import appended
+from .common import appended, others
 
 END = "<|endoftext|>"
 
@@ -56,10 +56,11 @@ def byte_bpe_multi() -> Encoder:
 def count_tokens(docs: DataFrame, counts: dict[str, tuple[Encoder, str | None]], text: str = "text") -> DataFrame:
     """``docs`` with ``text`` replaced by token counts: a column for each entry of ``counts``,
     which gives its encoder and the name of a boolean column that says for which rows it is
-    wanted (null elsewhere; None: all rows). A null text has no tokens."""
+    wanted (null elsewhere; None: all rows). A null text has no tokens. Columns named like an
+    entry are replaced."""
     place = docs.columns.index(text)
     wanted = {into: docs.columns.index(where) if where else None for into, (_, where) in counts.items()}
-    rest = [k for k in range(len(docs.columns)) if k != place]
+    rest = others(docs, place, *counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoders = {into: made.load() for into, (made, _) in counts.items()}
@@ -83,11 +84,11 @@ def pieces(docs: DataFrame, encoder: Encoder, text: str = "text", length: int =
 
     A document is the ids of its whole text (null: none) and ``end``. Only one longer than
     ``length`` is cut: full pieces, with what is over in the first. ``ids`` holds unsigned
-    32-bit little-endian numbers.
+    32-bit little-endian numbers. Columns named like these four are replaced.
     """
     place = docs.columns.index(text)
-    rest = [k for k in range(len(docs.columns)) if k != place]
     fields = {"piece": T.IntegerType(), "start": T.LongType(), "length": T.LongType(), "ids": T.BinaryType()}
+    rest = others(docs, place, *fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder.load()
