@@ -12,12 +12,15 @@ from pyspark.sql import types as T
 from ..functions import text as tx
 from . import filters, html
 from .rows import last_per_key
+from .spread import in_parts
+
+PAGES = 64  # pages that a worker holds as Python objects at once
 
 
 def main_content(pages: DataFrame, key: str = "page_id", cut=html.WIKI_CUT, main: str = html.WIKI_MAIN) -> DataFrame:
     """(key, content): HTML of each page's main element, null without one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, PAGES):
             made = [html.main_content(h or "", cut, main) for h in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], [key, "content"])
 
@@ -45,7 +48,7 @@ def parse_pages(pages: DataFrame, pdf_only: bool = False, arrival: tuple[str, ..
     once = last_per_key(usable, ["url"], list(arrival))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, PAGES):
             texts, errors = [], []
             for route, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 text = error = None

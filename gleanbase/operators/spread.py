@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+def in_parts(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows: what a worker makes of them at once does
+    not grow with the batches of the session."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def scanned_bytes(df: DataFrame) -> int | None:
     """Estimated size of everything ``df`` reads, without running it; None if unknown."""
     if not hasattr(df, "_jdf"):  # a remote session has no plan to look at
