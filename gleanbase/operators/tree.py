@@ -5,12 +5,15 @@ node has more than ``leaf`` vectors; pivots, bounds and leaves are tables, so no
 more than one node's pivots whatever the size of the whole. A query goes down to the leaf
 nearest to it and is scored there. Then it goes down again, to all children that the angle
 bounds cannot rule out against the k-th score it has, level by level; visits are pairs of a
-query and a node, and vectors join them only where they are compared. Every answer is that of
+query and a node, and vectors join them only where they are compared. A node of no more than
+``bundle`` vectors is visited as a whole, and its leaves are ruled out within the task: so
+visits and hits grow with the bundles, however small the leaves. Every answer is that of
 comparing all pairs, in the order of ``similarity``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import md5
 
@@ -25,20 +28,25 @@ from .rows import ranked
 
 FAN = 64     # children of a node at most
 LEAF = 8192  # distinct vectors of a leaf at most
+BUNDLE = 32_768          # vectors of the leaves visited together at most (a larger leaf is visited alone),
+BUNDLE_BYTES = 32 << 20  # in no more than this
 _ALIKE = 1e-12
 BLOCK = 8192  # vectors dealt to pivots, or queries of a node, at once
 
 
 @dataclass
 class TreeIndex:
-    """``leaves``: (cell, ids, embedding), each distinct vector once with its first k_max ids.
-    ``levels``: for each level the children of its nodes, (parent, cell, pivot, low, high), low and
-    high being the least and greatest angle of a vector of the child to its pivot."""
+    """``leaves``: (top, cell, ids, embedding), each distinct vector once with its first k_max ids;
+    ``top`` is the node that its leaf is visited with. ``levels``: for each level the children of
+    its nodes, (parent, cell, pivot, low, high, inside), low and high being the least and greatest
+    angle of a vector of the child to its pivot; inside if the parent is visited as a whole, as all
+    are from level ``depth`` on."""
 
     leaves: DataFrame
     levels: list[DataFrame]
     dim: int
     k_max: int
+    depth: int
 
 
 def _lots(of: Column | str, count: Column) -> Column:
@@ -58,18 +66,22 @@ def build_tree(points: DataFrame, k_max: int = 10, leaf: int | None = None, fan:
     whole = S._usable(points.select("id", "embedding"), "embedding", dim).filter(F.exists("embedding", lambda x: x != 0))
     few = ranked(whole.withColumn("fp", S._fingerprint(F.col("embedding"))), ["fp"], [F.col("id")], k_max, "_n")
     state = written(few.groupBy("fp").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("embedding").alias("embedding"))
-                    .select(F.lit(0).cast("long").alias("cell"), "fp", "ids", "embedding"), "vectors")
-    level = 0
+                    .select(F.lit(0).cast("long").alias("cell"), F.lit(None).cast("long").alias("top"), "fp", "ids", "embedding"), "vectors")
+    bundle = max(leaf, min(BUNDLE, BUNDLE_BYTES // (8 * dim)))
+    level = depth = 0
     while True:
         counts = written(state.groupBy("cell").agg(F.count("*").alias("n")), "counts")
         big = counts.filter(F.col("n") > leaf)
         full = big.select("cell")
-        done = state.join(full, "cell", "left_anti").select("cell", "ids", "embedding")
+        state = state.join(counts, "cell").withColumn("top", F.coalesce("top", F.when(F.col("n") <= bundle, F.col("cell")))).drop("n")
+        done = state.join(full, "cell", "left_anti").select("top", "cell", "ids", "embedding")
         done.hint("rebalance", "cell").sortWithinPartitions("cell").write.parquet(f"{path}/leaves/level={level}")
         if big.isEmpty():
             break
         inner = state.join(big, "cell").withColumn("lot", _lots("fp", F.col("n")))
-        heads = ranked(inner, ["cell"], [F.md5("fp"), F.col("fp")], fan, "_n").select(
+        # no more children than make leaves, or bundles, of half the size that they may have
+        wanted = F.ceil(2 * F.col("n") / F.when(F.col("n") > bundle, F.lit(bundle)).otherwise(F.lit(leaf)))
+        heads = ranked(inner, ["cell"], [F.md5("fp"), F.col("fp")], fan, "_n").filter(F.col("_n") <= F.greatest(wanted, F.lit(4))).select(
             "cell", "n", (F.col("cell") * fan + F.col("_n")).alias("child"), F.col("embedding").alias("pivot"))
         heads = written(heads, "pivots")
 
@@ -81,17 +93,18 @@ def build_tree(points: DataFrame, k_max: int = 10, leaf: int | None = None, fan:
             nearest = (np.cumsum(alike, axis=1) > lot[:, None]).argmax(axis=1)
             angle = np.arccos(np.clip(cosine[np.arange(len(nearest)), nearest], -1, 1))
             cells = pivots.column("child").combine_chunks().take(pa.array(nearest))
-            return pa.table([cells, *(held.column(c) for c in ("fp", "ids", "embedding")), pa.array(angle)],
-                            ["cell", "fp", "ids", "embedding", "angle"])
+            return pa.table([cells, *(held.column(c) for c in ("top", "fp", "ids", "embedding")), pa.array(angle)],
+                            ["cell", "top", "fp", "ids", "embedding", "angle"])
 
-        dealt = written(inner.select("cell", "lot", "fp", "ids", "embedding").groupBy("cell", "lot").cogroup(
+        dealt = written(inner.select("cell", "lot", "top", "fp", "ids", "embedding").groupBy("cell", "lot").cogroup(
             heads.withColumn("lot", _every(F.col("n"))).select("cell", "lot", "child", "pivot").groupBy("cell", "lot")).applyInArrow(
                 deal, _schema(state, "angle double")), "dealt")
         bounds = dealt.groupBy(F.col("cell").alias("child")).agg(F.min("angle").alias("low"), F.max("angle").alias("high"))
-        heads.join(bounds, "child").select(F.col("cell").alias("parent"), F.col("child").alias("cell"), "pivot", "low", "high").write.parquet(
-            f"{path}/nodes/level={level}")
+        heads.join(bounds, "child").select(F.col("cell").alias("parent"), F.col("child").alias("cell"), "pivot", "low", "high", (
+            F.col("n") <= bundle).alias("inside")).write.parquet(f"{path}/nodes/level={level}")
         state, level = dealt.drop("angle"), level + 1
-    spark.createDataFrame([(dim, k_max, level)], "dim int, k_max int, levels int").coalesce(1).write.parquet(f"{path}/shape")
+        depth = depth if counts.filter(F.col("n") > bundle).isEmpty() else level
+    spark.createDataFrame([(dim, k_max, level, depth)], "dim int, k_max int, levels int, depth int").coalesce(1).write.parquet(f"{path}/shape")
     return open_tree(spark, path)
 
 
@@ -103,7 +116,7 @@ def open_tree(spark: SparkSession, path: str) -> TreeIndex:
     """The tree that ``build_tree`` wrote at ``path``, for any number of sessions."""
     shape = spark.read.parquet(f"{path}/shape").first()
     levels = [spark.read.parquet(f"{path}/nodes/level={n}") for n in range(shape["levels"])]
-    return TreeIndex(spark.read.parquet(f"{path}/leaves").drop("level"), levels, shape["dim"], shape["k_max"])
+    return TreeIndex(spark.read.parquet(f"{path}/leaves").drop("level"), levels, shape["dim"], shape["k_max"], shape["depth"])
 
 
 def _down(visits: DataFrame, queries: DataFrame, nodes: DataFrame, dim: int, all_that_may: bool) -> DataFrame:
@@ -136,12 +149,12 @@ def _down(visits: DataFrame, queries: DataFrame, nodes: DataFrame, dim: int, all
 
 
 def _visited(queries: DataFrame, tree: TreeIndex, all_that_may: bool) -> DataFrame:
-    """(query_id, cell) of the leaves that the queries (query_id, embedding, least) go down to.
+    """(query_id, cell) of the nodes visited as a whole that the queries (query_id, embedding, least) go down to.
     Each level is written: its visits are the input of the next and, where a node has no
     children, of the scoring."""
     at = written(queries.select("query_id", F.lit(0).cast("long").alias("cell")), "visits")
     out = []
-    for nodes in tree.levels:
+    for nodes in (level.filter("NOT inside") for level in tree.levels[:tree.depth]):
         out.append(at.join(nodes.select(F.col("parent").alias("cell")).distinct(), "cell", "left_anti").select("query_id", "cell"))
         at = written(_down(at, queries, nodes, tree.dim, all_that_may), "visits")
     for part in out:
@@ -149,27 +162,61 @@ def _visited(queries: DataFrame, tree: TreeIndex, all_that_may: bool) -> DataFra
     return at
 
 
+def _may_hold(queries: np.ndarray, least: np.ndarray, vectors: np.ndarray, leaves: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Queries and vectors to compare, by their places: leaf by leaf, or all at once where the angles
+    to the middles of the leaves rule out less than half."""
+    starts = np.flatnonzero(np.r_[True, leaves[1:] != leaves[:-1]])
+    if len(starts) > 1 and np.isfinite(least).any():
+        ends = np.r_[starts[1:], len(leaves)]
+        middles = np.add.reduceat(vectors, starts)
+        length = np.sqrt((middles * middles).sum(axis=1, keepdims=True))
+        middles = np.divide(middles, length, out=np.zeros_like(middles), where=length > 0)
+        far = np.minimum.reduceat(np.einsum("ij,ij->i", vectors, np.repeat(middles, ends - starts, axis=0)), starts)
+        gap = np.arccos(np.clip(queries @ middles.T, -1, 1)) - np.arccos(np.clip(far, -1, 1)) - S._ANGLE_SLACK
+        # a middle without a direction rules out nothing
+        may = (np.cos(np.maximum(gap, 0)) >= least[:, None] - S._SCORE_SLACK) | (length[:, 0] == 0)
+        if may.mean() < 0.5:
+            for n, (start, end) in enumerate(zip(starts, ends)):
+                if may[:, n].any():
+                    yield np.flatnonzero(may[:, n]), np.arange(start, end)
+            return
+    yield np.arange(len(queries)), np.arange(len(vectors))
+
+
 def _scored(visits: DataFrame, queries: DataFrame, tree: TreeIndex, k: int) -> DataFrame:
-    """(query_id, id, score): the best k of each query in each leaf it visits."""
+    """(query_id, id, score): the best k of each query (query_id, embedding, least) in the leaves
+    it may need of each node it visits."""
     id_type = tree.leaves.schema["ids"].dataType.elementType
     schema, dim = S._hit_schema(queries.schema["query_id"].dataType, id_type), tree.dim
     arrow = S._hit_arrow(schema)
     asked = written(visits.groupBy("cell").agg(F.count("*").alias("asked")), "asked")
     lhs = visits.join(asked, "cell").withColumn("lot", _lots("query_id", F.col("asked"))).join(
-        queries.select("query_id", "embedding"), "query_id")
-    rhs = tree.leaves.join(asked, "cell").withColumn("lot", _every(F.col("asked")))
+        queries.select("query_id", "embedding", "least"), "query_id")
+    rhs = tree.leaves.select(F.col("top").alias("cell"), F.col("cell").alias("leaf"), "ids", "embedding").join(asked, "cell").withColumn(
+        "lot", _every(F.col("asked")))
 
     def score(asking: pa.Table, held: pa.Table) -> pa.Table:
         if not asking.num_rows or not held.num_rows:
             return arrow.empty_table()
-        best = S._Best(S._matrix(asking.column("embedding"), dim), k)
-        ids = held.column("ids").combine_chunks()
-        copies = np.repeat(np.arange(held.num_rows), ids.value_lengths().to_numpy(zero_copy_only=False))
-        best.add(S._values(ids.flatten()), S._matrix(held.column("embedding"), dim)[copies])
-        return best.table(S._values(asking.column("query_id")), arrow)
-
-    return lhs.select("cell", "lot", "query_id", "embedding").groupBy("cell", "lot").cogroup(
-        rhs.select("cell", "lot", "ids", "embedding").groupBy("cell", "lot")).applyInArrow(score, schema)
+        held = held.sort_by("leaf")
+        names, ids = S._values(asking.column("query_id")), held.column("ids").combine_chunks()
+        sizes = ids.value_lengths().to_numpy(zero_copy_only=False)
+        first = np.cumsum(sizes) - sizes
+        ids = S._values(ids.flatten())
+        queries_, vectors = S._matrix(asking.column("embedding"), dim), S._matrix(held.column("embedding"), dim)
+        least = asking.column("least").to_numpy()
+        least = np.where(np.isnan(least), -np.inf, least)
+        out = []
+        for some, of in _may_hold(queries_, least, vectors, S._values(held.column("leaf"))):
+            best = S._Best(queries_[some], k)
+            copies = np.repeat(of, sizes[of])
+            places = np.arange(len(copies)) - np.repeat(np.cumsum(sizes[of]) - sizes[of], sizes[of])
+            best.add(ids[first[copies] + places], vectors[copies])
+            out.append(best.table(names[some], arrow))
+        return pa.concat_tables(out) if out else arrow.empty_table()
+
+    return lhs.select("cell", "lot", "query_id", "embedding", "least").groupBy("cell", "lot").cogroup(
+        rhs.select("cell", "lot", "leaf", "ids", "embedding").groupBy("cell", "lot")).applyInArrow(score, schema)
 
 
 def tree_top_k(queries: DataFrame, tree: TreeIndex, k: int = 10) -> DataFrame:

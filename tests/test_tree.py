@@ -73,3 +73,17 @@ def test_opened_again_and_odd_vectors(spark, tmp_path):
     assert R.tree_top_k(points.filter("false").withColumnRenamed("id", "query_id"), index, 2).count() == 0
     with pytest.raises(ValueError):
         R.tree_top_k(points.withColumnRenamed("id", "query_id"), index, 4)
+
+
+def test_visits_do_not_grow_with_small_leaves(spark, monkeypatch):
+    ids, m = make(300)
+    points = frame(spark, ids, m)
+    index = R.build_tree(points, k_max=5, leaf=12, fan=4)
+    assert index.leaves.select("cell").distinct().count() > 20
+    queries = points.select(F.col("id").alias("query_id"), F.lit(None).cast("double").alias("least"), "embedding").filter(F.size("embedding") == index.dim)
+    assert R._visited(queries, index, True).count() == queries.count()
+    # several bundles, leaves within them ruled out or not
+    monkeypatch.setattr(R, "BUNDLE", 60)
+    parted = R.build_tree(points, k_max=5, leaf=12, fan=4)
+    assert parted.depth > 0 and max(tuples(parted.leaves.groupBy("top").count(), "count"))[0] <= 60
+    assert shown(R.tree_top_k(points.withColumnRenamed("id", "query_id"), parted, 5)) == brute(ids, m, ids, m, 5)
