@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from ..session import scratch_path, written
 from .rows import ranked
 from .skew import salted_join
+from .spread import in_parts
 
 DIGITS = 4
 SCAN_QUERIES = 4096          # most queries sent to every task
@@ -40,6 +41,7 @@ PIVOT_BYTES = 64 << 20       # in no more than this
 POINT_BLOCK = 16_384         # rows of a scoring block
 QUERY_BLOCK = 4096
 _CELLS_AT_ONCE = 2_000_000   # entries of a score matrix in a worker
+_GROUPS = 512                # groups of points whose maxima bound the k-th score
 _ANGLE_SLACK = 1e-6          # arccos near 1 is good to about 1e-8
 _SCORE_SLACK = 0.5 * 10.0 ** -DIGITS + 1e-9
 
@@ -80,27 +82,51 @@ class _Best:
     def add(self, ids: np.ndarray, points: np.ndarray) -> None:
         whole = np.isfinite(points).all(axis=1)
         ids, points = ids[whole], points[whole]
-        if not len(ids):
-            return
-        step = max(1, _CELLS_AT_ONCE // max(1, len(self.queries)))
-        for at in range(0, len(ids), step):
-            self._add(ids[at:at + step], points[at:at + step])
+        for at in range(0, len(ids), POINT_BLOCK):
+            self._add(ids[at:at + POINT_BLOCK], points[at:at + POINT_BLOCK])
 
     def _add(self, ids: np.ndarray, points: np.ndarray) -> None:
-        scores = self.queries @ points.T
-        keys = _score_key(scores)
-        if keys.shape[1] > self.k:
-            least = np.partition(keys, -self.k, axis=1)[:, -self.k]
-            rows, cols = np.nonzero(keys >= least[:, None])
-        else:
-            rows, cols = (a.ravel() for a in np.indices(keys.shape))
+        order = np.unique(ids, return_inverse=True)[1]
+        rows, cols, scores = [], [], []
+        step = max(1, _CELLS_AT_ONCE // len(ids))
+        for at in range(0, len(self.queries), step):
+            for r, c in self._may(self.queries[at:at + step], points):
+                s = np.einsum("ij,ij->i", self.queries[r + at], points[c])
+                keep = _first_k(r, _score_key(s), order[c], self.k)
+                rows.append(r[keep] + at)
+                cols.append(c[keep])
+                scores.append(s[keep])
+        if not rows:
+            return
+        rows, cols, scores = (np.concatenate(part) for part in (rows, cols, scores))
         all_rows = np.concatenate([self.rows, rows])
-        all_scores = np.concatenate([self.scores, scores[rows, cols]])
+        all_scores = np.concatenate([self.scores, scores])
         all_ids = ids[cols] if self.ids is None else np.concatenate([self.ids, ids[cols]])
-        tie = np.unique(all_ids, return_inverse=True)[1]
+        tie = order[cols] if self.ids is None else np.unique(all_ids, return_inverse=True)[1]
         keep = _first_k(all_rows, _score_key(all_scores), tie, self.k)
         self.rows, self.scores, self.ids = all_rows[keep], all_scores[keep], all_ids[keep]
 
+    def _may(self, queries: np.ndarray, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows and columns of the pairs that may be among the best k, some at a time. Products
+        in single precision rule out the others: the k-th greatest of the maxima of groups of
+        points is no more than the k-th score, but for the error of such a product."""
+        n, dim = points.shape
+        if n <= self.k:
+            rows, cols = (a.ravel() for a in np.indices((len(queries), n)))
+        else:
+            rough = queries.astype(np.float32) @ points.astype(np.float32).T
+            groups = max(_GROUPS, 4 * self.k)
+            tops = rough
+            if n >= 2 * groups:
+                deep = n // groups
+                tops = rough[:, :deep * groups].reshape(len(queries), deep, groups).max(axis=1)
+            least = np.partition(tops, -self.k, axis=1)[:, -self.k]
+            error = 4 * dim * float(np.finfo(np.float32).eps) + 2 * _SCORE_SLACK
+            rows, cols = np.nonzero(rough >= (least - np.float32(error))[:, None])
+        out = max(1, 2 * _CELLS_AT_ONCE // dim)
+        for at in range(0, len(rows), out):
+            yield rows[at:at + out], cols[at:at + out]
+
     def table(self, query_ids: np.ndarray, schema: pa.Schema) -> pa.Table:
         if self.ids is None:
             return schema.empty_table()
@@ -197,7 +223,7 @@ def scan_top_k(few: pa.Table, query_type: T.DataType, points: DataFrame, k: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, vectors = shared.value
         best = _Best(vectors, k)
-        for batch in batches:
+        for batch in in_parts(batches, QUERY_BLOCK):
             best.add(_values(batch.column("id")), _matrix(batch.column("embedding"), dim))
         yield from best.table(query_ids, arrow).to_batches()
 

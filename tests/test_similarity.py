@@ -157,3 +157,19 @@ def test_index_opened_again(spark):
     assert shown(S.approx_top_k(queries, again, 3, probes=len(again.pivots))) == brute(ids, m, ids, m, 3)
     empty = S.build_index(points.limit(0), 3)
     assert S.approx_top_k(queries, empty, 3).count() == 0
+
+
+def test_pairs_ruled_out_in_single_precision_are_few_and_never_a_hit():
+    from gleanbase.operators import similarity as S
+    rng = np.random.default_rng(8)
+    points = rng.normal(size=(6000, 24))
+    points[50:90] = points[50]  # ties at the k-th place
+    points /= np.sqrt((points * points).sum(axis=1, keepdims=True))
+    ids = np.array([f"p{n:05d}" for n in rng.permutation(6000)])
+    best = S._Best(points[:100], 7)
+    assert sum(len(r) for r, _ in best._may(points[:40], points)) < 40 * 6000 / 50
+    best.add(ids[:3500], points[:3500])
+    best.add(ids[3500:], points[3500:])
+    keys = S._score_key(points[:100] @ points.T)
+    want = {(q, ids[n]) for q in range(100) for n in np.lexsort((ids, -keys[q]))[:7]}
+    assert {(int(q), i) for q, i in zip(best.rows, best.ids)} == want
