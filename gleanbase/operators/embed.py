@@ -11,9 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .spread import fill_cores
+from .spread import fill_cores, in_parts
 
 DIM = 384  # fixed value: vector size of the collection
+TEXTS = 512  # texts and vectors that a worker holds at once
 Encoder = Callable[[list[str]], np.ndarray]
 
 _WORD = re.compile(r"[^\W_]+")
@@ -22,7 +23,7 @@ _WORD = re.compile(r"[^\W_]+")
 class _Buckets(dict):
     """Bucket of each word met so far; emptied when it has grown large."""
 
-    def __init__(self, dim: int, most: int = 500_000):
+    def __init__(self, dim: int, most: int = 100_000):
         super().__init__()
         self.dim, self.most = dim, most
 
@@ -60,7 +61,7 @@ def embed(df: DataFrame, text: str = "crawled_text", make_encoder: Callable[[],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = make_encoder()
-        for batch in batches:
+        for batch in in_parts(batches, TEXTS):
             texts = [t or "" for t in batch.column(text).to_pylist()]
             matrix = np.asarray(encode(texts), dtype=np.float32)
             if matrix.shape != (len(texts), dim):
