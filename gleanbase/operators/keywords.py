@@ -10,6 +10,9 @@ from ..session import written
 from .rows import ranked
 from .skew import salted_join
 
+PART_ROWS = 2000  # texts of a task that counts their words,
+LEAST_PARTS = 8   # and the fewest of these tasks
+
 
 def chunks(df: DataFrame, text: str = "crawled_text", width: int = 120, step: int = 100) -> DataFrame:
     """Overlapping runs of ``width`` blank-separated words, one every ``step`` words; the
@@ -30,11 +33,14 @@ def chunks(df: DataFrame, text: str = "crawled_text", width: int = 120, step: in
     )
 
 
-def word_counts(df: DataFrame, text: str = "crawled_text", min_length: int = 1) -> DataFrame:
+def word_counts(df: DataFrame, text: str = "crawled_text", min_length: int = 1, parts: int | None = None) -> DataFrame:
     """(id, word, n). The texts are laid out by id first: a text is smaller than the list
-    of its counted words, and the counting then needs no shuffle of its own."""
+    of its counted words, and the counting then needs no shuffle of its own. The counts of a task
+    take many times the memory of its texts: ``parts`` is the number of tasks, that of the
+    session by default."""
+    laid = df.select("id", text)
     return (
-        df.select("id", text).repartition("id").select("id", F.explode(tx.words(F.col(text), min_length)).alias("word"))
+        (laid.repartition("id") if parts is None else laid.repartition(parts, "id")).select("id", F.explode(tx.words(F.col(text), min_length)).alias("word"))
         .groupBy("id", "word").agg(F.count("*").alias("n"))
     )
 
@@ -44,14 +50,16 @@ def keyword_index(df: DataFrame, text: str = "crawled_text", min_length: int = 1
     """All words of each block with their tf-idf: (id, word, weight). Words found in a large
     share of the blocks would make hot join keys: they are at most ``1 / share`` words, known
     from the counts themselves, and are spread."""
+    total = df.select("id").agg(F.count("*")).first()[0]
+    # so that no task gets more of the input as it grows
+    parts = max(LEAST_PARTS, -(-total // PART_ROWS))
     # read three times below; the texts are split into words once
-    counted = written(word_counts(df, text, min_length), "words")
+    counted = written(word_counts(df, text, min_length, parts), "words")
     spread = counted.groupBy("word").agg(F.count("*").alias("df"))
-    total = df.select("id").agg(F.count("*")).scalar()
     least = max(rows, share * counted.count())
     hot = spread.filter(F.col("df") >= least).select("word", F.col("df").alias("n"))
-    joined = salted_join(counted, spread, "word", "inner", F.col("id"), hot=hot)
-    weight = F.round(F.col("n") * F.log(total / F.col("df")), 4) + F.lit(0.0)
+    joined = salted_join(counted, spread, "word", "inner", F.col("id"), hot=hot, parts=parts)
+    weight = F.round(F.col("n") * F.log(F.lit(total) / F.col("df")), 4) + F.lit(0.0)
     return joined.select("id", "word", weight.alias("weight"))
 
 

@@ -53,6 +53,7 @@ def salted_join(
     *,
     hot: DataFrame | None = None,
     salts: int = SALTS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Equi-join whose hot left keys are spread over partitions: one for each SALT_ROWS of
     their rows, ``salts`` at least. Keys of less than the hot share stay whole; if one of them
@@ -63,7 +64,8 @@ def salted_join(
     that a retried task sends a row to the same place). ``how`` may be inner, left,
     left_semi or left_anti: a left row meets each matching right row exactly once.
     ``hot`` (key, and n if known) replaces the detection when the caller already has counts;
-    it must be of bounded size. Null keys match nothing and are spread as well.
+    it must be of bounded size. Null keys match nothing and are spread as well. ``parts`` is the
+    number of partitions that both sides are dealt to where that should not be left to Spark.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
@@ -80,4 +82,6 @@ def salted_join(
     )
     copies = F.when(F.col(mark).isNotNull(), F.sequence(F.lit(0), F.col(mark) - 1)).otherwise(F.array(F.lit(0)))
     rhs = right.join(marked, key, "left").withColumn(salt, F.explode(copies)).drop(mark)
+    if parts is not None:
+        lhs, rhs = lhs.repartition(parts, key, salt), rhs.repartition(parts, key, salt)
     return lhs.join(rhs, [key, salt], how).drop(salt)
