@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -30,15 +31,16 @@ def newer_only(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
                           F.to_json(F.struct(*rows.columns), _EXACT).alias("row"))
 
     def last(group, batches: Iterator, state: GroupState) -> Iterator:
-        seen, newest = (state.get if state.exists else None), None
+        # called for every key, mostly with a row or two: a frame is made for a row that goes out only
+        seen, newest = (tuple(state.get) if state.exists else None), None
         for batch in batches:
-            row = batch.sort_values([*names, "row"]).tail(1)
-            at = tuple(int(row[n].iloc[0]) for n in names)
-            if (seen is None or at > tuple(seen)) and (newest is None or at > newest[0]):
-                newest = at, row
+            best = max(zip(*(batch[c].tolist() for c in [*names, "row"])))
+            at = tuple(int(n) for n in best[:-1])
+            if (seen is None or at > seen) and (newest is None or at > newest[0]):
+                newest = at, best[-1]
         if newest is not None:
             state.update(newest[0])
-            yield newest[1][["row"]]
+            yield pd.DataFrame({"row": [newest[1]]})
 
     kept = packed.groupBy("k").applyInPandasWithState(
         last, "row string", ", ".join(f"{n} long" for n in names), "append", GroupStateTimeout.NoTimeout)
