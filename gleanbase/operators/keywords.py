@@ -46,19 +46,23 @@ def word_counts(df: DataFrame, text: str = "crawled_text", min_length: int = 1,
 
 
 def keyword_index(df: DataFrame, text: str = "crawled_text", min_length: int = 1,
-                  share: float = 1e-4, rows: int = 100_000) -> DataFrame:
-    """All words of each block with their tf-idf: (id, word, weight). Words found in a large
-    share of the blocks would make hot join keys: they are at most ``1 / share`` words, known
-    from the counts themselves, and are spread."""
+                  share: float = 1e-5, rows: int = 100) -> DataFrame:
+    """All words of each block with their tf-idf: (id, word, weight). Words that make up at
+    least ``share`` of all counts (and ``rows`` of them) would make hot join keys and are most of the
+    rows: they are at most ``1 / share`` words, known from the counts themselves, so their
+    numbers of blocks go to all tasks and only the counts of other words are shuffled."""
     total = df.select("id").agg(F.count("*")).first()[0]
     # so that no task gets more of the input as it grows
     parts = max(LEAST_PARTS, -(-total // PART_ROWS))
-    # read three times below; the texts are split into words once
+    # read several times below; the texts are split into words once
     counted = written(word_counts(df, text, min_length, parts), "words")
-    spread = counted.groupBy("word").agg(F.count("*").alias("df"))
+    spread = written(counted.groupBy("word").agg(F.count("*").alias("df")), "spread")
     least = max(rows, share * counted.count())
-    hot = spread.filter(F.col("df") >= least).select("word", F.col("df").alias("n"))
-    joined = salted_join(counted, spread, "word", "inner", F.col("id"), hot=hot, parts=parts)
+    common = F.broadcast(spread.filter(F.col("df") >= least))
+    # none of the other words is hot
+    rare = counted.join(common.select("word"), "word", "left_anti").repartition(parts, "word").join(
+        spread.filter(F.col("df") < least).repartition(parts, "word"), "word")
+    joined = counted.join(common, "word").unionByName(rare)
     weight = F.round(F.col("n") * F.log(F.lit(total) / F.col("df")), 4) + F.lit(0.0)
     return joined.select("id", "word", weight.alias("weight"))
 

@@ -1,11 +1,13 @@
-"""Ranked search for several words: postings in order of their weight, and upper bounds.
+"""Ranked search for several words: postings of each word, and upper bounds.
 
 The score of a block is the sum of its weights of the words asked for. The heaviest postings
-of each word, kept apart, give sums that k blocks reach at least: a threshold. Words whose
+of each word give sums; the blocks with the best of these are scored in full, and the k-th of
+their scores is a threshold. Words whose
 greatest weights together stay below it cannot bring a block up to it alone, so their postings
 (those of common words, the long lists) are only looked up for blocks that may still reach it;
 and of the others a posting counts only if it reaches the threshold with the greatest weights
-of all other words. The answer is that of scoring everything; weights are decimals, so sums do
+of all other words. A block also stays below it if all its weights together do, or as many times its greatest
+weight as there are words asked for: most blocks are short and are ruled out so. The answer is that of scoring everything; weights are decimals, so sums do
 not depend on their order.
 """
 
@@ -19,57 +21,78 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..session import scratch_path, written
 from .rows import ranked
-from .skew import salted_join
+from .skew import HOT_ROWS, HOT_SHARE, salted_join
+from .spread import small_enough
 
-HEADS = 64  # postings of each word kept apart
+HEADS = 64  # heaviest postings of each word that are summed for a threshold
+TRIED = 4   # blocks scored in full for it, for each one wanted
 
 
 @dataclass
 class Postings:
-    """``rows``: (word, id, weight) by word and falling weight; ``bounds``: (word, bound, n), the
-    greatest weight and the number of postings; ``heads``: the first postings of each word."""
+    """``rows``: (word, id, weight, whole, most), the last two the sum and the greatest of the block's weights; ``bounds``: (word, bound, n), the greatest weight and the number
+    of postings; ``heads``: how many of the first postings of a word are summed for a threshold."""
 
     rows: DataFrame
     bounds: DataFrame
-    heads: DataFrame
+    heads: int
 
 
 def build_postings(index: DataFrame, heads: int = HEADS, path: str | None = None) -> Postings:
-    """Store a keyword index (id, word, weight). Rows are laid out by ranges of word and
-    weight, so the postings of a common word lie in several files; weights below zero and null
+    """Store a keyword index (id, word, weight). Rows are dealt by a hash of their id, so the
+    postings of a common word lie in all files; weights below zero and null
     words or ids are left out, and of rows that repeat a word and id the heaviest counts."""
     spark, path = index.sparkSession, path or scratch_path(index.sparkSession, "postings")
-    fit = index.filter("id IS NOT NULL AND word IS NOT NULL AND weight >= 0").groupBy("word", "id").agg(
-        F.max("weight").cast("decimal(18,4)").alias("weight"))
-    order = [F.col("word"), F.col("weight").desc(), F.col("id")]
-    fit.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/rows")
+    laid = index.filter("id IS NOT NULL AND word IS NOT NULL AND weight >= 0").select("word", "id", "weight").repartition("id")
+    fit = laid.groupBy("word", "id").agg(F.max("weight").cast("decimal(18,4)").alias("weight"))
+    own = Window.partitionBy("id")
+    fit.withColumns({"whole": F.sum("weight").over(own), "most": F.max("weight").over(own)}).write.parquet(f"{path}/rows")
     rows = spark.read.parquet(f"{path}/rows")
     rows.groupBy("word").agg(F.max("weight").alias("bound"), F.count("*").alias("n")).write.parquet(f"{path}/bounds")
-    ranked(rows, ["word"], [F.col("weight").desc(), F.col("id")], heads, "_n").drop("_n").write.parquet(f"{path}/heads")
-    return Postings(rows, spark.read.parquet(f"{path}/bounds"), spark.read.parquet(f"{path}/heads"))
+    return Postings(rows, spark.read.parquet(f"{path}/bounds"), heads)
+
+
+def _looked_up(pairs: DataFrame, postings: Postings) -> DataFrame:
+    """(query_id, id, weight): the postings of the pairs (query_id, id, word) that have one. Pairs may be
+    as many as the postings: they are broadcast only where they are found small."""
+    pairs = written(pairs, "pairs")
+    few = F.broadcast(pairs) if small_enough(pairs, 16 << 20, 64 << 20) else pairs
+    return postings.rows.join(few, ["word", "id"]).select("query_id", "id", "weight")
 
 
 def plan_words(questions: DataFrame, postings: Postings, k: int, text: str = "question") -> DataFrame:
-    """(query_id, word, bound, threshold, rest, essential) of the words asked for that have
-    postings: ``rest`` is what the other words bring at most, and a word is not essential if it and all
+    """(query_id, word, bound, asked, threshold, rest, essential) of the words asked for that have
+    postings: ``asked`` is the number of words of the question, ``rest`` is what the other words bring at most, and a word is not essential if it and all
     words of lesser bounds together stay below the threshold."""
     asked = questions.filter("query_id IS NOT NULL").select("query_id", F.explode(tx.words(F.col(text))).alias("word")).distinct().join(postings.bounds, "word")
     asked = written(asked.select("query_id", "word", "bound"), "asked")
-    sums = salted_join(asked, postings.heads, "word", "inner", F.col("query_id")).groupBy("query_id", "id").agg(
+    wanted = salted_join(postings.rows.select("word", "id", "weight"), asked.select("word").distinct(), "word", "left_semi", F.col("id"), hot=_long(postings))
+    heads = ranked(wanted, ["word"], [F.col("weight").desc(), F.col("id")], postings.heads, "_n").drop("_n")
+    sums = salted_join(asked, heads, "word", "inner", F.col("query_id")).groupBy("query_id", "id").agg(
+        F.sum("weight").alias("score"))
+    tried = ranked(sums, ["query_id"], [F.col("score").desc(), F.col("id")], TRIED * k).select("query_id", "id")
+    scores = _looked_up(tried.join(asked.select("query_id", "word"), "query_id"), postings).groupBy("query_id", "id").agg(
         F.sum("weight").alias("score"))
-    least = ranked(sums, ["query_id"], [F.col("score").desc(), F.col("id")], k).filter(F.col("rank") == k).select(
+    least = ranked(scores, ["query_id"], [F.col("score").desc(), F.col("id")], k).filter(F.col("rank") == k).select(
         "query_id", F.col("score").alias("threshold"))
     own = Window.partitionBy("query_id")  # the words of one question
     upto = own.orderBy("bound", "word")
     known = asked.join(least, "query_id", "left").withColumn("threshold", F.coalesce("threshold", F.lit(0).cast("decimal(28,4)")))
-    return known.select("query_id", "word", "bound", "threshold", (F.sum("bound").over(own) - F.col("bound")).alias("rest"),
+    return known.select("query_id", "word", "bound", F.count("*").over(own).alias("asked"), "threshold", (F.sum("bound").over(own) - F.col("bound")).alias("rest"),
                         (F.sum("bound").over(upto) >= F.col("threshold")).alias("essential"))
 
 
+def _long(postings: Postings) -> DataFrame:
+    """The words whose postings are spread in a join, from the stored numbers."""
+    least = F.greatest(F.lit(HOT_ROWS), F.ceil(F.lit(HOT_SHARE) * postings.bounds.agg(F.sum("n")).scalar()))
+    return postings.bounds.filter(F.col("n") >= least).select("word", "n")
+
+
 def live_postings(plan: DataFrame, postings: Postings) -> DataFrame:
     """(query_id, id, word, weight): the postings of essential words that are scored."""
     met = salted_join(plan.filter("essential"), postings.rows, "word", "inner", F.col("query_id"))
-    return met.filter("weight + rest >= threshold").select("query_id", "id", "word", "weight", "threshold")
+    may = met.filter("weight + rest >= threshold AND whole >= threshold AND most * asked >= threshold")
+    return may.select("query_id", "id", "word", "weight", "threshold")
 
 
 def search_words(questions: DataFrame, postings: Postings, k: int = 10, text: str = "question") -> DataFrame:
@@ -83,8 +106,7 @@ def search_words(questions: DataFrame, postings: Postings, k: int = 10, text: st
     some = live_postings(plan, postings).groupBy("query_id", "id", "threshold").agg(F.sum("weight").alias("part"))
     may = written(some.join(lesser, "query_id").filter("part + lesser >= threshold").select("query_id", "id", "part"), "candidates")
     looked = may.select("query_id", "id").join(plan.filter("NOT essential").select("query_id", "word"), "query_id")
-    # candidates and postings both grow with the blocks: neither side is broadcast by hand
-    more = looked.join(postings.rows, ["word", "id"]).select("query_id", "id", F.col("weight").alias("part"))
+    more = _looked_up(looked, postings).withColumnRenamed("weight", "part")
     scores = may.unionByName(more).groupBy("query_id", "id").agg(F.sum("part").alias("score"))
     out = ranked(scores, ["query_id"], [F.col("score").desc(), F.col("id")], k)
     return out.select("query_id", "rank", "id", F.col("score").cast("double").alias("score"))

@@ -73,3 +73,15 @@ def test_odd_rows(spark):
     none = P.build_postings(rows.filter("false"))
     assert P.search_words(asked, none, 2).count() == 0
     assert P.search_words(asked.filter("false"), stored, 2).count() == 0
+
+
+def test_short_blocks_are_ruled_out_by_all_their_weights(spark):
+    """Every word is heavy in the long blocks, so no word alone is too light: the blocks are."""
+    rng = random.Random(3)
+    index = [(f"long{d}", f"w{w}", round(rng.uniform(5, 9), 2)) for d in range(6) for w in range(10)]
+    index += [(f"s{d:04d}", f"w{w}", round(rng.uniform(0.2, 1), 2)) for d in range(1000) for w in rng.sample(range(10), 3)]
+    questions = [("q", " ".join(f"w{w}" for w in range(10)))]
+    rows, asked = frames(spark, index, questions)
+    stored = P.build_postings(rows)
+    assert 0 < P.live_postings(P.plan_words(asked, stored, 5), stored).count() <= 60
+    assert tuples(P.search_words(asked, stored, 5), "query_id", "rank", "id", "score") == brute(index, questions, 5)
