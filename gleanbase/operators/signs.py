@@ -30,6 +30,7 @@ from . import similarity as S
 from .rows import ranked
 
 TABLES, BITS, FLIPS = 10, 6, 1
+POINT_BYTES, QUERY_BYTES = 16 << 20, 32 << 20  # vectors of a scoring block, in doubles
 
 
 @dataclass
@@ -118,13 +119,17 @@ def _visits(queries: DataFrame, index: SignIndex, flips: int, vector: bool) -> D
 
 def _candidates(queries: DataFrame, index: SignIndex, k: int, flips: int) -> DataFrame:
     """Best k of each query and bucket block, as (query_id, id, score), each pair once."""
-    schema = S._hit_schema(queries.schema["query_id"].dataType, index.buckets.schema["id"].dataType)
-    arrow, dim = S._hit_arrow(schema), index.dim
+    hit = S._hit_schema(queries.schema["query_id"].dataType, index.buckets.schema["id"].dataType)
+    # a query's hits of a block go out as one row, so its id is shuffled once for all of them
+    schema = T.StructType([hit["query_id"], T.StructField("hits", T.ArrayType(T.StructType(hit.fields[1:])))])
+    flat, dim = S._hit_arrow(hit), index.dim
+    arrow = pa.schema([flat.field(0), ("hits", pa.list_(pa.struct([flat.field(1), flat.field(2)])))])
     asked = _visits(queries, index, flips, False).groupBy("tbl", "sig").agg(F.count("*").alias("asked"))
     # a row for each bucket that is asked and not empty; it may be many, so Spark decides how to join
+    points_in, queries_in = (max(1, most // (8 * dim)) for most in (POINT_BYTES, QUERY_BYTES))
     layout = written(index.sizes.join(asked, ["tbl", "sig"]).select(
-        "tbl", "sig", F.ceil(F.col("n") / S.POINT_BLOCK).cast("int").alias("parts"),
-        F.ceil(F.col("asked") / S.QUERY_BLOCK).cast("int").alias("lots")), "layout")
+        "tbl", "sig", F.ceil(F.col("n") / points_in).cast("int").alias("parts"),
+        F.ceil(F.col("asked") / queries_in).cast("int").alias("lots")), "layout")
 
     def number(of: str, blocks: str):
         return F.pmod(F.xxhash64(of), F.col(blocks)).cast("int")
@@ -142,11 +147,24 @@ def _candidates(queries: DataFrame, index: SignIndex, k: int, flips: int) -> Dat
             return arrow.empty_table()
         best = S._Best(S._matrix(asking.column("embedding"), dim), k)
         best.add(S._values(held.column("id")), S._matrix(held.column("embedding"), dim))
-        return best.table(S._values(asking.column("query_id")), arrow)
+        return _by_query(best.table(S._values(asking.column("query_id")), flat), best.rows, arrow)
 
     scored = lhs.select(*keys, "query_id", "embedding").groupBy(*keys).cogroup(
         rhs.select(*keys, "id", "embedding").groupBy(*keys)).applyInArrow(score, schema)
-    return scored.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return scored.repartition("query_id").select("query_id", F.inline("hits")).groupBy("query_id", "id").agg(
+        F.max("score").alias("score"))
+
+
+def _by_query(hits: pa.Table, rows: np.ndarray, schema: pa.Schema) -> pa.Table:
+    """The hits (query_id, id, score) of each query as a list; ``rows``: the number of its query."""
+    if not hits.num_rows:
+        return schema.empty_table()
+    order = np.argsort(rows, kind="stable")
+    rows, hits = rows[order], hits.take(pa.array(order)).combine_chunks()
+    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    entries = pa.StructArray.from_arrays([hits.column(c).chunk(0) for c in ("id", "score")], ["id", "score"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(rows)), pa.int32()), entries)
+    return pa.table([hits.column("query_id").take(pa.array(first)), lists.cast(schema.field("hits").type)], schema=schema)
 
 
 def sign_top_k(queries: DataFrame, index: SignIndex, k: int = 10, flips: int = FLIPS) -> DataFrame:

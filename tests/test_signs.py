@@ -92,3 +92,18 @@ def test_few_candidates_where_vectors_have_neighbours(spark):
     assert S.recall(found, S.top_k(queries, points, 5)).first()["recall"] >= 0.9
     seen = N._visits(queries, index, 1, False).join(index.sizes, ["tbl", "sig"]).agg(F.sum("n")).first()[0]
     assert seen < 0.3 * len(m) ** 2  # in all eight tables
+
+
+def test_a_bucket_is_dealt_by_bytes_not_by_rows(spark, monkeypatch):
+    """Points go out once for each lot of queries: short vectors make few lots, whatever the row blocks."""
+    monkeypatch.setattr(S, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(S, "POINT_BLOCK", 10)
+    ids, m = make(300, hot=False)
+    points, layouts, real = frame(spark, ids, m), [], N.written
+    monkeypatch.setattr(N, "written", lambda df, name: layouts.append(real(df, name)) or layouts[-1])
+    index = N.build_signs(points, k_max=3, tables=2, bits=2)
+    N._candidates(points.select(F.col("id").alias("query_id"), "embedding"), index, 3, 1)
+    assert layouts[0].filter("lots > 1 OR parts > 1").count() == 0
+    monkeypatch.setattr(N, "QUERY_BYTES", 8 * index.dim * 50)
+    N._candidates(points.select(F.col("id").alias("query_id"), "embedding"), index, 3, 1)
+    assert layouts[-1].agg(F.max("lots")).first()[0] > 1
