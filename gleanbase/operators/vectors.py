@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from ..sources.tables import VectorTable
 from .blocks import replace_parts
 
@@ -39,6 +40,7 @@ def split_valid(points: DataFrame, dim: int, column: str = "embedding") -> tuple
 
 
 def upsert_points(table: VectorTable, points: DataFrame) -> None:
-    """Store points (one per id); a new point replaces the old one whole."""
+    """Store points (one per id); a new point replaces the old one whole. They are checked and written once
+    first: the upsert reads its batch more than once."""
     good, _ = split_valid(points, table.dim)
-    table.upsert(good.select("id", "embedding", "payload"), replace_parts)
+    table.upsert(written(good.select("id", "embedding", "payload"), "points"), replace_parts)

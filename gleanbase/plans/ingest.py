@@ -50,10 +50,8 @@ def points_of(blocks: DataFrame, make_encoder: Callable[[], Encoder] = HashEncod
 
 
 def store_vectors(blocks: DataFrame, vectors: VectorTable, make_encoder: Callable[[], Encoder] = HashEncoder) -> None:
-    """Embed and upsert. The points are written once first: the upsert reads its batch
-    more than once, and the encoder should not run again."""
-    made = written(points_of(blocks, make_encoder, vectors.dim), "points")
-    upsert_points(vectors, made)
+    """Embed and upsert. The upsert of points reads its batch once, so the encoder does not run again."""
+    upsert_points(vectors, points_of(blocks, make_encoder, vectors.dim))
 
 
 def transfer_vectors(blocks: BucketTable, vectors: VectorTable,

@@ -149,6 +149,21 @@ def test_vector_table(spark):
         vector_table(spark, table.path, dim=3)
 
 
+def test_points_are_read_once(spark):
+    """The upsert reads its batch more than once; what makes the points runs once for each."""
+    table, seen = vector_table(spark, scratch_path(spark, "v"), dim=2, buckets=2), spark.sparkContext.accumulator(0)
+    schema = "id string, embedding array<float>, payload struct<block_id:string,title:string,description:string,source_url:string,text_preview:string>"
+
+    def watch(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    points = spark.createDataFrame([(str(n), [1.0, float(n)], None) for n in range(20)], schema)
+    upsert_points(table, points.mapInArrow(watch, schema))
+    assert table.read().count() == 20 and seen.value == 20
+
+
 def test_submitted_blocks(spark):
     rows = [("https://a/x", None, "t", "{}", "body", T0), ("not a url", None, "t", None, "body", T0), (None, "f.PDF", None, None, "body", T0),
             (None, "f.txt", None, None, "body", T0), ("https://a/y", None, None, "{bad", "body", T0), ("https://a/z", None, None, None, "", T0),
