@@ -74,3 +74,45 @@ def test_recall_on_given_vectors(spark, folder):
     d = f"/root/testdata/{folder}"
     found, truth = (QUERIES[name](spark, d).select("source", "target") for name in ("knn_descent", "knn_graph"))
     assert found.join(truth, ["source", "target"]).count() >= 0.95 * truth.count()
+
+
+def test_a_bundle_gives_the_best_of_each_point(spark):
+    """Many groups of the same points: what goes out is bounded by the list, not by the groups, and has the best."""
+    ids, m = make(60, hot=False)
+    nodes = frame(spark, ids, m)
+    everyone = spark.range(40).select(F.concat(F.lit("g"), "id").alias("v")).crossJoin(nodes.select(F.col("id").alias("m"))).withColumn("fresh", F.lit(True))
+    found = D._scored(everyone, nodes, None, 3, m.shape[1]).cache()
+    assert found.groupBy("id").count().agg(F.max("count")).first()[0] <= 3 * 8
+    best = D._best(found.withColumn("fresh", F.lit(True)), 3)
+    near = {(q, n): i for q, n, i, _ in brute(ids, m, ids, m, 60)}
+    truth = {(q, i) for q in ids for i in [near[q, n] for n in range(1, 61) if near[q, n] != q][:3]}
+    assert {(r.id, r.nb) for r in best.collect()} == truth
+
+
+def test_groups_without_a_new_member_are_left_out(spark):
+    ids, m = make(6, hot=False)
+    nodes = frame(spark, ids, m)
+    rows = [("old", i, False) for i in ids[:3]] + [("new", i, i == ids[3]) for i in ids[2:]]
+    found = D._scored(spark.createDataFrame(rows, "v string, m string, fresh boolean"), nodes, None, 5, m.shape[1])
+    assert {(r.id, r.nb) for r in found.collect()} == {p for i in ids[2:] if i != ids[3] for p in ((i, ids[3]), (ids[3], i))}
+
+
+def test_near_groups_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(D, "NEAR_SIZE", 4, raising=False)
+    ids, m = make(400, hot=False)
+    m[:300] = m[0] + 1e-4 * m[:300]  # on the same side of nearly all planes
+    groups = D.near_groups(frame(spark, ids, m), 400, 4, m.shape[1])
+    assert tuples(groups.groupBy("m").count().select("count").distinct(), "count") == [(D.NEAR,)]
+    assert groups.groupBy("v").count().agg(F.max("count")).first()[0] < 4 * 20
+
+
+def test_a_vector_without_a_length_hides_no_other(spark):
+    ids, m = make(30, hot=False)
+    m[3:6, 0] = np.nan
+    m[6, 0] = np.inf
+    nodes = frame(spark, ids, m)
+    groups = nodes.select(F.lit("g").alias("v"), F.col("id").alias("m"), F.lit(True).alias("fresh"))
+    found = {(r.id, r.nb) for r in D._best(D._scored(groups, nodes, None, 2, m.shape[1]).withColumn("fresh", F.lit(True)), 2).collect()}
+    fit = [n for n in range(30) if not 3 <= n <= 6]
+    near = {(q, n): i for q, n, i, _ in brute([ids[n] for n in fit], m[fit], [ids[n] for n in fit], m[fit], 3)}
+    assert found == {(ids[n], i) for n in fit for i in [near[ids[n], r] for r in (1, 2, 3)] if i != ids[n]}
