@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..session import written
 from .rows import ranked
-from .skew import salted_join
+from .skew import spread_join
 
 PART_ROWS = 2000  # texts of a task that counts their words,
 LEAST_PARTS = 8   # and the fewest of these tasks
@@ -81,10 +81,10 @@ def keyword_cloud(index: DataFrame) -> DataFrame:
 
 
 def keyword_lookup(index: DataFrame, blocks: DataFrame, wanted: DataFrame | list[str]) -> DataFrame:
-    """Blocks behind the wanted words. ``index`` should be a stored table: its words are
-    counted before the join."""
+    """Blocks behind the wanted words. Of ``index`` only the rows of wanted words are shuffled if these are few
+    enough to broadcast; else its rows are dealt by word and salt, so it need not be counted first."""
     if isinstance(wanted, DataFrame):
-        hits = salted_join(index, wanted.select("word").distinct(), "word", "left_semi", F.col("id"))
+        hits = spread_join(index, wanted.select("word").distinct(), "word", "left_semi", F.col("id"))
     else:
         hits = index.filter(F.col("word").isin(*wanted))
     return hits.join(blocks, "id")
