@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..session import scratch_path, written
 from .rows import ranked
-from .skew import HOT_ROWS, HOT_SHARE, salted_join
+from .skew import salted_join, spread_join
 from .spread import small_enough
 
 HEADS = 64  # heaviest postings of each word that are summed for a threshold
@@ -66,7 +66,8 @@ def plan_words(questions: DataFrame, postings: Postings, k: int, text: str = "qu
     words of lesser bounds together stay below the threshold."""
     asked = questions.filter("query_id IS NOT NULL").select("query_id", F.explode(tx.words(F.col(text))).alias("word")).distinct().join(postings.bounds, "word")
     asked = written(asked.select("query_id", "word", "bound"), "asked")
-    wanted = salted_join(postings.rows.select("word", "id", "weight"), asked.select("word").distinct(), "word", "left_semi", F.col("id"), hot=_long(postings))
+    # few words are broadcast; with hot words counted, Spark takes them for many and shuffles all postings
+    wanted = spread_join(postings.rows.select("word", "id", "weight"), asked.select("word").distinct(), "word", "left_semi", F.col("id"))
     heads = ranked(wanted, ["word"], [F.col("weight").desc(), F.col("id")], postings.heads, "_n").drop("_n")
     sums = salted_join(asked, heads, "word", "inner", F.col("query_id")).groupBy("query_id", "id").agg(
         F.sum("weight").alias("score"))
@@ -82,12 +83,6 @@ def plan_words(questions: DataFrame, postings: Postings, k: int, text: str = "qu
                         (F.sum("bound").over(upto) >= F.col("threshold")).alias("essential"))
 
 
-def _long(postings: Postings) -> DataFrame:
-    """The words whose postings are spread in a join, from the stored numbers."""
-    least = F.greatest(F.lit(HOT_ROWS), F.ceil(F.lit(HOT_SHARE) * postings.bounds.agg(F.sum("n")).scalar()))
-    return postings.bounds.filter(F.col("n") >= least).select("word", "n")
-
-
 def live_postings(plan: DataFrame, postings: Postings) -> DataFrame:
     """(query_id, id, word, weight): the postings of essential words that are scored."""
     met = salted_join(plan.filter("essential"), postings.rows, "word", "inner", F.col("query_id"))
