@@ -85,3 +85,35 @@ def test_short_blocks_are_ruled_out_by_all_their_weights(spark):
     stored = P.build_postings(rows)
     assert 0 < P.live_postings(P.plan_words(asked, stored, 5), stored).count() <= 60
     assert tuples(P.search_words(asked, stored, 5), "query_id", "rank", "id", "score") == brute(index, questions, 5)
+
+
+def test_many_pairs_in_small_files_are_not_broadcast(spark):
+    """A million pairs of few names take some kilobytes of files and a hundred megabytes of memory."""
+    index = [(f"d{n}", f"w{n % 3}", 1.0) for n in range(9)]
+    rows, _ = frames(spark, index, [])
+    stored = P.build_postings(rows)
+    pairs = spark.range(1_000_000).select(F.format_string("q%d", F.col("id") % 5).alias("query_id"), F.format_string("d%d", F.col("id") % 9).alias("id"), F.format_string("w%d", F.col("id") % 3).alias("word"))
+    found = P._looked_up(pairs, stored)
+    assert found._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 1
+    assert found.count() == 1_000_000
+    assert "BroadcastHashJoin" in P._looked_up(pairs.limit(20), stored)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_that_bring_most_are_looked_up_first(spark):
+    """The lesser words of most blocks bring far less than their bounds: few blocks are left for the last of them."""
+    rng = random.Random(4)
+    index = [(f"d{d:04d}", f"w{w}", round(rng.uniform(0.1, 0.4) if rng.random() < 0.99 else 2.0 + w / 10, 2)) for d in range(1500) for w in range(12)]
+    index += [(f"d{d:04d}", "top", round(rng.uniform(8, 9), 2)) for d in range(0, 1500, 2)]
+    index += [(f"d{d:04d}", f"not asked {n}", 9.0) for d in range(0, 1500, 2) for n in range(5)]
+    index += [(f"long{d}", w, 6.0 if w == "top" else 3.3) for d in range(5) for w in ["top", *(f"w{n}" for n in range(12))]]
+    questions = [("q", "top " + " ".join(f"w{w}" for w in range(12)))]
+    rows, asked = frames(spark, index, questions)
+    stored = P.build_postings(rows)
+    plan = P.plan_words(asked, stored, 5)
+    lesser = P.lesser_words(plan)
+    assert lesser.count() > P.FIRST
+    some = P.live_postings(plan, stored).groupBy("query_id", "id").agg(F.sum("weight").alias("part"))
+    may = P.still_may(some, lesser, plan, 0)
+    left = P.still_may(P._with_words(may, lesser.filter(F.col("place") <= P.FIRST), stored), lesser, plan, P.FIRST)
+    assert 5 <= left.count() < may.count() / 2
+    assert tuples(P.search_words(asked, stored, 5), "query_id", "rank", "id", "score") == brute(index, questions, 5)
