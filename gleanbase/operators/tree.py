@@ -2,7 +2,9 @@
 
 The points of a node are dealt to its nearest pivot, points of the node taken by lot, until no
 node has more than ``leaf`` vectors; pivots, bounds and leaves are tables, so no task holds
-more than one node's pivots whatever the size of the whole. A query goes down to the leaf
+more than one node's pivots whatever the size of the whole. The lots are drawn anew on every level, and a
+node that got more than half of its parent's vectors is dealt out evenly, whatever the angles: so two levels
+halve a node at least, and a vector that is nearest to all others makes no tree of endless depth. A query goes down to the leaf
 nearest to it and is scored there. Then it goes down again, to all children that the angle
 bounds cannot rule out against the k-th score it has, level by level; visits are pairs of a
 query and a node, and vectors join them only where they are compared. A node of no more than
@@ -66,44 +68,50 @@ def build_tree(points: DataFrame, k_max: int = 10, leaf: int | None = None, fan:
     whole = S._usable(points.select("id", "embedding"), "embedding", dim).filter(F.exists("embedding", lambda x: x != 0))
     few = ranked(whole.withColumn("fp", S._fingerprint(F.col("embedding"))), ["fp"], [F.col("id")], k_max, "_n")
     state = written(few.groupBy("fp").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("embedding").alias("embedding"))
-                    .select(F.lit(0).cast("long").alias("cell"), F.lit(None).cast("long").alias("top"), "fp", "ids", "embedding"), "vectors")
+                    .select(F.lit(0).cast("long").alias("cell"), F.lit(None).cast("long").alias("top"), "fp", "ids", "embedding",
+                            F.lit(None).cast("long").alias("was")), "vectors")
     bundle = max(leaf, min(BUNDLE, BUNDLE_BYTES // (8 * dim)))
-    level = depth = 0
+    level = depth = used = 0
     while True:
-        counts = written(state.groupBy("cell").agg(F.count("*").alias("n")), "counts")
+        counts = written(state.groupBy("cell").agg(F.count("*").alias("n"), F.coalesce(F.count("*") > F.max("was") / 2, F.lit(False)).alias("even")), "counts")
         big = counts.filter(F.col("n") > leaf)
-        full = big.select("cell")
-        state = state.join(counts, "cell").withColumn("top", F.coalesce("top", F.when(F.col("n") <= bundle, F.col("cell")))).drop("n")
-        done = state.join(full, "cell", "left_anti").select("top", "cell", "ids", "embedding")
+        most = counts.agg(F.max("n")).first()[0] or 0
+        state = state.drop("was").join(counts.select("cell", "n"), "cell").withColumn("top", F.coalesce("top", F.when(F.col("n") <= bundle, F.col("cell")))).drop("n")
+        done = state.join(big.select("cell"), "cell", "left_anti").select("top", "cell", "ids", "embedding")
         done.hint("rebalance", "cell").sortWithinPartitions("cell").write.parquet(f"{path}/leaves/level={level}")
-        if big.isEmpty():
+        if most <= leaf:
             break
         inner = state.join(big, "cell").withColumn("lot", _lots("fp", F.col("n")))
         # no more children than make leaves, or bundles, of half the size that they may have
         wanted = F.ceil(2 * F.col("n") / F.when(F.col("n") > bundle, F.lit(bundle)).otherwise(F.lit(leaf)))
-        heads = ranked(inner, ["cell"], [F.md5("fp"), F.col("fp")], fan, "_n").filter(F.col("_n") <= F.greatest(wanted, F.lit(4))).select(
-            "cell", "n", (F.col("cell") * fan + F.col("_n")).alias("child"), F.col("embedding").alias("pivot"))
+        heads = ranked(inner, ["cell"], [F.md5(F.concat(F.lit(f"{level}:"), "fp")), F.col("fp")], fan, "_n").filter(F.col("_n") <= F.greatest(wanted, F.lit(4))).select(
+            "cell", "n", "even", (F.lit(used + 1) + F.monotonically_increasing_id()).alias("child"), F.col("embedding").alias("pivot"))
         heads = written(heads, "pivots")
+        used = heads.agg(F.max("child")).first()[0]  # numbers do not grow with the depth as those of paths would
 
         def deal(held: pa.Table, pivots: pa.Table) -> pa.Table:
             cosine = S._matrix(held.column("embedding"), dim) @ S._matrix(pivots.column("pivot"), dim).T
             # of pivots in one direction, which no angle tells apart, each gets its share by hash
             alike = cosine >= cosine.max(axis=1, keepdims=True) - _ALIKE
-            lot = np.array([int(md5(f"{level}:{fp}".encode()).hexdigest()[:8], 16) for fp in held.column("fp").to_pylist()]) % alike.sum(axis=1)
-            nearest = (np.cumsum(alike, axis=1) > lot[:, None]).argmax(axis=1)
+            lot = np.array([int(md5(f"{level}:{fp}".encode()).hexdigest()[:8], 16) for fp in held.column("fp").to_pylist()])
+            if pivots.column("even")[0].as_py():
+                nearest = np.argsort(np.argsort(lot, kind="stable")) % pivots.num_rows
+            else:
+                nearest = (np.cumsum(alike, axis=1) > (lot % alike.sum(axis=1))[:, None]).argmax(axis=1)
             angle = np.arccos(np.clip(cosine[np.arange(len(nearest)), nearest], -1, 1))
             cells = pivots.column("child").combine_chunks().take(pa.array(nearest))
-            return pa.table([cells, *(held.column(c) for c in ("top", "fp", "ids", "embedding")), pa.array(angle)],
-                            ["cell", "top", "fp", "ids", "embedding", "angle"])
+            was = pivots.column("n").combine_chunks().take(pa.array(nearest))
+            return pa.table([cells, *(held.column(c) for c in ("top", "fp", "ids", "embedding")), was, pa.array(angle)],
+                            ["cell", "top", "fp", "ids", "embedding", "was", "angle"])
 
         dealt = written(inner.select("cell", "lot", "top", "fp", "ids", "embedding").groupBy("cell", "lot").cogroup(
-            heads.withColumn("lot", _every(F.col("n"))).select("cell", "lot", "child", "pivot").groupBy("cell", "lot")).applyInArrow(
-                deal, _schema(state, "angle double")), "dealt")
+            heads.withColumn("lot", _every(F.col("n"))).select("cell", "lot", "n", "even", "child", "pivot").groupBy("cell", "lot")).applyInArrow(
+                deal, _schema(state, "was long", "angle double")), "dealt")
         bounds = dealt.groupBy(F.col("cell").alias("child")).agg(F.min("angle").alias("low"), F.max("angle").alias("high"))
         heads.join(bounds, "child").select(F.col("cell").alias("parent"), F.col("child").alias("cell"), "pivot", "low", "high", (
             F.col("n") <= bundle).alias("inside")).write.parquet(f"{path}/nodes/level={level}")
         state, level = dealt.drop("angle"), level + 1
-        depth = depth if counts.filter(F.col("n") > bundle).isEmpty() else level
+        depth = level if most > bundle else depth
     spark.createDataFrame([(dim, k_max, level, depth)], "dim int, k_max int, levels int, depth int").coalesce(1).write.parquet(f"{path}/shape")
     return open_tree(spark, path)
 

@@ -87,3 +87,23 @@ def test_visits_do_not_grow_with_small_leaves(spark, monkeypatch):
     parted = R.build_tree(points, k_max=5, leaf=12, fan=4)
     assert parted.depth > 0 and max(tuples(parted.leaves.groupBy("top").count(), "count"))[0] <= 60
     assert shown(R.tree_top_k(points.withColumnRenamed("id", "query_id"), parted, 5)) == brute(ids, m, ids, m, 5)
+
+
+def test_a_vector_near_all_others_makes_no_deep_tree(spark):
+    """Each vector but one is nearest to that one, which is first by the hash of its values."""
+    rng = np.random.default_rng(5)
+    hub = rng.normal(size=64)
+    around = rng.normal(size=(420, 64))
+    around -= np.outer(around @ hub, hub) / (hub @ hub)
+    m = np.concatenate([[hub], hub + 0.5 * around]).astype(np.float32)
+    lengths = frame(spark, [f"{n}" for n in range(1, 600)], np.outer(np.arange(1, 600), hub).astype(np.float32))
+    m[0] = lengths.orderBy(F.md5(R.S._fingerprint(F.col("embedding")))).first()["embedding"]
+    ids = [f"p{n:04d}" for n in range(len(m))]
+    points = frame(spark, ids, m)
+    index = R.build_tree(points, k_max=5, leaf=10, fan=16)
+    assert len(index.levels) <= 10
+    assert sorted(i for r in index.leaves.collect() for i in r.ids) == ids
+    cells = [r.cell for nodes in index.levels for r in nodes.collect()]
+    assert len(set(cells)) == len(cells) and min(cells) > 0
+    assert max(tuples(index.leaves.groupBy("cell").count(), "count"))[0] <= 10
+    assert shown(R.tree_top_k(points.withColumnRenamed("id", "query_id"), index, 5)) == brute(ids, m, ids, m, 5)
